@@ -27,7 +27,9 @@ from pyspark.sql import Window
 
 from .common import FOLD, WordHashes, bitmap, in_bitmap, mixed, small_batches, text_key, utf8, written
 
-VALUES, BAND, TREES, DEPTH, NEIGHBOURS, LEAST_DEPTH = 128, 4, 64, 24, 4, 3
+VALUES, BAND, TREES, DEPTH, LEAST_DEPTH = 128, 4, 64, 24, 3
+#: Places looked back in a sorted order, in the first and the second round.
+NEAR, FAR = 1, 8
 BEST = 3
 _hashes = WordHashes()
 _rng = np.random.default_rng(20)
@@ -87,42 +89,47 @@ def _orders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = 2 * DEPTH
         rows = len(sk) * TREES
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.tile(np.arange(TREES, dtype=np.int32), len(sk))), pa.array([flat[i * step : (i + 1) * step] for i in range(rows)], pa.binary()), batch.column("node").take(pa.array(np.repeat(np.arange(len(sk)), TREES)))],
-            ["tree", "key", "node"],
+            [pa.array(np.tile(np.arange(TREES, dtype=np.int32), len(sk))), pa.array([flat[i * step : (i + 1) * step] for i in range(rows)], pa.binary()), *[batch.column(c).take(pa.array(np.repeat(np.arange(len(sk)), TREES))) for c in ("node", "label")]],
+            ["tree", "key", "node", "label"],
         )
 
 
-def _neighbours(least: float):
-    """Pairs of near places in a sorted order: prefix of LEAST_DEPTH at least, and enough equal values."""
+def _neighbours(least: float, width: int):
+    """Pairs of near places in a sorted order that differ in their label: with a common prefix of LEAST_DEPTH
+    at least, and with enough equal values."""
     need = int(np.floor(DEPTH * (least - 0.2)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tail: tuple | None = None
         for batch in batches:
-            tree, node = batch.column("tree").to_numpy(), np.array(batch.column("node").to_pylist(), object)
-            key = np.frombuffer(b"".join(batch.column("key").to_pylist()), ">u2").reshape(-1, DEPTH)
-            if tail is not None:
-                tree, node, key = (np.concatenate((a, b)) for a, b in zip(tail, (tree, node, key), strict=True))
-            u, v, m = [], [], []
+            tree, *names = batch.column("tree").to_numpy(), *(np.array(batch.column(c).to_pylist(), object) for c in ("node", "label"))
+            now = (tree, *names, np.frombuffer(b"".join(batch.column("key").to_pylist()), ">u2").reshape(-1, DEPTH))
             old = 0 if tail is None else len(tail[0])
-            for d in range(1, NEIGHBOURS + 1):
-                if len(tree) <= d:
-                    break
+            tree, node, label, key = now if tail is None else (np.concatenate(x) for x in zip(tail, now, strict=True))
+            u, v, m = [], [], []
+            for d in range(1, min(width, len(tree) - 1) + 1):
                 new = np.arange(max(old, d), len(tree))
                 same = key[new] == key[new - d]
-                ok = np.flatnonzero((tree[new] == tree[new - d]) & same[:, :LEAST_DEPTH].all(axis=1) & (same.sum(axis=1) >= need))
+                ok = np.flatnonzero((tree[new] == tree[new - d]) & (label[new] != label[new - d]) & same[:, :LEAST_DEPTH].all(axis=1) & (same.sum(axis=1) >= need))
                 u.append(node[new[ok]])
                 v.append(node[new[ok] - d])
                 m.append(same[ok].sum(axis=1))
-            tail = (tree[-NEIGHBOURS:], node[-NEIGHBOURS:], key[-NEIGHBOURS:])
+            tail = tuple(x[-width:] for x in (tree, node, label, key))
             if u:
-                a, b = np.concatenate(u), np.concatenate(v)
-                pairs = [(x, y) if x < y else (y, x) for x, y in zip(a, b, strict=True)]
+                pairs = [(x, y) if x < y else (y, x) for x, y in zip(np.concatenate(u), np.concatenate(v), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.binary()), pa.array([p[1] for p in pairs], pa.binary()), pa.array(np.concatenate(m).astype(np.int32))], ["u", "v", "m"])
 
     return run
 
 
+def candidates(nodes: DataFrame, least: int, width: int) -> DataFrame:
+    """nodes: node, label, sk.  Sort them in every order and return u, v, m: neighbours and their equal values."""
+    parts = max(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), 8)
+    order = nodes.select("node", "label", "sk").mapInArrow(_orders, "tree int, key binary, node binary, label binary")
+    line = order.repartitionByRange(parts, "tree", "key", "node").sortWithinPartitions("tree", "key", "node")
+    return line.mapInArrow(_neighbours(least / 100, width), "u binary, v binary, m int").groupBy("u", "v").agg(F.max("m").alias("m"))
+
+
 def _sets(size: int, wanted):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -204,24 +211,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 hit = in_bitmap(shared.value, part.column("key").to_numpy()).reshape(batch.num_rows, -1).any(axis=1)
             yield batch.filter(pa.array(hit))
 
-    order = written(node.mapInArrow(crowded, "node binary, sk binary").mapInArrow(_orders, "tree int, key binary, node binary"), "orders")
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8)
-    line = order.repartitionByRange(parts, "tree", "key", "node").sortWithinPartitions("tree", "key", "node")
-    pairs = line.mapInArrow(_neighbours(least / 100), "u binary, v binary, m int").groupBy("u", "v").agg(F.max("m").alias("m"))
-    pairs = written(pairs, "pairs")
-    either = pairs.union(pairs.select("v", "u", "m"))
-    best = either.withColumn("k", F.row_number().over(Window.partitionBy("u").orderBy(F.desc("m"), "v")))
-    ranked = written(best.groupBy(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).agg(F.min("k").alias("k")), "ranked")
-
-    wanted = bitmap(ranked.select(F.explode(F.array("u", "v")).alias("x")).select(_head(F.col("x")).alias("h")), "h", 24)
+    near = written(node.mapInArrow(crowded, "node binary, sk binary"), "crowded")
+    wanted = bitmap(near.select(_head(F.col("node")).alias("h")), "h", 24)
     sets = rows.select("text").mapInArrow(_sets(size, wanted), "node binary, s binary").groupBy("node").agg(F.first("s").alias("s"))
     sets = written(sets, "sets")
-    links = confirm(ranked.filter(f"k <= {BEST}"), sets, least)
+
+    # First the best direct neighbours of each node, then wider, but only across what is still apart.
+    pairs = candidates(near.withColumn("label", F.col("node")), least, NEAR)
+    either = pairs.union(pairs.select("v", "u", "m"))
+    best = either.withColumn("k", F.row_number().over(Window.partitionBy("u").orderBy(F.desc("m"), "v"))).filter(f"k <= {BEST}")
+    links = confirm(best.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), sets, least)
     label = components(links)
-    name = lambda x: label.select(F.col("node").alias(x), F.col("label").alias(f"l{x}"))
-    rest = ranked.filter(f"k > {BEST}").join(name("u"), "u", "left").join(name("v"), "v", "left")
-    rest = rest.filter(~F.coalesce("lu", "u").eqNullSafe(F.coalesce("lv", "v"))).select("u", "v")
-    more = confirm(rest, sets, least)
+    apart = near.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    more = confirm(candidates(apart, least, FAR).select("u", "v"), sets, least)
     if not more.isEmpty():
         label = components(links.union(more))
 
