@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from importlib import import_module
 
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
@@ -20,9 +21,16 @@ def query(sql: str | None = None):
     return add
 
 
+def _load() -> None:
+    for name in ("portfolio", "events", "corpus", "evaluation"):
+        import_module(f"tidemark.plans.{name}")
+
+
 def queries() -> dict[str, Callable]:
+    _load()
     return dict(QUERIES)
 
 
 def oracles() -> dict[str, str]:
+    _load()
     return dict(ORACLES)
