@@ -101,12 +101,13 @@ def _anchors(window: int):
 def _blocks(window: int, seen):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            row, first, size, anchor, content, hashes = [], [], [], [], [], []
+            row, first, size, anchor, content, own, hashes = [], [], [], [], [], [], []
             for r, text in enumerate(utf8(batch.column("text"))):
                 if not (got := blocks(text.split(), window)):
                     continue
                 w, starts, a = got
                 ends = np.append(starts[1:], len(w))
+                repeats = own_repeats(w, starts)
                 for k in np.flatnonzero(in_bitmap(seen.value, a)):
                     part = w[starts[k] : ends[k]]
                     row.append(r)
@@ -114,13 +115,24 @@ def _blocks(window: int, seen):
                     size.append(len(part))
                     anchor.append(a[k])
                     content.append(xxhash.xxh3_64_intdigest(part.tobytes()))
+                    own.append(bool(repeats[k]))
                     hashes.append(part)
             if row:
                 offsets = np.concatenate(([0], np.cumsum(size))).astype(np.int32)
                 as_long = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
                 values = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(hashes).view(np.int64)))
                 keys = [batch.column(c).take(pa.array(row)) for c in ("id", "ka", "kb")]
-                yield pa.RecordBatch.from_arrays([*keys, pa.array(np.array(first, np.int32)), as_long(anchor), as_long(content), values], ["id", "ka", "kb", "s", "a", "c", "w"])
+                yield pa.RecordBatch.from_arrays([*keys, pa.array(np.array(first, np.int32)), pa.array(size, pa.int32()), as_long(anchor), as_long(content), pa.array(own, pa.bool_()), values], ["id", "ka", "kb", "s", "n", "a", "c", "own", "w"])
+
+    return run
+
+
+def _having(column: str, seen):
+    """The rows whose hash in a column may be in a bit set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(in_bitmap(seen.value, batch.column(column).to_numpy())))
 
     return run
 
@@ -141,23 +153,29 @@ def factors(marks: list[dict], window: int) -> list[tuple[int, int, int | None,
     return [(lo, hi - 1 + window, ref, None if move is None else lo + move) for lo, hi, ref, move in out]
 
 
-def _cut(window: int, id_type: pa.DataType):
+def _cut(window: int, id_type: pa.DataType, touched=None):
+    """The result rows. With ``touched``: only of texts that are surely not in that bit set, which lose nothing."""
     spans_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("ref_id", id_type), ("ref_start", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if touched is not None:
+                batch = batch.filter(pa.array(~in_bitmap(touched.value, batch.column("ka").to_numpy())))
+            marked = [None] * batch.num_rows if touched is not None else batch.column("marks").to_pylist()
             kept, total, gone, spans = [], [], [], []
-            for text, marks in zip(utf8(batch.column("text")), batch.column("marks").to_pylist(), strict=True):
+            for text, marks in zip(utf8(batch.column("text")), marked, strict=True):
                 words = text.split()
                 out = factors(marks or [], window)
-                cover = np.zeros(len(words) + 1, np.int32)
-                for lo, hi, _, _ in out:
-                    cover[lo] += 1
-                    cover[hi] -= 1
-                left = np.cumsum(cover[:-1]) == 0
-                kept.append(b" ".join(w for w, k in zip(words, left.tolist(), strict=True) if k).decode() if out else b" ".join(words).decode())
+                left = words
+                if out:
+                    cover = np.zeros(len(words) + 1, np.int32)
+                    for lo, hi, _, _ in out:
+                        cover[lo] += 1
+                        cover[hi] -= 1
+                    left = [w for w, c in zip(words, np.cumsum(cover[:-1]).tolist(), strict=True) if not c]
+                kept.append(b" ".join(left).decode())
                 total.append(len(words))
-                gone.append(len(words) - int(left.sum()))
+                gone.append(len(words) - len(left))
                 spans.append([{"start": a, "end": b, "ref_id": r, "ref_start": s} for a, b, r, s in out])
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("ka"), batch.column("kb"), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string()), pa.array(spans, spans_type)], ["id", "ka", "kb", "n_words", "n_removed", "kept_text", "factors"])
 
@@ -173,16 +191,27 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
 
     counts = rows.select("text").mapInArrow(_anchors(window), "a bigint, n bigint").groupBy("a").agg(F.sum("n").alias("n"))
     seen = bitmap(counts.filter("n > 1"), "a")
-    block = written(rows.mapInArrow(_blocks(window, seen), f"id {kind}, ka bigint, kb bigint, s int, a bigint, c bigint, w array<bigint>"), "blocks")
-
-    different = written(block.groupBy("a", "c").agg(F.count("*").alias("n"), F.first("w").alias("w"), F.min_by(F.struct("id", "s"), F.struct("ka", "kb", "s")).alias("ref")), "blocks-once")
-    twice = different.select("a", "n", F.explode("w").alias("w")).groupBy("a", "w").agg(F.sum("n").alias("n")).filter("n > 1").select("a", "w")
-    edge = different.filter("n = 1").select("a", "c", F.posexplode("w").alias("o", "w")).join(twice, ["a", "w"], "left_semi").groupBy("a", "c").agg(F.collect_list("o").alias("offs"))
-    whole = different.filter("n > 1").select("a", "c", F.lit(None).cast("array<int>").alias("offs"), "ref")
-    marks = whole.unionByName(edge.withColumn("ref", F.lit(None).cast(different.schema["ref"].dataType)))
-    marked = block.select("id", "ka", "kb", "s", "a", "c", F.size("w").alias("n")).join(marks, ["a", "c"])
+    kinds = f"id {kind}, ka bigint, kb bigint, s int, n int, a bigint, c bigint, own boolean, w array<bigint>"
+    block = written(rows.mapInArrow(_blocks(window, seen), kinds), "blocks")
+
+    once = written(block.groupBy("a", "c").agg(F.count("*").alias("n"), F.max("own").alias("own"), F.min_by(F.struct("id", "s"), F.struct("ka", "kb", "s")).alias("ref")), "blocks-once")
+    whole = once.filter("n > 1").select("a", "c", F.lit(None).cast("array<int>").alias("offs"), "ref")
+
+    # Only anchors with different blocks, one of them found once, need a look at single windows.
+    edges = bitmap(once.groupBy("a").agg(F.count("*").alias("m"), F.min("n").alias("n"), F.max("own").alias("own")).filter("n = 1 and (m > 1 or own)"), "a", 25)
+    narrow = block.select("a", "c", "w").mapInArrow(_having("a", edges), "a bigint, c bigint, w array<bigint>").groupBy("a", "c").agg(F.count("*").alias("n"), F.first("w").alias("w"))
+    twice = narrow.select("a", "n", F.explode("w").alias("w")).groupBy("a", "w").agg(F.sum("n").alias("n")).filter("n > 1").select("a", "w")
+    edge = narrow.filter("n = 1").select("a", "c", F.posexplode("w").alias("o", "w")).join(twice, ["a", "w"], "left_semi").groupBy("a", "c").agg(F.collect_list("o").alias("offs"))
+    marks = whole.unionByName(edge.withColumn("ref", F.lit(None).cast(once.schema["ref"].dataType)))
+
+    marked = block.select("id", "ka", "kb", "s", "n", "a", "c").join(marks, ["a", "c"])
     spans = marked.groupBy("id", "ka", "kb").agg(F.collect_set(F.struct("s", "n", "offs", F.col("ref.id").alias("ref_id"), F.col("ref.s").alias("ref_s"))).alias("marks"))
-    both = rows.alias("r").join(spans.alias("s"), F.expr("r.id <=> s.id and r.ka = s.ka and r.kb = s.kb"), "left").select("r.*", "s.marks")
+    spans = written(spans, "marks")
+
+    touched = bitmap(spans, "ka", 25)
     id_type = pa.int64() if kind == "bigint" else pa.int32() if kind == "int" else pa.string()
     out = f"id {kind}, ka bigint, kb bigint, n_words bigint, n_removed bigint, kept_text string, factors array<struct<start:bigint,end:bigint,ref_id:{kind},ref_start:bigint>>"
-    return both.mapInArrow(_cut(window, id_type), out)
+    intact = rows.mapInArrow(_cut(window, id_type, touched), out)
+    some = rows.mapInArrow(_having("ka", touched), rows.schema).alias("r")
+    both = some.join(spans.alias("s"), F.expr("r.id <=> s.id and r.ka = s.ka and r.kb = s.kb"), "left").select("r.*", "s.marks")
+    return intact.unionByName(both.mapInArrow(_cut(window, id_type), out))
