@@ -72,7 +72,8 @@ def blocks(words: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray, np.
     gram = min(GRAM, window)
     anchor = sliding_min(rolling(h, gram), window - gram + 1)
     starts = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1])))
-    return rolling(h, window), starts, anchor[starts]
+    # Least hashes lie close to zero: scrambled once more, they spread over a whole bit set.
+    return rolling(h, window), starts, mixed(anchor[starts])
 
 
 def own_repeats(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
