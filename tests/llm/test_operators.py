@@ -220,3 +220,5 @@ def test_toxicity_edges(spark, docs, empty):
     assert toxicity.score(empty, none).count() == 0
     model = toxicity.train([b"you are a vile idiot", b"what a vile idiot he is", b"such vile words", b"a nice day", b"fine words here", b"hello there"] * 40, [1, 1, 1, 0, 0, 0] * 40)
     assert 0 <= model.score(1.0, 3.0) <= 1
+    for texts, toxic in (([b""], [1]), ([b"", b"vile words", b" \n"], [0, 1, 0]), ([b"fine", b""], [0, 1])):  # labelled texts without words
+        assert 0 <= toxicity.train(texts, toxic).score(0.0, 0.0) <= 1

@@ -20,7 +20,6 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -29,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import FOLD, small_batches, utf8
+from .common import FOLD, mixed, small_batches, utf8
 
 PER_CLASS = 1500
 PUNCTUATION = bytes(range(33, 48)) + bytes(range(58, 65)) + bytes(range(91, 97)) + bytes(range(123, 127))
@@ -143,44 +142,56 @@ def _ratio(k1: int, n1: int, k0: int, n0: int) -> float:
     return 2 * (part(k1, n1, q) + part(k0, n0, q)) if 0 < q < 1 else 0.0
 
 
+def _counts(token: np.ndarray, lengths: np.ndarray, label: np.ndarray, size: np.ndarray, which: np.ndarray, n_features: int) -> np.ndarray:
+    """Clean and toxic documents of each feature. A word between the same neighbours counts in the first
+    document only: copies of a document say nothing new. ``size`` and ``which`` list the features of the words."""
+    doc, start = np.repeat(np.arange(len(lengths)), lengths), np.zeros(len(token) + 1, bool)
+    start[(np.cumsum(lengths) - lengths)[lengths > 0]] = True
+    start[-1] = True
+    ahead = np.where(start[:-1], 0, np.concatenate(([0], token[:-1] + 1)))
+    behind = np.where(start[1:], 0, np.concatenate((token[1:] + 1, [0])))
+    context = mixed(mixed(mixed(ahead.astype(np.uint64) + np.uint64(1)) + token.astype(np.uint64)) + behind.astype(np.uint64))
+    _, first, same = np.unique(context, return_index=True, return_inverse=True)
+    fresh = doc == doc[first[same]]
+    pair = np.unique(doc[fresh] * len(size) + token[fresh])
+    d, w = np.divmod(pair, len(size))
+    at = np.repeat(np.cumsum(size)[w] - np.cumsum(size[w]), size[w]) + np.arange(size[w].sum())
+    d, f = np.divmod(np.unique(np.repeat(d, size[w]) * n_features + which[at]), n_features)
+    return np.stack([np.bincount(f[label[d] == c], minlength=n_features) for c in (0, 1)])
+
+
 def train(texts: list[bytes], toxic: list[int], rounds: int = 40, l2: float = 0.02) -> Model:
     """Fit the field and the document score on labelled documents (in the driver's memory, bounded by the sample)."""
     model = Model()
     if not texts or sum(toxic) == 0:
         return model
-    docs = [_WORD.findall(t) for t in texts]
-    counts: tuple[Counter, Counter] = (Counter(), Counter())
-    contexts: set[int] = set()  # a word between the same neighbours counts once: copies of a document say nothing new
-    for words, y in zip(docs, toxic, strict=True):
-        around = [hash(x) for x in zip([b"", *words[:-1]], words, [*words[1:], b""], strict=True)]
-        counts[y].update({f for w in {w for w, c in zip(words, around, strict=True) if c not in contexts} for f in features(w)})
-        contexts.update(around)
+    # Work on numbers of distinct words: the sample's tokens may be many, its words are few.
+    number: dict[bytes, int] = {}
+    token = np.fromiter((number.setdefault(w, len(number)) for t in texts for w in _WORD.findall(t)), np.int64)
+    lengths = np.array([len(_WORD.findall(t)) for t in texts])
+    label = np.array(toxic)
+    known: dict[bytes, int] = {}
+    of_word = [[known.setdefault(f, len(known)) for f in features(w)] for w in number]
+    size = np.array([len(fs) for fs in of_word], np.int64)
+    where, which = np.repeat(np.arange(len(number)), size), np.array([f for fs in of_word for f in fs], np.int64)
+    counts = _counts(token, lengths, label, size, which, len(known))
     n = [max(len(toxic) - sum(toxic), 1), max(sum(toxic), 1)]
     # A likelihood-ratio test of document frequencies against equal frequency, at a level for as many tests as there are features.
-    level = 2 * math.log(max(len(counts[1]), 2)) + 4
-    signs = {f for f, k in counts[1].items() if k >= 3 and k / n[1] > 5 * counts[0][f] / n[0] and _ratio(k, n[1], counts[0][f], n[0]) > level}
-    lengths = np.array([len(d) for d in docs])
-    known: dict[bytes, int] = {}
-    cache: dict[bytes, tuple[list[int], bool]] = {}
-    for d in docs:
-        for w in d:
-            if w not in cache:
-                fs = features(w)
-                cache[w] = ([known.setdefault(f, len(known)) for f in fs], any(f in signs for f in fs))
-    rows = [cache[w] for d in docs for w in d]
-    y = np.array([r[1] for r in rows], float) * np.repeat(np.array(toxic), lengths)
-    where = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
-    which = np.fromiter((f for r in rows for f in r[0]), np.int64, len(where))
+    level = 2 * math.log(max(int((counts[1] > 0).sum()), 2)) + 4
+    often = np.flatnonzero((counts[1] >= 3) & (counts[1] / n[1] > 5 * counts[0] / n[0]))
+    sign = np.zeros(len(known), bool)
+    sign[[f for f in often.tolist() if _ratio(int(counts[1][f]), n[1], int(counts[0][f]), n[0]) > level]] = True
+    y = (np.bincount(where, sign[which], len(number)) > 0)[token] * np.repeat(label, lengths).astype(float)
     before = np.concatenate(([0.0], y[:-1]))
     before[(np.cumsum(lengths) - lengths)[lengths > 0]] = 0
     seen = np.array([[((before == i) & (y == j)).sum() for j in (0, 1)] for i in (0, 1)], float)
     w, bias, moves = np.zeros(len(known)), -4.0, np.zeros((2, 2))
     gw, gb, gm = np.full(len(known), 1e-8), 1e-8, np.full((2, 2), 1e-8)
     for _ in range(rounds):
-        s = np.bincount(where, w[which], len(rows)) + bias
+        s = np.bincount(where, w[which], len(number))[token] + bias
         p, moved = forward_backward(s, lengths, moves, pairs=True)
         d = y - p
-        slope = np.bincount(which, d[where], len(known)) - l2 * w
+        slope = np.bincount(which, np.bincount(token, d, len(number))[where], len(known)) - l2 * w
         gw += slope**2
         w += 0.8 * slope / np.sqrt(gw)
         gb += d.sum() ** 2
@@ -189,7 +200,7 @@ def train(texts: list[bytes], toxic: list[int], rounds: int = 40, l2: float = 0.
         gm += change**2
         moves += 0.3 * change / np.sqrt(gm)
         moves -= moves[0, 0]
-    s = np.bincount(where, w[which], len(rows)) + bias
+    s = np.bincount(where, w[which], len(number))[token] + bias
     p = forward_backward(s, lengths, moves)
     big = np.abs(w) > 1e-3
     model = Model({f: float(w[k]) for f, k in known.items() if big[k]}, float(bias), moves)
