@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import codec
-from .common import small_batches, utf8
+from .common import small_batches, utf8, written
 
 BLOCK = 256
 
@@ -33,9 +33,10 @@ def _lengths(path: str):
 
 
 def histogram(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
-    """n_tokens, n_docs: exact, over all rows."""
+    """n_tokens, n_docs: exact, over all rows. It is written, so that no reader encodes the corpus again."""
     small_batches(docs.sparkSession)
-    return docs.select(F.col(text_col).alias("text")).mapInArrow(_lengths(path), "n_tokens bigint").groupBy("n_tokens").agg(F.count("*").alias("n_docs"))
+    counted = docs.select(F.col(text_col).alias("text")).mapInArrow(_lengths(path), "n_tokens bigint").groupBy("n_tokens").agg(F.count("*").alias("n_docs"))
+    return written(counted, "lengths")
 
 
 def limits(hist: DataFrame) -> DataFrame:
