@@ -33,6 +33,8 @@ from .common import FOLD, mixed, small_batches, utf8
 PER_CLASS = 1500
 PUNCTUATION = bytes(range(33, 48)) + bytes(range(58, 65)) + bytes(range(91, 97)) + bytes(range(123, 127))
 LENGTH = 256
+#: Training documents handled at a time.
+PIECE = 250
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
@@ -151,13 +153,34 @@ def _counts(token: np.ndarray, lengths: np.ndarray, label: np.ndarray, size: np.
     ahead = np.where(start[:-1], 0, np.concatenate(([0], token[:-1] + 1)))
     behind = np.where(start[1:], 0, np.concatenate((token[1:] + 1, [0])))
     context = mixed(mixed(mixed(ahead.astype(np.uint64) + np.uint64(1)) + token.astype(np.uint64)) + behind.astype(np.uint64))
-    _, first, same = np.unique(context, return_index=True, return_inverse=True)
-    fresh = doc == doc[first[same]]
+    del ahead, behind, start
+    order = np.argsort(context, kind="stable")  # equal contexts side by side, the first document's ahead
+    context, place = context[order], doc[order]
+    head = np.concatenate(([True], context[1:] != context[:-1]))[: len(context)]
+    fresh = np.zeros(len(token), bool)
+    fresh[order] = place == place[head][np.cumsum(head) - 1]
+    del order, context, place, head
     pair = np.unique(doc[fresh] * len(size) + token[fresh])
-    d, w = np.divmod(pair, len(size))
-    at = np.repeat(np.cumsum(size)[w] - np.cumsum(size[w]), size[w]) + np.arange(size[w].sum())
-    d, f = np.divmod(np.unique(np.repeat(d, size[w]) * n_features + which[at]), n_features)
-    return np.stack([np.bincount(f[label[d] == c], minlength=n_features) for c in (0, 1)])
+    first, out = np.cumsum(size) - size, np.zeros((2, n_features), np.int64)
+    for lo in range(0, len(lengths), PIECE):
+        some = pair[np.searchsorted(pair, lo * len(size)) : np.searchsorted(pair, (lo + PIECE) * len(size))]
+        d, w = np.divmod(some, max(len(size), 1))
+        n = size[w]
+        at = np.repeat(first[w] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        d, f = np.divmod(np.unique(np.repeat(d, n) * n_features + which[at]), max(n_features, 1))
+        for c in (0, 1):
+            out[c] += np.bincount(f[label[d] == c], minlength=n_features)
+    return out
+
+
+def _in_pieces(s: np.ndarray, lengths: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Forward-backward over a few documents at a time, to bound the driver's memory."""
+    p, moved, at = np.empty(len(s)), np.zeros((2, 2)), 0
+    for lo in range(0, len(lengths), 2 * PIECE):
+        some = lengths[lo : lo + 2 * PIECE]
+        p[at : at + some.sum()], m = forward_backward(s[at : at + some.sum()], some, moves, pairs=True)
+        moved, at = moved + m, at + int(some.sum())
+    return p, moved
 
 
 def train(texts: list[bytes], toxic: list[int], rounds: int = 40, l2: float = 0.02) -> Model:
@@ -189,7 +212,7 @@ def train(texts: list[bytes], toxic: list[int], rounds: int = 40, l2: float = 0.
     gw, gb, gm = np.full(len(known), 1e-8), 1e-8, np.full((2, 2), 1e-8)
     for _ in range(rounds):
         s = np.bincount(where, w[which], len(number))[token] + bias
-        p, moved = forward_backward(s, lengths, moves, pairs=True)
+        p, moved = _in_pieces(s, lengths, moves)
         d = y - p
         slope = np.bincount(which, np.bincount(token, d, len(number))[where], len(known)) - l2 * w
         gw += slope**2
@@ -201,7 +224,7 @@ def train(texts: list[bytes], toxic: list[int], rounds: int = 40, l2: float = 0.
         moves += 0.3 * change / np.sqrt(gm)
         moves -= moves[0, 0]
     s = np.bincount(where, w[which], len(number))[token] + bias
-    p = forward_backward(s, lengths, moves)
+    p, _ = _in_pieces(s, lengths, moves)
     big = np.abs(w) > 1e-3
     model = Model({f: float(w[k]) for f, k in known.items() if big[k]}, float(bias), moves)
     at = np.cumsum(lengths)
