@@ -73,6 +73,30 @@ def test_near_duplicates_of_a_chain(spark):
     assert set(got.values()) == {0}
 
 
+@pytest.fixture
+def many_partitions(spark):
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
+def test_one_near_pair_among_clean_texts(spark, many_partitions):
+    """Two crowded nodes have 128 places in all orders, fewer than ranges: neighbours stand on either side of an end."""
+    clean = [(k, " ".join(f"c{k}w{j}" for j in range(50)), "a") for k in range(20)]
+    docs = table(spark, [*clean, (20, BASE, "a"), (21, NEAR, "a")])
+    pairs = minhash.candidates(_crowded(docs, [20, 21]), 85, minhash.NEAR).collect()
+    assert len(pairs) == 1
+    got = {r["id"]: r["component_id"] for r in minhash.near_duplicates(docs, size=3, least=85).collect()}
+    assert got == {k: k for k in range(20)} | {20: 20, 21: 20}
+
+
+def _crowded(docs, ids):
+    rows = [(minhash.shingles(r["text"].encode(), 3), r["doc_id"]) for r in docs.collect() if r["doc_id"] in ids]
+    made = [(str(i).encode(), str(i).encode(), minhash.sketch(s).tobytes()) for s, i in rows]
+    return docs.sparkSession.createDataFrame(made, "node binary, label binary, sk binary")
+
+
 def test_bpe_equals_the_library(docs, empty):
     from tokenizers import Tokenizer
 

@@ -96,14 +96,19 @@ def _orders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _neighbours(least: float, width: int):
     """Pairs of near places in a sorted order that differ in their label: with a common prefix of LEAST_DEPTH
-    at least, and with enough equal values."""
+    at least, and with enough equal values.  The first and last places of the range follow as edges: their
+    node, label and place (e), to be compared with the ranges beside."""
     need = int(np.floor(DEPTH * (least - 0.2)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head: tuple | None = None
         tail: tuple | None = None
+        rows = 0
         for batch in batches:
             tree, *names = batch.column("tree").to_numpy(), *(np.array(batch.column(c).to_pylist(), object) for c in ("node", "label"))
             now = (tree, *names, np.frombuffer(b"".join(batch.column("key").to_pylist()), ">u2").reshape(-1, DEPTH))
+            rows += len(tree)
+            head = tuple(x[:width] for x in (now if head is None else (np.concatenate(x) for x in zip(head, now, strict=True))))
             old = 0 if tail is None else len(tail[0])
             tree, node, label, key = now if tail is None else (np.concatenate(x) for x in zip(tail, now, strict=True))
             u, v, m = [], [], []
@@ -117,17 +122,40 @@ def _neighbours(least: float, width: int):
             tail = tuple(x[-width:] for x in (tree, node, label, key))
             if u:
                 pairs = [(x, y) if x < y else (y, x) for x, y in zip(np.concatenate(u), np.concatenate(v), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.binary()), pa.array([p[1] for p in pairs], pa.binary()), pa.array(np.concatenate(m).astype(np.int32))], ["u", "v", "m"])
+                yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.binary()), pa.array([p[1] for p in pairs], pa.binary()), pa.array(np.concatenate(m).astype(np.int32)), pa.nulls(len(pairs), pa.binary())], ["u", "v", "m", "e"])
+        if rows:
+            more = min(width, rows - len(head[0]))
+            tree, node, label, key = (np.concatenate((x, y[len(y) - more :])) for x, y in zip(head, tail, strict=True))
+            place = [t.tobytes() + k.tobytes() for t, k in zip(tree.astype(">u4"), key.astype(">u2"), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(node, pa.binary()), pa.array(label, pa.binary()), pa.array(np.zeros(len(tree), np.int32)), pa.array(place, pa.binary())], ["u", "v", "m", "e"])
 
     return run
 
 
+def _across(edges: pa.Table, least: float, width: int) -> pa.Table:
+    """The pairs that stand on either side of a range's end. Places between the edges of a long range are
+    left out, so a few pairs are further apart than ``width``; they are candidates like the others."""
+    rows = sorted(zip(*(edges.column(c).to_pylist() for c in "euv"), strict=True))
+    line = pa.RecordBatch.from_arrays([pa.array([int.from_bytes(e[:4]) for e, _, _ in rows], pa.int32()), *(pa.array(x, pa.binary()) for x in ([e[4:] for e, _, _ in rows], [u for _, u, _ in rows], [v for _, _, v in rows]))], ["tree", "key", "node", "label"])
+    schema = pa.schema({"u": pa.binary(), "v": pa.binary(), "m": pa.int32(), "e": pa.binary()})
+    found = pa.Table.from_batches(_neighbours(least, width)(iter([line] if rows else [])), schema)
+    return found.filter(found.column("e").is_null()).select(["u", "v", "m"])
+
+
 def candidates(nodes: DataFrame, least: int, width: int) -> DataFrame:
     """nodes: node, label, sk.  Sort them in every order and return u, v, m: neighbours and their equal values."""
-    parts = max(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), 8)
+    spark = nodes.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8)
     order = nodes.select("node", "label", "sk").mapInArrow(_orders, "tree int, key binary, node binary, label binary")
     line = order.repartitionByRange(parts, "tree", "key", "node").sortWithinPartitions("tree", "key", "node")
-    return line.mapInArrow(_neighbours(least / 100, width), "u binary, v binary, m int").groupBy("u", "v").agg(F.max("m").alias("m"))
+    found = line.mapInArrow(_neighbours(least / 100, width), "u binary, v binary, m int, e binary").groupBy("u", "v", "e").agg(F.max("m").alias("m"))
+    found = written(found, "neighbours")
+    # At most 2 * width rows a range, whatever the table holds: the driver compares them.
+    across = _across(found.filter("e is not null").select("u", "v", "e").toArrow(), least / 100, width)
+    pairs = found.filter("e is null").select("u", "v", "m")
+    if not across.num_rows:
+        return pairs
+    return pairs.union(spark.createDataFrame(across, "u binary, v binary, m int")).groupBy("u", "v").agg(F.max("m").alias("m"))
 
 
 def _sets(size: int, wanted):
