@@ -97,6 +97,25 @@ def _crowded(docs, ids):
     return docs.sparkSession.createDataFrame(made, "node binary, label binary, sk binary")
 
 
+def test_few_links_in_a_dense_region(spark, monkeypatch):
+    """Variants of one text, most pairs below the threshold, in components that single pairs tie: the orders
+    find none of them here, so all links come from the exact step."""
+    monkeypatch.setattr(minhash, "candidates", lambda nodes, least, width: nodes.select(F.col("node").alias("u"), F.col("node").alias("v"), F.lit(0).alias("m")).limit(0))
+    texts = []
+    for k in range(60):
+        words = [f"v{j}" for j in range(200)]
+        for j in range(12):
+            words[(j * 16 + k // 2 * 7) % 200] = f"change{k // 2}n{j}"
+        if k % 2:
+            words[(k * 5 + 3) % 200] = f"own{k}"
+        texts.append((k, " ".join(words), "a"))
+    docs = table(spark, texts)
+    expected = brute.near(rows_of(docs))
+    assert len({c for _, c in expected.values()}) > 1
+    got = {r["id"]: (r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(docs, size=3, least=85).collect()}
+    assert got == expected
+
+
 def test_bpe_equals_the_library(docs, empty):
     from tokenizers import Tokenizer
 

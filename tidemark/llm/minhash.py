@@ -25,12 +25,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import FOLD, WordHashes, bitmap, in_bitmap, mixed, small_batches, text_key, utf8, written
+from .common import FOLD, WordHashes, bitmap, in_bitmap, mixed, small_batches, text_key, unsigned, utf8, written
 
 VALUES, BAND, TREES, DEPTH, LEAST_DEPTH = 128, 4, 64, 24, 3
 #: Places looked back in a sorted order, in the first and the second round.
 NEAR, FAR = 1, 8
 BEST = 3
+#: Nodes sampled to tell frequent shingles from rare ones, and the frequent shingles kept (12 MB).
+SAMPLE, FREQUENT = 16_384, 1_000_000
 _hashes = WordHashes()
 _rng = np.random.default_rng(20)
 _XOR, _MUL = _rng.integers(0, 1 << 32, VALUES, dtype=np.uint32), _rng.integers(0, 1 << 31, VALUES, dtype=np.uint32) * 2 + 1
@@ -199,6 +201,68 @@ def confirm(pairs: DataFrame, sets: DataFrame, least: int) -> DataFrame:
     return written(both.select("u", "v", "su", "sv").mapInArrow(_confirmed(least), "u binary, v binary"), "links")
 
 
+def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for s in batch.column("s").to_pylist():
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(s, np.uint64).view(np.int64))], ["g"])
+
+
+def frequent(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that stand in several sampled sets, sorted, and in how many. It only guides the order of
+    shingles: any order that is the same for all sets gives the same links."""
+    share = min(1.0, SAMPLE / max(sets.count(), 1))
+    some = sets.filter(unsigned(F.xxhash64("node")) < share)
+    often = some.mapInArrow(_listed, "g bigint").groupBy("g").count().filter("count > 1").orderBy(F.desc("count"), "g").limit(FREQUENT).toArrow()
+    g = often.column("g").to_numpy().view(np.uint64)
+    order = np.argsort(g)
+    return g[order], often.column("count").to_numpy()[order].astype(np.int32)
+
+
+def _first(least: int, often):
+    """Rare shingles first, cut where a set that is similar enough must have shared one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, count = often.value
+        for batch in batches:
+            n, heads = [], []
+            for raw in batch.column("s").to_pylist():
+                s = np.frombuffer(raw, np.uint64)
+                c = np.zeros(len(s), np.int32)
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, s), len(known) - 1)
+                    c = np.where(known[at] == s, count[at], 0)
+                n.append(len(s))
+                heads.append(s[np.lexsort((s, c))[: len(s) + least * len(s) // -100 + 1]].view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(n, pa.int64()), pa.array(heads, pa.list_(pa.int64()))], ["node", "n", "g"])
+
+    return run
+
+
+def _held(bits):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(in_bitmap(bits.value, batch.column("g").to_numpy())))
+
+    return run
+
+
+def between(sets: DataFrame, label: DataFrame, least: int) -> DataFrame:
+    """u, v: every pair of nodes of different labels that can be similar enough. Exact: similar sets share one
+    of their first shingles, and the places left after it bound what they can have in common."""
+    often = sets.sparkSession.sparkContext.broadcast(frequent(sets))
+    heads = sets.mapInArrow(_first(least, often), "node binary, n bigint, g array<bigint>")
+    heads = written(heads.join(label, "node", "left").withColumn("label", F.coalesce("label", "node")), "heads")
+    posts = heads.select("node", "label", "n", F.posexplode("g").alias("p", "g"))
+    # Shingles that only one component holds leave before rows are dealt by shingle.
+    mixed_up = posts.groupBy("g").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high")
+    kept = posts.mapInArrow(_held(bitmap(mixed_up, "g")), posts.schema)
+    a = kept.select("g", F.col("node").alias("u"), F.col("label").alias("lu"), F.col("n").alias("nu"), F.col("p").alias("pu"))
+    b = kept.select("g", F.col("node").alias("v"), F.col("label").alias("lv"), F.col("n").alias("nv"), F.col("p").alias("pv"))
+    can = F.least(F.col("nu") - F.col("pu"), F.col("nv") - F.col("pv")) * (100 + least) >= least * (F.col("nu") + F.col("nv"))
+    pairs = a.join(b, (a["g"] == b["g"]) & (F.col("u") < F.col("v")) & (F.col("lu") != F.col("lv")) & can)
+    return pairs.select("u", "v").distinct()
+
+
 def components(links: DataFrame) -> DataFrame:
     """node, label: nodes that links join, directly or not, have the same label. Nodes without links are left out."""
     edges, labels, turn = links.select("u", "v"), None, 0
@@ -253,7 +317,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     apart = near.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     more = confirm(candidates(apart, least, FAR).select("u", "v"), sets, least)
     if not more.isEmpty():
-        label = components(links.union(more))
+        links = links.union(more)
+        label = components(links)
+    # Last, exactly, whatever lies between the components that were found.
+    rest = confirm(between(sets, label, least), sets, least)
+    if not rest.isEmpty():
+        label = components(links.union(rest))
 
     placed = described.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     # A group may hold a third of all rows: its smallest id is aggregated first and joined back.
