@@ -34,10 +34,11 @@ def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = minhash.near_duplicates(docs, size=5, least=80)
-    # Repeated rows share id and text: the group keeps them as one.
-    kept = found.filter("kept").groupBy("id").agg(F.min(F.struct("ka", "kb")).alias("k")).select("id", F.col("k.ka").alias("ka"), F.col("k.kb").alias("kb"))
-    rows = _on_text(docs, kept, "inner")
-    return rows.dropDuplicates(["__id", "__ka", "__kb"]).select(*[docs[c] for c in docs.columns])
+    # Only rows of one group compete: ids may be null or repeated over different texts.
+    kept = found.filter("kept").groupBy("label", "id").agg(F.min(F.struct("ka", "kb")).alias("k")).select("id", F.col("k.ka").alias("ka"), F.col("k.kb").alias("kb"))
+    # Repeated rows share id and text and are one document; a null text is none of the empty ones.
+    rows = _on_text(docs, kept, "inner").withColumn("__null", F.col("text").isNull())
+    return rows.dropDuplicates(["__id", "__ka", "__kb", "__null"]).select(*[docs[c] for c in docs.columns])
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -284,7 +284,8 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, least: int = 80) -> DataFrame:
-    """One row a record: id, ka, kb (the text's key), n_shingles, component_id, kept.
+    """One row a record: id, ka, kb (the text's key), n_shingles, label, component_id, kept. The label names the
+    component, also where ids are null or repeated; a text without a set has its key's.
 
     Linked are texts whose shingle sets have a Jaccard similarity of ``least`` percent or more."""
     spark = docs.sparkSession
@@ -328,4 +329,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # A group may hold a third of all rows: its smallest id is aggregated first and joined back.
     smallest = placed.filter("label is not null").groupBy("label").agg(F.min("id").alias("component_id"))
     out = placed.join(smallest, "label", "left").withColumn("component_id", F.coalesce("component_id", "id"))
-    return out.select("id", "ka", "kb", F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+    name = F.coalesce(F.hex("label"), F.concat_ws(" ", "ka", "kb"))
+    return out.select("id", "ka", "kb", F.col("n").alias("n_shingles"), name.alias("label"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
