@@ -223,6 +223,16 @@ def test_licenses(spark, docs, empty):
     assert licenses.scan(docs).count() == docs.count() and licenses.scan(empty).count() == 0
 
 
+def test_licenses_merge_before_they_vote(spark, monkeypatch):
+    long = " ".join(f"term{k}" for k in range(150))
+    monkeypatch.setitem(licenses.TEMPLATES, "long", [long])
+    half = " ".join(long.split()[:90])
+    texts = [(1, "Released under the X11/MIT license", "a"), (2, f"x {long} y", "a"), (3, half, "a"), (4, long.replace("term70 ", ""), "a"), (5, "under the mit", "a")]
+    got = plain(licenses.scan(table(spark, texts)), "doc_id", "labels", "score")
+    assert [r[:2] for r in got] == [(1, "mit"), (2, "long"), (3, ""), (4, "long"), (5, "")]
+    assert got[0][2] == 0.75 and got[1][2] == 1.0 and got[3][2] == 147 / 149
+
+
 def test_forward_backward_matches_enumeration():
     import itertools
     import math

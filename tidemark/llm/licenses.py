@@ -2,9 +2,9 @@
 
 Every rolling word k-gram of a text is hashed and joined to the positions at which license templates
 hold the same k-gram.  A hit at word ``p`` of the text and ``q`` of the template votes for the diagonal
-``p - q``; votes are a bit set over q, so a repeated row or hit votes once.  Diagonals that lie within a
-few words of each other (a word added or left out) are merged, and a merged span is accepted when enough
-of the template's k-grams are found on it; the words themselves are compared at each hit.
+``p - q``; votes are bit sets over q, 64 to a row, so a repeated row or hit votes once.  Diagonals that lie
+within a few words of each other (a word added or left out) are merged, and a merged span is accepted when
+enough of the template's k-grams are found on it; the words themselves are compared at each hit.
 
 Defined cases: a null text counts as empty (no words, empty labels, score 0); equal rows give equal
 results and all stay; an empty table gives an empty result; other columns are ignored.
@@ -70,20 +70,21 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int
         words = words & (F.get(F.col("__w"), pos + j) == F.col("gram")[j])
     found = found.filter(same == (F.col("__p") == 0)).filter(same | words)
     votes = found.select(
-        "doc_id", "__x", F.size("__w").cast("long").alias("n_words"), "template", "label", "base", "length", (pos - F.col("q")).cast("long").alias("d"), F.expr("shiftleft(1L, q)").alias("bit")
+        "doc_id", "__x", F.size("__w").cast("long").alias("n_words"), "template", "label", "base", "length", (pos - F.col("q")).cast("long").alias("d"), F.expr("q div 64").alias("block"), F.expr("shiftleft(1L, cast(q % 64 as int))").alias("bit")
     )
-    diagonals = votes.groupBy("doc_id", "__x", "n_words", "template", "label", "base", "length", "d").agg(F.bit_or("bit").alias("bits"), F.count("*").alias("n"))
-    diagonals = diagonals.withColumn("votes", F.bit_count("bits"))
-    # A base phrase must be whole; the other diagonals need two votes to be worth merging.
-    diagonals = diagonals.filter((F.col("template") == 0) | F.when(F.col("base"), F.col("votes") == F.col("length")).otherwise(F.col("votes") >= 2))
+    keys = ["doc_id", "__x", "n_words", "template", "label", "base", "length"]
+    diagonals = votes.groupBy(*keys, "d", "block").agg(F.bit_or("bit").alias("bits"), F.count("*").alias("n"))
     line = Window.partitionBy("doc_id", "__x", "template").orderBy("d")
-    step = F.when(F.col("base") | (F.col("d") - F.lag("d").over(line) > band), 1).otherwise(0)
+    before = F.col("d") - F.lag("d").over(line)
+    # The rows of one diagonal stay together; those of base phrases are never merged.
+    step = F.when(before.isNull() | (before > F.when(F.col("base"), 0).otherwise(band)), 1).otherwise(0)
     merged = diagonals.withColumn("__s", step).withColumn("__g", F.sum("__s").over(line.rowsBetween(Window.unboundedPreceding, 0)))
-    spans = merged.groupBy("doc_id", "__x", "n_words", "template", "label", "base", "length", "__g").agg(
-        F.bit_or("bits").alias("bits"), F.min("d").alias("low"), F.max("d").alias("high"), F.max("n").alias("n")
-    )
-    part = F.bit_count("bits") / F.col("length")
-    spans = spans.withColumn("part", F.when(F.col("template") > 0, part).otherwise(0.0)).filter((F.col("template") == 0) | F.col("base") | (F.col("part") >= enough))
+    spans = merged.groupBy(*keys, "__g", "block").agg(F.bit_or("bits").alias("bits"), F.min("d").alias("low"), F.max("d").alias("high"), F.max("n").alias("n"))
+    spans = spans.groupBy(*keys, "__g").agg(F.sum(F.bit_count("bits")).alias("votes"), F.min("low").alias("low"), F.max("high").alias("high"), F.max("n").alias("n"))
+    part = F.col("votes") / F.col("length")
+    spans = spans.withColumn("part", F.when(F.col("template") > 0, part).otherwise(0.0))
+    # A base phrase must be whole.
+    spans = spans.filter((F.col("template") == 0) | (F.col("part") >= F.when(F.col("base"), 1.0).otherwise(enough)))
     span = F.struct((F.col("low")).alias("start"), (F.col("high") + F.col("length") + k - 1).alias("end"), "label", "part")
     base = F.col("base")
     out = spans.groupBy("doc_id", "__x", "n_words").agg(
