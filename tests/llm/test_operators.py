@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm import brute
-from tidemark.llm import bpe, lengths, licenses, media, minhash, mixing, quality, sharding, substring, toxicity
+from tidemark.llm import bpe, lengths, licenses, media, mixing, quality, sharding, substring, toxicity
 from tidemark.llm.queries import vocabulary
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size string, n long"
@@ -52,70 +52,6 @@ def test_substring_factors_name_their_reference(docs):
     assert any(f["ref_id"] is not None for f in by_id[3]["factors"])
 
 
-def test_near_duplicates(docs, empty):
-    rows = rows_of(docs.filter("doc_id is not null").dropDuplicates(["doc_id"]))
-    expected = brute.near(rows)
-    for r in minhash.near_duplicates(docs, size=3, least=85).collect():
-        if r["id"] is not None:
-            assert (r["n_shingles"], r["component_id"]) == expected[r["id"]]
-            assert r["kept"] == (r["id"] == r["component_id"])
-    assert minhash.near_duplicates(empty).count() == 0
-
-
-def test_near_duplicates_of_a_chain(spark):
-    """Each text differs from the next by a word; the ends are far apart but one component."""
-    words = [f"v{k}" for k in range(200)]
-    texts = []
-    for k in range(40):
-        words[5 * k % 200] = f"changed{k}"
-        texts.append((k, " ".join(words), "a"))
-    got = {r["id"]: r["component_id"] for r in minhash.near_duplicates(table(spark, texts), size=3, least=85).collect()}
-    assert set(got.values()) == {0}
-
-
-@pytest.fixture
-def many_partitions(spark):
-    old = spark.conf.get("spark.sql.shuffle.partitions")
-    spark.conf.set("spark.sql.shuffle.partitions", "200")
-    yield
-    spark.conf.set("spark.sql.shuffle.partitions", old)
-
-
-def test_one_near_pair_among_clean_texts(spark, many_partitions):
-    """Two crowded nodes have 128 places in all orders, fewer than ranges: neighbours stand on either side of an end."""
-    clean = [(k, " ".join(f"c{k}w{j}" for j in range(50)), "a") for k in range(20)]
-    docs = table(spark, [*clean, (20, BASE, "a"), (21, NEAR, "a")])
-    pairs = minhash.candidates(_crowded(docs, [20, 21]), 85, minhash.NEAR).collect()
-    assert len(pairs) == 1
-    got = {r["id"]: r["component_id"] for r in minhash.near_duplicates(docs, size=3, least=85).collect()}
-    assert got == {k: k for k in range(20)} | {20: 20, 21: 20}
-
-
-def _crowded(docs, ids):
-    rows = [(minhash.shingles(r["text"].encode(), 3), r["doc_id"]) for r in docs.collect() if r["doc_id"] in ids]
-    made = [(str(i).encode(), str(i).encode(), minhash.sketch(s).tobytes()) for s, i in rows]
-    return docs.sparkSession.createDataFrame(made, "node binary, label binary, sk binary")
-
-
-def test_few_links_in_a_dense_region(spark, monkeypatch):
-    """Variants of one text, most pairs below the threshold, in components that single pairs tie: the orders
-    find none of them here, so all links come from the exact step."""
-    monkeypatch.setattr(minhash, "candidates", lambda nodes, least, width: nodes.select(F.col("node").alias("u"), F.col("node").alias("v"), F.lit(0).alias("m")).limit(0))
-    texts = []
-    for k in range(60):
-        words = [f"v{j}" for j in range(200)]
-        for j in range(12):
-            words[(j * 16 + k // 2 * 7) % 200] = f"change{k // 2}n{j}"
-        if k % 2:
-            words[(k * 5 + 3) % 200] = f"own{k}"
-        texts.append((k, " ".join(words), "a"))
-    docs = table(spark, texts)
-    expected = brute.near(rows_of(docs))
-    assert len({c for _, c in expected.values()}) > 1
-    got = {r["id"]: (r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(docs, size=3, least=85).collect()}
-    assert got == expected
-
-
 def test_bpe_equals_the_library(docs, empty):
     from tokenizers import Tokenizer
 

@@ -1,21 +1,32 @@
 """Near-duplicate detection with an LSH forest.
 
-Texts with equal shingle sets become one node.  Each node has a sketch of 128 minhash values.  Nodes that
-share no short band of values with another node are alone and leave early.  The others are sorted in
-several orders, each by another sequence of the values; in a sorted order the nodes with the longest
-common prefixes stand side by side, so the depth of a comparison follows the density of its region: where
-many nodes agree on the first values, later values decide who are neighbours.  Neighbours with a long
-enough prefix are candidates.  Candidates are confirmed on the full sets: the best ones of each node first,
-then those that still lie in different components.  Components come from rounds of hooking each to a
-neighbour of lower random rank.
+Texts with equal shingle sets become one node.  A node has a sketch of 128 minhash values and stands in 32
+sorted orders, each of which begins with four values of its own and goes on with the next ones.
+
+1. Orders.  Nodes that agree on the first values of an order form a region of it; nodes alone in all of
+   their regions leave.  In a region neighbours in the order, those with the longest common prefix, are
+   candidates if enough of their sketches agree; where neighbours do not connect a region, its nodes are
+   compared further, as far as the region is dense: a window of the sorted order at a time.
+2. Groups.  Candidates join nodes to groups, so that texts that could be linked lie in one group.
+3. Exact.  Each set travels once, to its group, and is compared with the others in blocks inside a task; a
+   pair that is already connected is not looked at again, so only links that join components come out.  A
+   group of many blocks is joined by one representative of each component in ever wider rounds; what is
+   not in its largest component then meets every block of it, so no pair is left out.
+
+A link is missed only if no order puts its texts in one window: with 32 orders of four values the chance is
+5e-8 for a pair at 80 % and less for closer ones; in a region denser than a window, nodes further apart in
+its order meet in other orders or through the nodes between them.
 
 Defined cases: null and empty texts have no set and stay alone; a text of fewer words than a shingle is
-one shingle; equal rows fall into one component and carry the same id; a null id is never the smallest
-unless it is the only one; an empty table gives an empty result; other columns are ignored.
+one shingle; equal rows fall into one component and carry the same id; ties between ids don't arise, the
+smallest id is the component's; a null id is never the smallest unless it is the only one; a very long
+text is one set in memory (8 bytes a word); an empty table gives an empty result; other columns, whatever
+their names, are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,20 +34,19 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
-from .common import FOLD, WordHashes, bitmap, in_bitmap, mixed, small_batches, text_key, unsigned, utf8, written
+from .common import FOLD, WordHashes, discard, mixed, small_batches, text_key, utf8, written
 
-VALUES, BAND, TREES, DEPTH, LEAST_DEPTH = 128, 4, 64, 24, 3
-#: Places looked back in a sorted order, in the first and the second round.
-NEAR, FAR = 1, 8
-BEST = 3
-#: Nodes sampled to tell frequent shingles from rare ones, and the frequent shingles kept (12 MB).
-SAMPLE, FREQUENT = 16_384, 1_000_000
+VALUES, BAND = 128, 4
+TREES = VALUES // BAND
+#: Places of a sorted order that are looked at together, and those carried on to the next look.
+PLACES, CARRIED = 2048, 128
+#: Shingles in a block of sets that one task compares (8 bytes each).
+BLOCK = 500_000
 _hashes = WordHashes()
 _rng = np.random.default_rng(20)
 _XOR, _MUL = _rng.integers(0, 1 << 32, VALUES, dtype=np.uint32), _rng.integers(0, 1 << 31, VALUES, dtype=np.uint32) * 2 + 1
-_ORDERS = np.array([_rng.permutation(VALUES)[:DEPTH] for _ in range(TREES)])
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 def shingles(text: bytes, size: int) -> np.ndarray:
@@ -48,7 +58,7 @@ def shingles(text: bytes, size: int) -> np.ndarray:
     size = min(size, len(words))
     out = np.full(len(words) - size + 1, len(words) if len(words) < size else size, np.uint64)
     for k in range(size):
-        out = mixed(out * np.uint64(0x9E3779B97F4A7C15) + h[k : len(words) - size + 1 + k])
+        out = mixed(out * _STEP + h[k : len(words) - size + 1 + k])
     return np.unique(out)
 
 
@@ -74,195 +84,117 @@ def _nodes(size: int):
     return run
 
 
-def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sk = np.frombuffer(b"".join(batch.column("sk").to_pylist()), np.uint16).reshape(-1, VALUES)
-        parts = np.ascontiguousarray(sk).view(np.uint64).reshape(len(sk), VALUES // BAND)
-        keys = mixed(parts + np.arange(1, VALUES // BAND + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        nodes = np.repeat(np.arange(len(sk)), keys.shape[1])
-        yield pa.RecordBatch.from_arrays([batch.column("node").take(pa.array(nodes)), pa.array(keys.reshape(-1).view(np.int64))], ["node", "key"])
-
-
-def _orders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sk = np.frombuffer(b"".join(batch.column("sk").to_pylist()), np.uint16).reshape(-1, VALUES)
-        keys = np.ascontiguousarray(sk[:, _ORDERS].astype(">u2"))  # bytes sort as the values do
-        flat = keys.reshape(-1).tobytes()
-        step = 2 * DEPTH
-        rows = len(sk) * TREES
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.tile(np.arange(TREES, dtype=np.int32), len(sk))), pa.array([flat[i * step : (i + 1) * step] for i in range(rows)], pa.binary()), *[batch.column(c).take(pa.array(np.repeat(np.arange(len(sk)), TREES))) for c in ("node", "label")]],
-            ["tree", "key", "node", "label"],
-        )
-
-
-def _neighbours(least: float, width: int):
-    """Pairs of near places in a sorted order that differ in their label: with a common prefix of LEAST_DEPTH
-    at least, and with enough equal values.  The first and last places of the range follow as edges: their
-    node, label and place (e), to be compared with the ranges beside."""
-    need = int(np.floor(DEPTH * (least - 0.2)))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head: tuple | None = None
-        tail: tuple | None = None
-        rows = 0
-        for batch in batches:
-            tree, *names = batch.column("tree").to_numpy(), *(np.array(batch.column(c).to_pylist(), object) for c in ("node", "label"))
-            now = (tree, *names, np.frombuffer(b"".join(batch.column("key").to_pylist()), ">u2").reshape(-1, DEPTH))
-            rows += len(tree)
-            head = tuple(x[:width] for x in (now if head is None else (np.concatenate(x) for x in zip(head, now, strict=True))))
-            old = 0 if tail is None else len(tail[0])
-            tree, node, label, key = now if tail is None else (np.concatenate(x) for x in zip(tail, now, strict=True))
-            u, v, m = [], [], []
-            for d in range(1, min(width, len(tree) - 1) + 1):
-                new = np.arange(max(old, d), len(tree))
-                same = key[new] == key[new - d]
-                ok = np.flatnonzero((tree[new] == tree[new - d]) & (label[new] != label[new - d]) & same[:, :LEAST_DEPTH].all(axis=1) & (same.sum(axis=1) >= need))
-                u.append(node[new[ok]])
-                v.append(node[new[ok] - d])
-                m.append(same[ok].sum(axis=1))
-            tail = tuple(x[-width:] for x in (tree, node, label, key))
-            if u:
-                pairs = [(x, y) if x < y else (y, x) for x, y in zip(np.concatenate(u), np.concatenate(v), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.binary()), pa.array([p[1] for p in pairs], pa.binary()), pa.array(np.concatenate(m).astype(np.int32)), pa.nulls(len(pairs), pa.binary())], ["u", "v", "m", "e"])
-        if rows:
-            more = min(width, rows - len(head[0]))
-            tree, node, label, key = (np.concatenate((x, y[len(y) - more :])) for x, y in zip(head, tail, strict=True))
-            place = [t.tobytes() + k.tobytes() for t, k in zip(tree.astype(">u4"), key.astype(">u2"), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(node, pa.binary()), pa.array(label, pa.binary()), pa.array(np.zeros(len(tree), np.int32)), pa.array(place, pa.binary())], ["u", "v", "m", "e"])
-
-    return run
-
-
-def _across(edges: pa.Table, least: float, width: int) -> pa.Table:
-    """The pairs that stand on either side of a range's end. Places between the edges of a long range are
-    left out, so a few pairs are further apart than ``width``; they are candidates like the others."""
-    rows = sorted(zip(*(edges.column(c).to_pylist() for c in "euv"), strict=True))
-    line = pa.RecordBatch.from_arrays([pa.array([int.from_bytes(e[:4]) for e, _, _ in rows], pa.int32()), *(pa.array(x, pa.binary()) for x in ([e[4:] for e, _, _ in rows], [u for _, u, _ in rows], [v for _, _, v in rows]))], ["tree", "key", "node", "label"])
-    schema = pa.schema({"u": pa.binary(), "v": pa.binary(), "m": pa.int32(), "e": pa.binary()})
-    found = pa.Table.from_batches(_neighbours(least, width)(iter([line] if rows else [])), schema)
-    return found.filter(found.column("e").is_null()).select(["u", "v", "m"])
-
-
-def candidates(nodes: DataFrame, least: int, width: int) -> DataFrame:
-    """nodes: node, label, sk.  Sort them in every order and return u, v, m: neighbours and their equal values."""
-    spark = nodes.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8)
-    order = nodes.select("node", "label", "sk").mapInArrow(_orders, "tree int, key binary, node binary, label binary")
-    line = order.repartitionByRange(parts, "tree", "key", "node").sortWithinPartitions("tree", "key", "node")
-    found = line.mapInArrow(_neighbours(least / 100, width), "u binary, v binary, m int, e binary").groupBy("u", "v", "e").agg(F.max("m").alias("m"))
-    found = written(found, "neighbours")
-    # At most 2 * width rows a range, whatever the table holds: the driver compares them.
-    across = _across(found.filter("e is not null").select("u", "v", "e").toArrow(), least / 100, width)
-    pairs = found.filter("e is null").select("u", "v", "m")
-    if not across.num_rows:
-        return pairs
-    return pairs.union(spark.createDataFrame(across, "u binary, v binary, m int")).groupBy("u", "v").agg(F.max("m").alias("m"))
-
-
-def _sets(size: int, wanted):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            node, sets = [], []
-            for text in utf8(batch.column("text")):
-                s = shingles(text, size)
-                key = xxhash.xxh3_128_digest(s.tobytes())
-                if len(s) and in_bitmap(wanted.value, np.frombuffer(key[:8], ">i8").astype(np.int64))[0]:
-                    node.append(key)
-                    sets.append(s.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(node, pa.binary()), pa.array(sets, pa.binary())], ["node", "s"])
+def _matrix(column: pa.Array, kind) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), -1)
 
-    return run
 
+def _head(node: pa.Array) -> np.ndarray:
+    """A node's short name in the orders. Where two nodes share it they are candidates, no more."""
+    return _matrix(node, ">i8")[:, 0].astype(np.int64)
 
-def _confirmed(least: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ok = []
-            for a, b in zip(batch.column("su").to_pylist(), batch.column("sv").to_pylist(), strict=True):
-                x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-                both = 0
-                if min(len(x), len(y)) * 100 >= least * max(len(x), len(y)):
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(100 * both >= least * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], ["u", "v"]).filter(pa.array(ok, pa.bool_()))
 
-    return run
+def _short(node: str):
+    """The same as a column: the first eight bytes."""
+    return F.conv(F.hex(F.substring(node, 1, 8)), 16, -10).cast("long")
 
 
-def _head(node):
-    """The first eight bytes of a node as a long."""
-    return F.conv(F.hex(F.substring(node, 1, 8)), 16, -10).cast("long")
+def _first_values(sk: np.ndarray) -> np.ndarray:
+    return mixed(np.ascontiguousarray(sk).view(np.uint64).reshape(len(sk), TREES) + np.arange(1, TREES + 1, dtype=np.uint64) * _STEP)
 
 
-def confirm(pairs: DataFrame, sets: DataFrame, least: int) -> DataFrame:
-    left = pairs.join(sets.select(F.col("node").alias("u"), F.col("s").alias("su")), "u")
-    both = left.join(sets.select(F.col("node").alias("v"), F.col("s").alias("sv")), "v")
-    return written(both.select("u", "v", "su", "sv").mapInArrow(_confirmed(least), "u binary, v binary"), "links")
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        key = _first_values(_matrix(batch.column("sk"), np.uint16))
+        yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1).view(np.int64)), pa.array(np.repeat(_head(batch.column("node")), TREES))], ["key", "h"])
 
 
-def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _crowded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by key: the nodes that share one with the row before or behind."""
+    last = (np.zeros(0, np.int64), np.zeros(0, np.int64))
     for batch in batches:
-        for s in batch.column("s").to_pylist():
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(s, np.uint64).view(np.int64))], ["g"])
+        key, h = (np.concatenate((old, batch.column(c).to_numpy())) for old, c in zip(last, ("key", "h"), strict=True))
+        same = key[1:] == key[:-1]
+        hit = np.concatenate((same, [False])) | np.concatenate(([False], same))
+        yield pa.RecordBatch.from_arrays([pa.array(np.unique(h[hit]))], ["h"])
+        last = (key[-1:], h[-1:])
 
 
-def frequent(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that stand in several sampled sets, sorted, and in how many. It only guides the order of
-    shingles: any order that is the same for all sets gives the same links."""
-    share = min(1.0, SAMPLE / max(sets.count(), 1))
-    some = sets.filter(unsigned(F.xxhash64("node")) < share)
-    often = some.mapInArrow(_listed, "g bigint").groupBy("g").count().filter("count > 1").orderBy(F.desc("count"), "g").limit(FREQUENT).toArrow()
-    g = often.column("g").to_numpy().view(np.uint64)
-    order = np.argsort(g)
-    return g[order], often.column("count").to_numpy()[order].astype(np.int32)
+def _orders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A node's place in each order: the region, the values that follow, and its sketch in eight bits a value."""
+    for batch in batches:
+        sk = _matrix(batch.column("sk"), np.uint16)
+        quad = sk.reshape(len(sk), TREES, BAND).astype(np.uint64)
+        deep = sum(quad[:, :, k] << np.uint64(16 * (BAND - 1 - k)) for k in range(BAND))
+        flat = lambda x: pa.array(np.ascontiguousarray(x).reshape(-1).view(np.int64))
+        small = sk.astype(np.uint8)
+        yield pa.RecordBatch.from_arrays(
+            [flat(_first_values(sk)), flat(np.roll(deep, -1, axis=1)), pa.array(np.repeat(_head(batch.column("node")), TREES)), pa.array([x.tobytes() for x in small], pa.binary()).take(pa.array(np.repeat(np.arange(len(sk)), TREES)))],
+            ["key", "deep", "h", "sk"],
+        )
 
 
-def _first(least: int, often):
-    """Rare shingles first, cut where a set that is similar enough must have shared one."""
+def connect(sk: np.ndarray, comp: np.ndarray, need: int) -> list[tuple[int, int]]:
+    """Pairs that join the components of a window, by sketches that agree in ``need`` places."""
+    out = []
+    for i in range(len(sk)):
+        other = np.flatnonzero(comp != comp[i])
+        if not len(other):
+            break
+        hit = other[(sk[other] == sk[i]).sum(axis=1) >= need]
+        for j in hit.tolist():
+            if comp[j] != comp[i]:
+                out.append((i, j))
+                comp[comp == comp[j]] = comp[i]
+    return out
+
+
+def _candidates(need: int):
+    """Rows come sorted by region and following values: pairs of short names that connect near nodes."""
+
+    def look(key: np.ndarray, h: np.ndarray, sk: np.ndarray) -> tuple[list, list]:
+        same = np.flatnonzero(key[1:] == key[:-1])
+        near = same[(sk[same] == sk[same + 1]).sum(axis=1) >= need]
+        u, v = [h[near]], [h[near + 1]]
+        joined = np.zeros(len(key), bool)
+        joined[near + 1] = True
+        starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        ends = np.append(starts[1:], len(key))
+        loose = np.add.reduceat(~joined, starts) if len(starts) else np.zeros(0)
+        for lo, hi in zip(starts[loose > 1].tolist(), ends[loose > 1].tolist(), strict=True):
+            if hi - lo > 2:
+                for at in range(lo, hi, PLACES - CARRIED):
+                    to = min(at + PLACES, hi)
+                    more = connect(sk[at:to], np.cumsum(~joined[at:to]), need)
+                    u.append(h[[at + i for i, _ in more]])
+                    v.append(h[[at + j for _, j in more]])
+        return u, v
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, count = often.value
-        for batch in batches:
-            n, heads = [], []
-            for raw in batch.column("s").to_pylist():
-                s = np.frombuffer(raw, np.uint64)
-                c = np.zeros(len(s), np.int32)
-                if len(known):
-                    at = np.minimum(np.searchsorted(known, s), len(known) - 1)
-                    c = np.where(known[at] == s, count[at], 0)
-                n.append(len(s))
-                heads.append(s[np.lexsort((s, c))[: len(s) + least * len(s) // -100 + 1]].view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(n, pa.int64()), pa.array(heads, pa.list_(pa.int64()))], ["node", "n", "g"])
-
-    return run
+        held = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, VALUES), np.uint8))
 
+        def pairs(rows) -> pa.RecordBatch:
+            u, v = (np.concatenate(x) for x in look(*rows))
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["u", "v"])
 
-def _held(bits):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(in_bitmap(bits.value, batch.column("g").to_numpy())))
+            if not batch.num_rows:
+                continue
+            now = (batch.column("key").to_numpy(), batch.column("h").to_numpy(), _matrix(batch.column("sk"), np.uint8))
+            rows = tuple(np.concatenate(x) for x in zip(held, now, strict=True))
+            cut = int(np.searchsorted(rows[0], rows[0][-1]))  # the last region may go on
+            if len(rows[0]) - cut > 2 * PLACES:
+                yield pairs(rows)
+                held = tuple(x[-CARRIED:] for x in rows)
+            else:
+                if cut:
+                    yield pairs(tuple(x[:cut] for x in rows))
+                held = tuple(x[cut:] for x in rows)
+        if len(held[0]):
+            yield pairs(held)
 
     return run
 
 
-def between(sets: DataFrame, label: DataFrame, least: int) -> DataFrame:
-    """u, v: every pair of nodes of different labels that can be similar enough. Exact: similar sets share one
-    of their first shingles, and the places left after it bound what they can have in common."""
-    often = sets.sparkSession.sparkContext.broadcast(frequent(sets))
-    heads = sets.mapInArrow(_first(least, often), "node binary, n bigint, g array<bigint>")
-    heads = written(heads.join(label, "node", "left").withColumn("label", F.coalesce("label", "node")), "heads")
-    posts = heads.select("node", "label", "n", F.posexplode("g").alias("p", "g"))
-    # Shingles that only one component holds leave before rows are dealt by shingle.
-    mixed_up = posts.groupBy("g").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high")
-    kept = posts.mapInArrow(_held(bitmap(mixed_up, "g")), posts.schema)
-    a = kept.select("g", F.col("node").alias("u"), F.col("label").alias("lu"), F.col("n").alias("nu"), F.col("p").alias("pu"))
-    b = kept.select("g", F.col("node").alias("v"), F.col("label").alias("lv"), F.col("n").alias("nv"), F.col("p").alias("pv"))
-    can = F.least(F.col("nu") - F.col("pu"), F.col("nv") - F.col("pv")) * (100 + least) >= least * (F.col("nu") + F.col("nv"))
-    pairs = a.join(b, (a["g"] == b["g"]) & (F.col("u") < F.col("v")) & (F.col("lu") != F.col("lv")) & can)
-    return pairs.select("u", "v").distinct()
-
-
 def components(links: DataFrame) -> DataFrame:
     """node, label: nodes that links join, directly or not, have the same label. Nodes without links are left out."""
     edges, labels, turn = links.select("u", "v"), None, 0
@@ -273,61 +205,158 @@ def components(links: DataFrame) -> DataFrame:
         hook = hook.select("u", F.when(F.col("m.r") < rank(F.col("u")), F.col("m.v")).otherwise(F.col("u")).alias("p"))
         jump = hook.alias("h").join(hook.select(F.col("u").alias("p"), F.col("p").alias("q")).alias("g"), "p").select("u", F.col("q").alias("p"))
         hook = written(jump, "hooks")
-        labels = hook.select(F.col("u").alias("node"), F.col("p").alias("label")) if labels is None else labels.join(hook.select(F.col("u").alias("label"), "p"), "label", "left").select("node", F.coalesce("p", "label").alias("label"))
-        near = hook.select("u", F.col("p").alias("pu"))
-        far = hook.select(F.col("u").alias("v"), F.col("p").alias("pv"))
+        old = labels
+        labels = hook.select(F.col("u").alias("node"), F.col("p").alias("label"))
+        if old is not None:
+            labels = old.join(labels.toDF("label", "p"), "label", "left").select("node", F.coalesce("p", "label").alias("label"))
+        near, far = hook.select("u", F.col("p").alias("pu")), hook.select(F.col("u").alias("v"), F.col("p").alias("pv"))
         moved = edges.join(near, "u").join(far, "v").filter("pu != pv")
-        edges = written(moved.select(F.least("pu", "pv").alias("u"), F.greatest("pu", "pv").alias("v")).distinct(), "edges")
+        last, edges = edges, written(moved.select(F.least("pu", "pv").alias("u"), F.greatest("pu", "pv").alias("v")).distinct(), "edges")
+        if turn:
+            discard(last)
         turn += 1
         if edges.isEmpty():
-            return written(labels, "labels")
+            return labels
+
+
+def _sets(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingles(text, size).tobytes() for text in utf8(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("node", "region", "blocks")], pa.array(sets, pa.binary())], ["node", "region", "blocks", "s"])
+
+    return run
+
+
+def links(sets: list[bytes], comp: np.ndarray, asked: np.ndarray, least: int) -> list[tuple[int, int]]:
+    """Pairs (an asked set, another) with a similarity of ``least`` percent that join components; exact."""
+    size = np.array([len(s) // 8 for s in sets])
+    first = np.cumsum(size) - size
+    known, flat = np.unique(np.frombuffer(b"".join(sets), np.uint64), return_inverse=True)
+    mark, out = np.zeros(len(known), np.int32), []
+    for i in np.flatnonzero(asked).tolist():
+        if (comp == comp[i]).all():
+            continue
+        mine = flat[first[i] : first[i] + size[i]]
+        mark[mine] = 1
+        both = np.add.reduceat(mark[flat], first)
+        mark[mine] = 0
+        for j in np.flatnonzero((100 * both >= least * (size + size[i] - both)) & (comp != comp[i])).tolist():
+            if comp[j] != comp[i]:
+                out.append((i, j))
+                comp[comp == comp[j]] = comp[i]
+    return out
+
+
+def _compared(least: int):
+    """Rows come sorted by cell: the links of each cell that join components. Cells are bounded by BLOCK."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, rows, out = None, [], []
 
+        def close() -> None:
+            if len(rows) > 1:
+                names, label, asked, sets = zip(*rows, strict=True)
+                comp = np.unique(np.array([x.hex() for x in label]), return_inverse=True)[1]
+                out.extend((names[i], names[j]) for i, j in links(list(sets), comp, np.array(asked), least))
+            rows.clear()
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, least: int = 80) -> DataFrame:
+        def found() -> pa.RecordBatch:
+            batch = pa.RecordBatch.from_arrays([pa.array([f(p) for p in out], pa.binary()) for f in (min, max)], ["u", "v"])
+            out.clear()
+            return batch
+
+        for batch in batches:
+            cells = zip(*(batch.column(c).to_pylist() for c in ("region", "block", "other")), strict=True)
+            for cell, row in zip(cells, zip(*(batch.column(c).to_pylist() for c in ("node", "label", "asked", "s")), strict=True), strict=True):
+                if cell != now:
+                    close()
+                    now = cell
+                rows.append(row)
+            yield found()
+        close()
+        yield found()
+
+    return run
+
+
+def compare(cells: DataFrame, least: int) -> DataFrame:
+    """cells: region, block, other, node, label, asked, s. The links between labels inside each cell."""
+    line = cells.select("region", "block", "other", "node", "label", "asked", "s").repartition("region", "block", "other")
+    found = line.sortWithinPartitions("region", "block", "other", "node").mapInArrow(_compared(least), "u binary, v binary")
+    return written(found.distinct(), "links")
+
+
+def _among(n: str, *salt) -> F.Column:
+    """A place among ``n`` by the node's hash."""
+    return F.pmod(F.xxhash64("node", *salt), F.col(n)).cast("int")
+
+
+def _wide(sets: DataFrame, found: DataFrame, least: int, block: int) -> DataFrame:
+    """Links between the blocks of groups that have several: all links with ``found``, the links inside blocks."""
+    turn, before = 0, math.inf
+    while True:
+        named = sets.join(components(found), "node", "left").withColumn("label", F.coalesce("label", "node")).withColumn("size", F.octet_length("s") / 8)
+        heads = named.groupBy("region", "label").agg(F.min_by("node", "size").alias("node"), F.min("size").alias("size"))
+        many = heads.groupBy("region").agg(F.count("*").alias("labels"), F.ceil(F.sum("size") / block).cast("int").alias("n")).filter("labels > 1")
+        many = written(many, "many")
+        now = many.agg(F.sum("labels")).first()[0] or 0
+        if 2 * now > before or not now:  # few components are left, or they lie apart
+            break
+        turn, before = turn + 1, now
+        cells = sets.join(heads.join(many, "region").select("node", "label", "n"), "node")
+        cells = cells.select("region", _among("n", F.lit(turn)).alias("block"), F.lit(0).alias("other"), "node", "label", F.lit(True).alias("asked"), "s")
+        found = written(found.union(compare(cells, least)), "links")
+    # Exactly what is left: all that is not in the largest component of its group meets every block of the group.
+    sizes = named.groupBy("region", "label").agg(F.sum("size").alias("w"))
+    most = sizes.groupBy("region").agg(F.max_by("label", F.struct("w", "label")).alias("most"), F.count("*").alias("labels"), (F.sum("w") - F.max("w")).alias("rest"))
+    most = most.filter("labels > 1").select("region", "most", F.ceil(F.col("rest") / block).cast("int").alias("others"))
+    left = named.join(most, "region")
+    every = left.select("region", _among("blocks").alias("block"), F.explode(F.sequence(F.lit(0), F.col("others") - 1)).alias("other"), "node", "label", F.lit(False).alias("asked"), "s")
+    few = left.filter("label != most").select("region", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), _among("others", F.lit(3)).alias("other"), "node", "label", F.lit(True).alias("asked"), "s")
+    return found.union(compare(every.union(few), least))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, least: int = 80, block: int = BLOCK) -> DataFrame:
     """One row a record: id, ka, kb (the text's key), n_shingles, label, component_id, kept. The label names the
     component, also where ids are null or repeated; a text without a set has its key's.
 
-    Linked are texts whose shingle sets have a Jaccard similarity of ``least`` percent or more."""
-    spark = docs.sparkSession
-    small_batches(spark)
+    Linked are texts whose shingle sets have a Jaccard similarity of ``least`` percent or more; ``block`` is
+    the number of shingles that one task compares with each other."""
+    small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("k"), F.col(text_col).alias("text")).select("id", "k.a", "k.b", "text").toDF("id", "ka", "kb", "text")
     described = written(rows.mapInArrow(_nodes(size), f"id {kind}, ka bigint, kb bigint, n bigint, node binary, sk binary"), "sketches")
-    node = described.filter("node is not null").groupBy("node").agg(F.first("sk").alias("sk"))
-
-    band = node.mapInArrow(_bands, "node binary, key bigint")
-    shared = bitmap(band.groupBy("key").count().filter("count > 1"), "key")
 
-    def crowded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in _bands([batch]):
-                hit = in_bitmap(shared.value, part.column("key").to_numpy()).reshape(batch.num_rows, -1).any(axis=1)
-            yield batch.filter(pa.array(hit))
-
-    near = written(node.mapInArrow(crowded, "node binary, sk binary"), "crowded")
-    wanted = bitmap(near.select(_head(F.col("node")).alias("h")), "h", 24)
-    sets = rows.select("text").mapInArrow(_sets(size, wanted), "node binary, s binary").groupBy("node").agg(F.first("s").alias("s"))
+    node = described.filter("node is not null").groupBy("node").agg(F.first("sk").alias("sk"), F.min(F.struct("ka", "kb")).alias("k"), F.min("n").alias("n"))
+    place = node.mapInArrow(_places, "key bigint, h bigint").repartition("key").sortWithinPartitions("key")
+    crowded = place.mapInArrow(_crowded, "h bigint").distinct()
+    near = written(node.withColumn("h", _short("node")).join(crowded, "h", "left_semi"), "crowded")
+
+    t = least / 100
+    need = math.floor(VALUES * t - 5 * math.sqrt(VALUES * t * (1 - t)))  # five standard deviations of the estimate
+    line = near.mapInArrow(_orders, "key bigint, deep bigint, h bigint, sk binary").repartition("key").sortWithinPartitions("key", "deep", "h")
+    edges = written(line.mapInArrow(_candidates(need), "u bigint, v bigint").distinct(), "candidates")
+    region = components(edges).select(F.col("node").alias("h"), F.col("label").alias("region"))
+
+    # One text of each set goes to its group; copies leave before the shuffle.
+    group = region.join(near, "h").select("node", "region", "n", "k.ka", "k.kb")
+    blocks = group.groupBy("region").agg(F.ceil(F.sum("n") / block).cast("int").alias("blocks"))
+    text = rows.groupBy("ka", "kb").agg(F.first("text").alias("text"))
+    sets = text.join(group.join(blocks, "region"), ["ka", "kb"]).select("node", "region", "blocks", "text").mapInArrow(_sets(size), "node binary, region bigint, blocks int, s binary")
     sets = written(sets, "sets")
-
-    # First the best direct neighbours of each node, then wider, but only across what is still apart.
-    pairs = candidates(near.withColumn("label", F.col("node")), least, NEAR)
-    either = pairs.union(pairs.select("v", "u", "m"))
-    best = either.withColumn("k", F.row_number().over(Window.partitionBy("u").orderBy(F.desc("m"), "v"))).filter(f"k <= {BEST}")
-    links = confirm(best.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), sets, least)
-    label = components(links)
-    apart = near.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    more = confirm(candidates(apart, least, FAR).select("u", "v"), sets, least)
-    if not more.isEmpty():
-        links = links.union(more)
-        label = components(links)
-    # Last, exactly, whatever lies between the components that were found.
-    rest = confirm(between(sets, label, least), sets, least)
-    if not rest.isEmpty():
-        label = components(links.union(rest))
-
-    placed = described.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    # A group may hold a third of all rows: its smallest id is aggregated first and joined back.
-    smallest = placed.filter("label is not null").groupBy("label").agg(F.min("id").alias("component_id"))
-    out = placed.join(smallest, "label", "left").withColumn("component_id", F.coalesce("component_id", "id"))
-    name = F.coalesce(F.hex("label"), F.concat_ws(" ", "ka", "kb"))
+    inside = sets.select("region", _among("blocks").alias("block"), F.lit(0).alias("other"), "node", F.col("node").alias("label"), F.lit(True).alias("asked"), "s")
+    found = compare(inside, least)
+    wide = sets.filter("blocks > 1")
+    if not wide.isEmpty():
+        found = _wide(wide, found, least, block)
+    label = components(found)
+
+    # The smallest id goes from rows to nodes to components and back, so no step holds a group's rows.
+    ids = described.filter("node is not null").groupBy("node").agg(F.min("id").alias("component_id"), F.count("*").alias("n"))
+    named = ids.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    smallest = named.groupBy("label").agg(F.min("component_id").alias("component_id"), F.sum("n").alias("n")).filter("n > 1")
+    named = named.select("node", "label").join(smallest.select("label", "component_id"), "label")
+    out = described.drop("sk").join(named, "node", "left").withColumn("component_id", F.coalesce("component_id", "id"))
+    name = F.coalesce(F.hex(F.coalesce("label", "node")), F.concat_ws(" ", "ka", "kb"))
     return out.select("id", "ka", "kb", F.col("n").alias("n_shingles"), name.alias("label"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
