@@ -303,7 +303,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     kind = docs.schema[id_col].dataType.simpleString()
     rows = keyed(docs, id_col, text_col)
     counts = rows.select("text").mapInArrow(_counted, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
-    shared = bitmap(counts.filter("n > 1"), "h", 25)
+    shared = bitmap(counts.filter("n > 1"), "h")
     base = f"id {kind}, ka bigint, kb bigint"
     alone = rows.mapInArrow(_alone(path, shared), f"{base}, ids binary")
     once = rows.select("text").mapInArrow(_shared_texts(shared), "key binary, chunk string").groupBy("key").agg(F.first("chunk").alias("chunk"))

@@ -85,17 +85,25 @@ def unsigned(h: Column) -> Column:
     return (F.shiftrightunsigned(h, 11).cast("double")) / F.lit(float(1 << 53))
 
 
-def bitmap(df: DataFrame, key: str, bits: int = 26):
-    """Broadcast a bit set of 2**bits bits (8 MB for 26) with the bits of all values of a 64-bit hash column.
-
-    Its size is fixed whatever the table holds.  It only says "surely not there" or "perhaps there": callers
-    use it to leave out work early and stay right, though slower, when it fills up.
-    """
-    place = F.shiftrightunsigned(F.col(key), 64 - bits)
-    words = df.select(place.alias("p")).selectExpr("cast(p >> 6 as int) as i", "shiftleft(1L, cast(p & 63 as int)) as b")
+#: At most 2**MOST bits (256 MB) in a bit set.
+MOST = 31
+
+
+def bitmap(df: DataFrame, key: str):
+    """Broadcast a bit set with the bits of all values of a 64-bit hash column: some 16 to 32 bits a value,
+    so that few others seem to be in it.
+
+    It grows with the number of values up to 256 MB (134 million values).  It only says "surely not there" or
+    "perhaps there": callers leave out work early and an exact step follows, so with still more values more
+    rows reach that step and results stay the same."""
+    values = written(df.select(F.col(key).alias("p")), "values")
+    bits = min(max((16 * values.count()).bit_length(), 10), MOST)
+    place = F.shiftrightunsigned(F.col("p"), 64 - bits)
+    words = values.select(place.alias("p")).selectExpr("cast(p >> 6 as int) as i", "shiftleft(1L, cast(p & 63 as int)) as b")
     words = words.groupBy("i").agg(F.bit_or("b").alias("b")).toArrow()
     out = np.zeros(1 << (bits - 6), np.int64)
     out[words.column("i").to_numpy()] = words.column("b").to_numpy()
+    discard(values)
     return df.sparkSession.sparkContext.broadcast(out)
 
 
