@@ -7,7 +7,9 @@ within a few words of each other (a word added or left out) are merged, and a me
 enough of the template's k-grams are found on it; the words themselves are compared at each hit.
 
 Defined cases: a null text counts as empty (no words, empty labels, score 0); equal rows give equal
-results and all stay; an empty table gives an empty result; other columns are ignored.
+results and all stay; ties don't arise, labels are sorted and places are numbers; the work grows in proportion to
+the words of a text, whose list of words one task holds; an empty table gives an empty result; other columns,
+whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -59,19 +61,22 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int
     """One row a record: id, n_words, n_base, first_word, last_word, base_labels, labels, score, spans."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), text_key(text).alias("__x"), F.regexp_extract_all(F.translate(text, UPPER, LOWER), F.lit(TOKEN), F.lit(0)).alias("__w"))
+    # The number of words is a column of its own, or the list would go along with every k-gram.
+    rows = rows.withColumn("n_words", F.size("__w").cast("long"))
     last = F.size("__w") - k
-    grams = F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), lambda i: gram_hash([F.get(F.col("__w"), i + j) for j in range(k)]))).otherwise(F.array().cast("array<bigint>"))
-    hits = rows.select("doc_id", "__x", "__w", F.posexplode(F.concat(F.array(F.xxhash64(*[F.lit("")] * k)), grams)).alias("__p", "h"))
+    # A k-gram travels with its own words; the text's list of words stays behind.
+    word = lambda i, j: F.get(F.col("__w"), i + j)
+    gram = lambda i: F.struct(i.alias("p"), gram_hash([word(i, j) for j in range(k)]).alias("h"), *[word(i, j).alias(f"w{j}") for j in range(k)])
+    kind = "array<struct<p:int,h:bigint," + ",".join(f"w{j}:string" for j in range(k)) + ">>"
+    grams = F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), gram)).otherwise(F.array().cast(kind))
+    marker = F.struct(F.lit(-1).alias("p"), gram_hash([F.lit("")] * k).alias("h"), *[F.lit("").alias(f"w{j}") for j in range(k)])
+    hits = rows.select("doc_id", "__x", "n_words", F.inline(F.concat(F.array(marker).cast(kind), grams)))
     found = hits.join(F.broadcast(template_grams(docs.sparkSession, k)), "h")
-    pos = F.col("__p") - 1
-    same = F.col("template") == 0
-    words = F.lit(True)
+    same = F.lit(True)
     for j in range(k):
-        words = words & (F.get(F.col("__w"), pos + j) == F.col("gram")[j])
-    found = found.filter(same == (F.col("__p") == 0)).filter(same | words)
-    votes = found.select(
-        "doc_id", "__x", F.size("__w").cast("long").alias("n_words"), "template", "label", "base", "length", (pos - F.col("q")).cast("long").alias("d"), F.expr("q div 64").alias("block"), F.expr("shiftleft(1L, cast(q % 64 as int))").alias("bit")
-    )
+        same = same & (F.col(f"w{j}") == F.col("gram")[j])
+    found = found.filter(((F.col("template") == 0) == (F.col("p") < 0)) & same)
+    votes = found.select("doc_id", "__x", "n_words", "template", "label", "base", "length", (F.col("p") - F.col("q")).cast("long").alias("d"), F.expr("q div 64").alias("block"), F.expr("shiftleft(1L, cast(q % 64 as int))").alias("bit"))
     keys = ["doc_id", "__x", "n_words", "template", "label", "base", "length"]
     diagonals = votes.groupBy(*keys, "d", "block").agg(F.bit_or("bit").alias("bits"), F.count("*").alias("n"))
     line = Window.partitionBy("doc_id", "__x", "template").orderBy("d")
