@@ -11,8 +11,9 @@ pass that is left.  ``cut`` decides about the document at the end of that part:
 words that are still asked for, ``whole`` takes the document if at least half of it is.
 
 Defined cases: null or empty texts have size 0 and take 0; a null source is a source of its own, last in
-order; equal rows stand side by side and count one by one; an empty table gives an empty result;
-further columns are kept by ``mix`` and ignored by ``plan``.
+order; equal rows stand side by side and count one by one; ties in a source's order (a hash) go to the smaller
+id, and documents with one training position come in any order; a very long text is one row of its size; an
+empty table gives an empty result; further columns, whatever their names, are kept by ``mix`` and ignored by ``plan``.
 """
 
 from __future__ import annotations
@@ -58,48 +59,41 @@ def _position(x, start, end):
 
 
 def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cut: str = "split") -> DataFrame:
-    """One row a document: doc_id, source, size, source_size, target, passes, part, taken, position and __key."""
+    """One row a document: doc_id, source, size, source_size, target, passes, part, taken, positions (one for each
+    time it is read, smallest first), and ``h`` and ``x``, the names by which ``mix`` finds it again."""
     sized = docs.select(
-        F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"),
-        F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))).alias("__h"), F.md5(F.coalesce(F.col(text_col), F.lit(""))).alias("__x"),
-    ).withColumn("__b", F.substring("__h", 1, BUCKET))
+        F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), F.md5(F.coalesce(F.col(text_col), F.lit(""))).alias("x"),
+    ).withColumn("h", F.md5(F.concat_ws(" ", F.col("doc_id").cast("string"), "x"))).withColumn("b", F.substring("h", 1, BUCKET))
     sized = written(sized, "mix-sizes")
-    bucket = sized.groupBy("source", "__b").agg(F.sum("size").alias("w"))
+    bucket = sized.groupBy("source", "b").agg(F.sum("size").alias("w"))
     source = targets(bucket.groupBy("source").agg(F.sum("w").alias("source_size")))
-    ahead = Window.partitionBy("source").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    begin = bucket.select("source", "__b", F.coalesce(F.sum("w").over(ahead), F.lit(0)).alias("w0"))
+    ahead = Window.partitionBy("source").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    begin = bucket.select("source", "b", F.coalesce(F.sum("w").over(ahead), F.lit(0)).alias("w0"))
     begin = begin.join(source, begin["source"].eqNullSafe(source["source"])).drop(source["source"])
-    inside = Window.partitionBy("source", "__b").orderBy("__h", F.col("doc_id"), "size", "__x").rowsBetween(Window.unboundedPreceding, -1)
-    run = sized.withColumn("__c", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    run = run.join(begin, run["source"].eqNullSafe(begin["source"]) & (run["__b"] == begin["__b"])).drop(begin["source"], begin["__b"])
-    run = run.withColumn("__c", F.col("w0") + F.col("__c"))
+    inside = Window.partitionBy("source", "b").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    run = sized.withColumn("c", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    run = run.join(begin, run["source"].eqNullSafe(begin["source"]) & (run["b"] == begin["b"])).drop(begin["source"], begin["b"])
+    run = run.withColumn("c", F.col("w0") + F.col("c"))
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
-    run = run.withColumn("passes", whole).withColumn("__left", F.col("target") - F.col("passes") * F.col("source_size"))
+    run = run.withColumn("passes", whole).withColumn("left", F.col("target") - F.col("passes") * F.col("source_size"))
     if cut == "split":
-        part = F.greatest(F.least(F.round("__left").cast("long") - F.col("__c"), F.col("size")), F.lit(0))
+        part = F.greatest(F.least(F.round("left").cast("long") - F.col("c"), F.col("size")), F.lit(0))
     else:
-        part = F.when(F.col("__c") + F.col("size") / 2 <= F.col("__left"), F.col("size")).otherwise(0)
+        part = F.when(F.col("c") + F.col("size") / 2 <= F.col("left"), F.col("size")).otherwise(0)
     run = run.withColumn("part", part.cast("long")).withColumn("taken", (F.col("passes") * F.col("size") + F.col("part")).cast("long"))
-    middle = (F.col("__c") + F.col("size") / 2) / F.col("target")
-    first = F.when(F.col("taken") > 0, _position(F.least(middle, F.lit(1.0)), F.col("start"), F.col("end")))
-    return run.withColumn("position", first)
+    # Documents without words are read as often as a pass reads them.
+    times = (F.col("passes") + F.when(F.col("part") > 0, 1).otherwise(0)).cast("int")
+    middle = lambda e: F.coalesce(F.least((e * F.col("source_size") + F.col("c") + F.col("size") / 2) / F.nullif(F.col("target"), F.lit(0.0)), F.lit(1.0)), F.lit(1.0))
+    reads = F.transform(F.sequence(F.lit(0), times - 1), lambda e: _position(middle(e), F.col("start"), F.col("end")))
+    return run.withColumn("positions", F.when(times > 0, reads).otherwise(F.array().cast("array<double>")))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The mix itself: the rows of ``docs``, each as often as it is taken, range-sorted by training position.
+    """The mix itself: the rows of ``docs``, each as often as it is read, range-sorted by training position.
 
     Equal rows (id, source and text) are each taken as often as the first of them."""
-    names = docs.columns
-    chosen = plan(docs, id_col, text_col, source_col, cut="whole")
-    copies = F.col("passes").cast("int") + (F.col("part") > 0).cast("int")
-    chosen = chosen.withColumn("__copies", copies).filter("__copies > 0")
-    firsts = chosen.groupBy(F.col("doc_id").alias("__id"), F.col("source").alias("__s"), F.col("__x").alias("__y")).agg(
-        F.min_by(F.struct("__copies", "__c", "size", "source_size", "target", "start", "end"), "__c").alias("__p")
-    )
-    docs = docs.withColumn("__z", F.md5(F.coalesce(F.col(text_col), F.lit(""))))
-    rows = docs.join(firsts, docs[id_col].eqNullSafe(firsts["__id"]) & docs[source_col].eqNullSafe(firsts["__s"]) & (docs["__z"] == firsts["__y"]))
-    rows = rows.select(*[docs[c] for c in names], "__p", F.explode(F.sequence(F.lit(0), F.col("__p.__copies") - 1)).alias("__e"))
-    x = (F.col("__e") * F.col("__p.source_size") + F.col("__p.__c") + F.col("__p.size") / 2) / F.col("__p.target")
-    rows = rows.select(*names, _position(F.coalesce(F.least(x, F.lit(1.0)), F.lit(1.0)), F.col("__p.start"), F.col("__p.end")).alias("__t"))
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartitionByRange(n, "__t").sortWithinPartitions("__t").select(*names)
+    chosen = plan(docs, id_col, text_col, source_col, cut="whole").filter(F.size("positions") > 0)
+    chosen = chosen.groupBy(F.col("doc_id").alias("i"), F.col("source").alias("s"), "x").agg(F.min_by("positions", "c").alias("positions"))
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.md5(F.coalesce(F.col(text_col), F.lit(""))).alias("y"))
+    rows = rows.join(chosen, rows["id"].eqNullSafe(chosen["i"]) & rows["source"].eqNullSafe(chosen["s"]) & (rows["y"] == chosen["x"]))
+    return rows.select("row", F.explode("positions").alias("t")).orderBy("t").select("row.*")
