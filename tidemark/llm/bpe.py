@@ -10,8 +10,9 @@ the whole text, until both ends agree with tokens of the chunks.  The ids are ex
 Byte-level BPE decodes without loss: every id stands for fixed bytes.
 
 Defined cases: null counts as empty and has no ids; strings of special tokens in a text become their ids,
-as in the library; repeated rows come back as often as they went in; an empty table gives an empty result;
-other columns are ignored.
+as in the library; repeated rows come back as often as they went in; texts with equal ids are told apart by
+their content; there are no ties; a very long text travels chunk by chunk but is put together whole by one
+task; an empty table gives an empty result; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -258,13 +259,14 @@ def _encoded(path: str):
     return run
 
 
-def _joined(path: str, id_type: pa.DataType):
+def _joined(path: str):
     """Rows come sorted by text and place: put each text together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
         now, parts, times = None, {}, 0
         out: list[tuple] = []
+        id_type: pa.DataType | None = None
 
         def close() -> None:
             if now is not None:
@@ -275,6 +277,7 @@ def _joined(path: str, id_type: pa.DataType):
             return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["id", "ka", "kb", "ids"])
 
         for batch in batches:
+            id_type = batch.column("id").type
             cols = [batch.column(n).to_pylist() for n in ("id", "ka", "kb", "seq", "ids")]
             for i, a, b, seq, ids in zip(*cols, strict=True):
                 if (i, a, b) != now:
@@ -286,7 +289,8 @@ def _joined(path: str, id_type: pa.DataType):
                 yield batch_of(out)
                 out.clear()
         close()
-        yield batch_of(out)
+        if out:
+            yield batch_of(out)
 
     return run
 
@@ -310,8 +314,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     once = once.mapInArrow(_encoded(path), "key binary, ids binary")
     pieces = rows.mapInArrow(_pieces(path, shared), f"{base}, seq int, key binary, own binary")
     full = pieces.join(once, "key", "left").select("id", "ka", "kb", "seq", F.coalesce("own", "ids").alias("ids"))
-    id_type = pa.int64() if kind == "bigint" else pa.int32() if kind == "int" else pa.string()
-    put = full.repartition("id", "ka", "kb").sortWithinPartitions("id", "ka", "kb", "seq").mapInArrow(_joined(path, id_type), f"{base}, ids binary")
+    put = full.repartition("id", "ka", "kb").sortWithinPartitions("id", "ka", "kb", "seq").mapInArrow(_joined(path), f"{base}, ids binary")
     return alone.unionByName(put)
 
 

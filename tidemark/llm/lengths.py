@@ -4,8 +4,9 @@ Documents are aggregated by encoded length; everything else is answered from tha
 sums over the lengths, each length L is a context limit for which the table holds the documents that fit,
 the documents that are longer, and the tokens that are left when every document is cut at L.
 
-Defined cases: null and empty texts have length 0; repeated rows count one by one; an empty table gives an
-empty histogram; other columns are ignored.
+Defined cases: null and empty texts have length 0; repeated rows count one by one; equal lengths are one row, so
+there are no ties; a very long text is held whole by one task; an empty table gives an empty histogram; other
+columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -39,8 +40,13 @@ def histogram(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
     return written(counted, "lengths")
 
 
-def limits(hist: DataFrame) -> DataFrame:
-    """For every length as a context limit: n_docs, n_fit, n_longer, total_tokens, truncated_tokens, share (of documents that fit).
+#: Shares of the documents whose length is answered.
+QUANTILES = {"p50": 0.5, "p90": 0.9, "p99": 0.99}
+
+
+def limits(hist: DataFrame, quantiles: dict[str, float] = QUANTILES) -> DataFrame:
+    """For every length as a context limit: n_docs, n_fit, n_longer, n_at_least, total_tokens, truncated_tokens,
+    share (of documents that fit) and, for each quantile, the length that this share of the cut documents has at most.
 
     The sums run in two levels, over blocks of lengths and inside a block, so no task orders all lengths."""
     h = hist.withColumn("b", F.floor(F.col("n_tokens") / BLOCK)).withColumn("t", F.col("n_tokens") * F.col("n_docs"))
@@ -50,11 +56,18 @@ def limits(hist: DataFrame) -> DataFrame:
     upto = Window.partitionBy("b").orderBy("n_tokens").rowsBetween(Window.unboundedPreceding, 0)
     h = h.join(block, "b").withColumn("n_fit", F.col("d0") + F.sum("n_docs").over(upto)).withColumn("fit_tokens", F.col("t0") + F.sum("t").over(upto))
     longer = F.col("docs") - F.col("n_fit")
-    return h.select("n_tokens", "n_docs", "n_fit", longer.alias("n_longer"), "total_tokens", (F.col("fit_tokens") + F.col("n_tokens") * longer).alias("truncated_tokens"), (F.col("n_fit") / F.col("docs")).alias("share"))
+    out = h.select("n_tokens", "n_docs", "n_fit", longer.alias("n_longer"), (longer + F.col("n_docs")).alias("n_at_least"), "total_tokens", (F.col("fit_tokens") + F.col("n_tokens") * longer).alias("truncated_tokens"), (F.col("n_fit") / F.col("docs")).alias("share"))
+    at = out.agg(*[F.min(F.when(F.col("share") >= q, F.col("n_tokens"))).alias(name) for name, q in quantiles.items()])  # one row
+    return out.crossJoin(F.broadcast(at)).select(*out.columns, *[F.least("n_tokens", name).alias(name) for name in quantiles])
 
 
 def answer(limit_table: DataFrame, limit: int) -> DataFrame:
     """Total, documents cut and tokens left for one context limit, whether or not a document has that length."""
-    below = limit_table.filter(F.col("n_tokens") <= limit).agg(F.max_by(F.struct("n_fit", "n_longer", "truncated_tokens", "n_tokens"), "n_tokens").alias("x"))
-    more = F.col("x.n_longer") * (F.lit(limit) - F.col("x.n_tokens"))
-    return below.select(F.lit(limit).alias("limit"), F.col("x.n_fit").alias("n_fit"), F.col("x.n_longer").alias("n_cut"), (F.col("x.truncated_tokens") + more).alias("tokens_left"))
+    below, above = F.col("n_tokens") <= limit, F.col("n_tokens") > limit
+    x = limit_table.agg(
+        F.max_by(F.struct("n_fit", "n_longer", "truncated_tokens", "n_tokens"), F.when(below, F.col("n_tokens"))).alias("x"),
+        F.max(F.when(above, F.col("n_at_least"))).alias("more"),
+    )
+    cut = F.coalesce("more", F.lit(0))
+    left = F.coalesce(F.col("x.truncated_tokens") - F.col("x.n_longer") * F.col("x.n_tokens"), F.lit(0)) + cut * limit
+    return x.select(F.lit(limit).alias("limit"), F.coalesce("x.n_fit", F.lit(0)).alias("n_fit"), cut.alias("n_cut"), left.alias("tokens_left"))

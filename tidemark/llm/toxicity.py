@@ -7,13 +7,15 @@ and the transitions between tags.  Forward-backward gives each token's marginal;
 logistic function of its largest marginal and its expected number of toxic tokens, and runs of tokens
 above one half are its offending offsets.
 
-Training reads a bounded sample of labelled documents (``per_class`` of either class, chosen by a hash of
-the id); scoring reads every document whole.
+Training reads a bounded sample of labelled documents (``per_class`` and ``class_bytes`` of either class,
+chosen by a hash of the id); scoring reads every document whole.
 
 Defined cases: null and empty texts have no tokens and get the score of a document without any sign; words
 never seen have the score of their known prefixes and suffixes, or of none; equal rows get equal scores;
 ids with several or null labels count as toxic if any label is 1 and are left out if all are null; without
-any training row the model calls nothing toxic; an empty table gives an empty result.
+any training row the model calls nothing toxic; equal hashes in the choice of the sample are ordered by id; a
+very long text is scored in one task, block by block; an empty table gives an empty result; other columns, whatever
+their names, are ignored (``keep_clean`` keeps them).
 """
 
 from __future__ import annotations
@@ -25,12 +27,14 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import FOLD, mixed, small_batches, utf8
 
 PER_CLASS = 1500
+#: Bytes of training texts of either class at most; the texts that would go beyond are left out of the sample.
+CLASS_BYTES = 32 << 20
 PUNCTUATION = bytes(range(33, 48)) + bytes(range(58, 65)) + bytes(range(91, 97)) + bytes(range(123, 127))
 LENGTH = 256
 #: Training documents handled at a time.
@@ -242,13 +246,17 @@ def is_held_out(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
-def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = PER_CLASS) -> tuple[list[bytes], list[int]]:
-    """At most ``per_class`` labelled training documents of either class, chosen by a hash of the id."""
+def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = PER_CLASS, class_bytes: int = CLASS_BYTES) -> tuple[list[bytes], list[int]]:
+    """At most ``per_class`` labelled training documents of either class, chosen by a hash of the id, and at most
+    ``class_bytes`` of their texts."""
     label = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("y")).filter("id is not null and y is not null").filter(~is_held_out("id"))
     label = label.groupBy("id").agg(F.max("y").alias("y"))
     some = [label.filter(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(per_class) for y in (0, 1)]
     chosen = F.broadcast(some[0].union(some[1]))  # 2 * per_class rows at most
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(chosen, "id").groupBy("id").agg(F.min("text").alias("text"), F.max("y").alias("y"))
+    line = Window.partitionBy("y").orderBy(F.xxhash64("id"), "id")  # 2 * per_class rows at most
+    size = F.coalesce(F.octet_length("text"), F.lit(0))
+    rows = rows.withColumn("upto", F.sum(size).over(line)).filter(F.col("upto") <= class_bytes).drop("upto")
     got = sorted(rows.collect(), key=lambda r: str(r["id"]))
     return [(r["text"] or "").encode() for r in got], [int(r["y"]) for r in got]
 
@@ -288,10 +296,11 @@ def _scored(shared):
 def _offsets(text: bytes, marginal: np.ndarray) -> list[dict]:
     """Character offsets of the runs of toxic tokens, with the largest marginal of each."""
     out: list[dict] = []
+    chars = None if text.isascii() else np.concatenate(([0], np.cumsum(np.frombuffer(text, np.uint8) & 0xC0 != 0x80)))
     last = -2
     for k, m in enumerate(_WORD.finditer(text)):
         if marginal[k] >= 0.5:
-            a, b = (len(text[: x].decode("utf-8", "replace")) for x in m.span())
+            a, b = m.span() if chars is None else (int(chars[x]) for x in m.span())
             if last == k - 1:
                 out[-1]["end"] = b
                 out[-1]["marginal"] = max(out[-1]["marginal"], float(marginal[k]))
