@@ -1,7 +1,13 @@
 """The ten operators against brute force on small fixtures, with their defined edge cases."""
 
+import gzip
 import hashlib
+import random
+import re
+import struct
+import time
 import zlib
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -67,6 +73,8 @@ def test_bpe_equals_the_library(docs, empty):
     back = {(r["id"], r["text"]) for r in bpe.decode(bpe.encode(docs, path), path).collect()}
     assert back == {(i, x or "") for i, x in rows_of(docs)}
     assert bpe.encode(empty, path).count() == 0
+    small = bpe.encode(docs.withColumn("doc_id", F.col("doc_id").cast("smallint")).withColumn("ids", F.lit("clash")), path)
+    assert small.schema["id"].dataType.simpleString() == "smallint" and plain(bpe.digests(small, path), "id", "ids_sha256") == plain(bpe.digests(bpe.encode(docs, path), path), "id", "ids_sha256")
 
 
 @pytest.mark.parametrize("text", ["abc def" * 500, "x" * 5000, "1234 5678\t\tab <|endoftext|> cd" * 200, "日本語テキスト" * 300, "a  b \n\n c　d" * 400])
@@ -87,19 +95,26 @@ def test_lengths(docs, empty):
     assert set(got) == set(n)
     for k, r in got.items():
         assert (r["n_docs"], r["n_longer"], r["total_tokens"], r["truncated_tokens"]) == (n.count(k), sum(x > k for x in n), sum(n), sum(min(x, k) for x in n))
-    a = lengths.answer(lengths.limits(lengths.histogram(docs, vocabulary())), 100).first()
-    assert a["tokens_left"] == sum(min(x, 100) for x in n)
+        assert r["n_at_least"] == sum(x >= k for x in n)
+        for name, q in lengths.QUANTILES.items():
+            cut = sorted(min(x, k) for x in n)
+            assert r[name] == cut[next(i for i in range(len(cut)) if (i + 1) / len(cut) >= q)]
+    for limit in (0, 1, 100, 10**7):
+        a = lengths.answer(lengths.limits(lengths.histogram(docs, vocabulary())), limit).first()
+        assert (a["n_fit"], a["n_cut"], a["tokens_left"]) == (sum(x <= limit for x in n), sum(x > limit for x in n), sum(min(x, limit) for x in n))
     assert lengths.limits(lengths.histogram(empty, vocabulary())).count() == 0
 
 
 def test_media_payload_and_sniffing(docs, empty, spark):
-    got = {r["id"]: r for r in media.features(media.store_texts(docs)).collect()}
+    expected = []
     for i, text in rows_of(docs):
         raw = (text or "").encode()
         payload = raw + bytes(-len(raw) % 64 if raw else 64)
-        r = got[i]
-        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
-        assert r["sniffed_type"] == "audio/wav"
+        stored = media.as_wav(payload)
+        expected.append((i, len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(stored), hashlib.sha256(stored).hexdigest(), "text/plain", "audio/wav", True))
+    names = ["id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "declared_type", "media_type", "type_corrected"]
+    assert plain(media.features(media.store_texts(docs)), *names) == sorted(expected, key=repr)
+    assert media.features(media.store_texts(docs, declared="audio/wav")).filter("type_corrected").count() == 0
     assert media.features(media.store_texts(empty)).count() == 0
     wav, gz = media.as_wav(b"abc"), __import__("gzip").compress(b"x" * 500)
     blobs = [(1, wav, "image/png"), (2, b"junk" + gz + wav + b"BM GIF89a", None), (3, None, "audio/wav"), (4, wav[:-2], "audio/wav"), (5, gz, "application/gzip")]
@@ -110,48 +125,145 @@ def test_media_payload_and_sniffing(docs, empty, spark):
     assert out[5]["type_corrected"] is False
 
 
-def test_mixing(docs, empty):
-    rows = mixing.plan(docs).select("doc_id", "source", "size", "source_size", "target", "taken").collect()
-    total = sum(r["size"] for r in rows)
-    targets = {r["source"]: (r["target"], r["source_size"]) for r in rows}
-    assert abs(sum(t for t, _ in targets.values()) - 1.5 * total) < 1e-6
-    for s, (t, n) in targets.items():
-        assert t <= 2 * n + 1e-9
-        assert abs(sum(r["taken"] for r in rows if r["source"] == s) - t) <= 1
-    assert all(r["taken"] <= 2 * r["size"] for r in rows)
-    assert sorted(map(tuple, rows), key=repr) == sorted(map(tuple, mixing.plan(docs).select("doc_id", "source", "size", "source_size", "target", "taken").collect()), key=repr)
+def test_gzip_and_mp4_lengths():
+    gz = gzip.compress(bytes(3 << 20)) + b"behind"
+    assert media.objects(b"ab" + gz) == [(2, len(gz) - 6, "application/gzip")]
+    box = lambda kind, body: struct.pack(">I4s", 8 + len(body), kind) + body
+    wide = struct.pack(">I4sQ", 1, b"mdat", 16 + 100) + bytes(100)
+    movie = box(b"ftyp", b"isom") + wide + box(b"moov", b"x" * 20)
+    assert media.objects(movie) == [(0, len(movie), "video/mp4")]
+    assert media.objects(box(b"ftyp", b"isom") + box(b"moov", b"") + struct.pack(">I4s", 0, b"mdat") + b"rest")[0][1] == 12 + 8 + 12
+
+
+def naive_mix(rows):
+    """(id, text, source) -> (id, size, source size, target, taken, reads, position, last position)."""
+    md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
+    d = [(i, len(brute.words(t)), s, md5(" ".join(x for x in (None if i is None else str(i), md5(t or "")) if x is not None))) for i, t, s in rows]
+    n = {s: sum(x[1] for x in d if x[2] == s) for s in {x[2] for x in d}}
+    names = sorted(n, key=lambda s: (s is None, s or ""))
+    weight = {s: (5.0, 2.0, 1.0)[k % 3] for k, s in enumerate(names)}
+    ramp = {s: mixing.RAMPS[k % 3] for k, s in enumerate(names)}
+    target, free, left = {}, set(names), 1.5 * sum(n.values())
+    while True:
+        level = left / sum(weight[s] for s in free)
+        over = {s for s in free if level * weight[s] >= 2 * n[s]}
+        if not over:
+            break
+        for s in over:
+            target[s] = 2.0 * n[s]
+            left -= target[s]
+        free -= over
+    target |= {s: level * weight[s] for s in free}
+    out, at = [], dict.fromkeys(names, 0)
+    for i, size, s, _ in sorted(d, key=lambda x: (names.index(x[2]), x[3])):
+        passes = int(target[s] // n[s]) if n[s] else 0
+        part = max(min(int(target[s] - passes * n[s] + 0.5) - at[s], size), 0)
+        reads = passes + (part > 0)
+        a, b = ramp[s]
+
+        def place(e, a=a, b=b, s=s, size=size):
+            x = min((e * n[s] + at[s] + size / 2) / target[s], 1)
+            lo, hi = 0.0, 1.0  # the rate runs from a to b; bisect its integral
+            for _ in range(60):
+                t = (lo + hi) / 2
+                lo, hi = (t, hi) if (a * t + (b - a) * t * t / 2) / ((a + b) / 2) < x else (lo, t)
+            return lo
+
+        out.append((i, size, n[s], target[s], passes * size + part, reads, place(0) if reads else None, place(reads - 1) if reads else None))
+        at[s] += size
+    return out
+
+
+def test_mixing(spark, docs, empty):
+    rows = [(r["doc_id"], r["text"], r["source"]) for r in docs.collect()]
+    for df, some in ((docs, rows), (table(spark, [(k % 7 if k % 3 else None, f"w{k} " * (k % 40), "abcd"[k % 11 % 4]) for k in range(300)]), None)):
+        some = some or [(r["doc_id"], r["text"], r["source"]) for r in df.collect()]
+        made = mixing.plan(df).select("doc_id", "size", "source_size", "target", "taken", F.size("positions"), F.get("positions", F.lit(0)), F.try_element_at("positions", F.lit(-1))).collect()
+        key = lambda r: tuple(-1 if x is None else round(float(x), 6) for x in r)
+        flat = lambda of: [x for r in sorted(map(key, of)) for x in r]
+        assert flat(made) == pytest.approx(flat(naive_mix(some)), abs=2e-6)
     assert mixing.mix(docs).columns == docs.columns
     assert mixing.plan(empty).count() == 0 and mixing.mix(empty).count() == 0
 
 
-def test_sharding(docs, empty, spark):
-    many = table(spark, [(k, "hot" if k % 3 == 0 else f"text {k} " * (k % 40), "a") for k in range(3000)])
-    for d in (docs, many):
-        rows = sharding.shard(d).collect()
-        assert len(rows) == d.count()
+def test_a_mix_is_sorted_and_keeps_clashing_columns(spark):
+    docs = table(spark, [(k, f"w{k} " * 10, "ab"[k % 2]) for k in range(200)]).withColumn("x", F.lit(1)).withColumn("positions", F.lit("clash")).withColumn("row", F.lit(2))
+    place = {r["doc_id"]: r["positions"] for r in mixing.plan(docs, cut="whole").collect()}
+    got = [r["doc_id"] for r in mixing.mix(docs).collect()]
+    assert len(got) == sum(map(len, place.values()))
+    read = {i: iter(p) for i, p in place.items()}
+    order = [next(read[i]) for i in got]
+    assert order == sorted(order)
+
+
+def test_sharding(spark, docs, empty):
+    many = table(spark, [(k, f"text {k % 900} " * (k % 900 % 40), "a") for k in range(3000)])
+    groups = table(spark, [(k, f"big {k % 5} " * 9 if k % 4 == 0 else f"text {k} " * (k % 40), "a") for k in range(3000)])
+    hot = table(spark, [(k, "hot " * 40 if k % 3 == 0 else f"text {k} " * (k % 40), "a") for k in range(3000)])
+    for d, split in ((docs, True), (many, False), (groups, False), (hot, True)):
+        rows, given = sharding.shard(d).collect(), [(i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t in rows_of(d)]
+        assert sorted(((r["doc_id"], r["size"], r["text_crc32"]) for r in rows), key=repr) == sorted(given, key=repr)
+        assert {(r["law"], r["grown_shard"]) for r in rows} == {("bytes", None)}
         for s in {r["shard"] for r in rows}:
-            assert sorted(r["slot"] for r in rows if r["shard"] == s) == list(range(sum(r["shard"] == s for r in rows)))
-    size = [sum(r["size"] for r in rows if r["shard"] == s) for s in range(8)]
-    assert max(size) - min(size) <= 2 * max(r["size"] for r in rows)
+            assert 0 <= s < 8 and sorted(r["slot"] for r in rows if r["shard"] == s) == list(range(sum(r["shard"] == s for r in rows)))
+        where = {(r["text_crc32"], r["shard"]) for r in rows}
+        assert split or len(where) == len({c for c, _ in where})
+        if d is not docs:
+            size = [sum(r["size"] for r in rows if r["shard"] == s) for s in range(8)]
+            assert max(size) <= 1.2 * min(size)
     assert sharding.shard(empty).count() == 0
+    again = sharding.shard(hot.repartition(5)).collect()
+    assert sorted((r["doc_id"], r["shard"]) for r in again) == sorted((r["doc_id"], r["shard"]) for r in rows)
 
 
 def test_quality(docs, empty):
     def naive(text):
         w = brute.words(text)
         win = [tuple(w[k : k + 3]) for k in range(len(w) - 2)]
-        cover = {k + j for k, x in enumerate(win) if win.count(x) > 1 for j in range(3)}
-        return len(w), sum(len(x.decode()) for x in w), sum((text or "").count(c) for c in "#*$%&|<>"), len(cover)
-
-    rows = quality.apply_policy(quality.ledger(docs.filter("doc_id <> 9 or doc_id is null")), "full-1")
-    got = plain(rows, "doc_id", "n_words", "word_chars", "n_symbols", "n_repeat_words")
-    assert got == sorted(((i, *naive(t)) for i, t in rows_of(docs) if i != 9), key=repr)
+        often = Counter(win)
+        cover = {k + j for k, x in enumerate(win) if often[x] > 1 for j in range(3)}
+        lines = [x for x in (text or "").encode().split(b"\n") if x.split()]
+        failed = len(w) < 50 or 100 * len(cover) > 50 * len(w)
+        return len(w), sum(len(x.decode()) for x in w), sum((text or "").count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(cover), failed
+
+    rows = quality.apply_policy(quality.ledger(docs), "full-1").withColumn("failed", F.col("fail_bits").bitwiseAND(F.lit(3)) != 0)
+    got = plain(rows, "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "failed")
+    assert got == sorted(((i, *naive(t)) for i, t in rows_of(docs)), key=repr)
+    assert rows.filter("kept != (fail_bits = 0)").count() == 0 and rows.filter("kept and failed").count() == 0
     ab = {r["rule"]: r for r in quality.ablations(rows, "full-1").collect()}
     kept = rows.filter("kept").count()
     assert all(r["n_kept_without"] == kept + r["n_failed_alone"] for r in ab.values())
     assert quality.ledger(empty).count() == 0
 
 
+def naive_base(text):
+    w = re.findall(r"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", (text or "").translate({c: c + 32 for c in range(65, 91)}))
+    hits = [(k, label) for phrase, label in licenses.BASE.items() for p in [phrase.split()] for k in range(len(w)) if w[k : k + len(p)] == p]
+    return len(w), len(hits), min((k for k, _ in hits), default=None), max((k for k, _ in hits), default=None), ",".join(sorted({x for _, x in hits}))
+
+
+def test_license_base_places(spark, docs):
+    rng = random.Random(4)
+    some = "cc by general public license all rights reserved x".split() + ["CC-BY", "General  Public\nLicense", "straße"]
+    texts = [(k, " ".join(rng.choice(some) for _ in range(rng.randrange(60))), "a") for k in range(200)] + rows_of_three(docs)
+    got = plain(licenses.scan(table(spark, texts)), "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+    assert got == sorted(((i, *naive_base(t)) for i, t, _ in texts), key=repr)
+
+
+def rows_of_three(docs):
+    return [(i, t, "a") for i, t in rows_of(docs)]
+
+
+def test_licenses_take_time_in_proportion_to_words(spark):
+    spent = {}
+    for n in (50_000, 50_000, 500_000):
+        df = table(spark, [(1, " ".join(f"w{k % 5000}" for k in range(n)) + " all rights reserved", "a")])
+        start = time.monotonic()
+        assert licenses.scan(df).first()["first_word"] == n
+        spent[n] = time.monotonic() - start
+    assert spent[500_000] < 20 * spent[50_000]
+
+
 def test_licenses(spark, docs, empty):
     texts = [(1, "All rights reserved. ALL RIGHTS RESERVED, cc-by 4", "a"), (2, None, "a"), (3, "Licensed under the Apache License, Version 2.0.", "a"), (4, "licensed under the old apache license version 2.0", "a"), (5, "general public licence", "a"), (3, "Licensed under the Apache License, Version 2.0.", "a")]
     got = plain(licenses.scan(table(spark, texts)), "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels")

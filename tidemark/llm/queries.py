@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import bpe, lengths, licenses, media, minhash, mixing, quality, sharding, substring, toxicity
 from .common import documents
+from .oracle import ORACLES as ORACLES
 
 
 def vocabulary() -> str:
@@ -21,7 +22,9 @@ def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.plan(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "position")
+    rows = mixing.plan(documents(spark, sf_dir))
+    rows = rows.select("doc_id", "size", "source_size", "target", "taken", F.size("positions").alias("reads"), F.get("positions", F.lit(0)).alias("position"), F.try_element_at("positions", F.lit(-1)).alias("last_position"))
+    return rows.orderBy(F.asc_nulls_last("position"), "doc_id")
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,4 +74,3 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_media, op2_mixing, op3_toxicity, op4_bpe, op5_substring_dedup, op6_sharding, op7_token_counts, op8_minhash, op9_quality, op10_licenses, pipeline)}
-ORACLES: dict[str, str] = {}
