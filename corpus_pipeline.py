@@ -1,66 +1,18 @@
 """The corpus pipeline: five stages, each written as Parquet and read again before the next.
 
-toxicity removes the documents that the field scores 0.5 or more; near_dedup keeps one document of each
-group of texts whose sets of 5-word shingles are 80 % similar or more; substring_dedup removes the words of
-passages of 35 words or more that stand in several places; mixing repeats and leaves out documents by the
-sources' targets and puts them in training order; encoding returns the token ids.
-
-Null and empty texts pass every stage; repeated rows are one document after near_dedup; empty tables pass;
-columns beyond those of documents are kept until encoding.
+What the stages do, and what they do with nulls, long texts, ties, repeats and clashing names, is said in
+``tidemark.llm.stages``.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from tidemark.llm import bpe, minhash, mixing, substring, toxicity
-from tidemark.llm.common import text_key, written
-from tidemark.llm.queries import vocabulary
-
-
-def _on_text(docs: DataFrame, decisions: DataFrame, how: str) -> DataFrame:
-    """Join documents with decisions (id, ka, kb, ...) about their id and text."""
-    rows = docs.withColumn("__k", text_key(F.col("text")))
-    d = decisions.withColumnsRenamed({"id": "__id", "ka": "__ka", "kb": "__kb"})
-    on = rows["doc_id"].eqNullSafe(d["__id"]) & (rows["__k.a"] == d["__ka"]) & (rows["__k.b"] == d["__kb"])
-    return rows.join(d, on, how)
-
-
-def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    model = toxicity.train(*toxicity.sample(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
-    return toxicity.keep_clean(docs, model, threshold=0.5)
-
-
-def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = minhash.near_duplicates(docs, size=5, least=80)
-    # Only rows of one group compete: ids may be null or repeated over different texts.
-    kept = found.filter("kept").groupBy("label", "id").agg(F.min(F.struct("ka", "kb")).alias("k")).select("id", F.col("k.ka").alias("ka"), F.col("k.kb").alias("kb"))
-    # Repeated rows share id and text and are one document; a null text is none of the empty ones.
-    rows = _on_text(docs, kept, "inner").withColumn("__null", F.col("text").isNull())
-    return rows.dropDuplicates(["__id", "__ka", "__kb", "__null"]).select(*[docs[c] for c in docs.columns])
-
-
-def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    cut = substring.dedup(docs).filter("n_removed > 0").select("id", "ka", "kb", "kept_text")
-    rows = _on_text(docs, written(cut, "cut").dropDuplicates(["id", "ka", "kb"]), "left")
-    text = F.coalesce(F.col("kept_text"), F.col("text"))
-    new = {"text": text} | ({"n_chars": F.when(F.col("kept_text").isNotNull(), F.length("kept_text").cast("long")).otherwise(F.col("n_chars"))} if "n_chars" in docs.columns else {})
-    return rows.select(*[new[c].alias(c) if c in new else docs[c] for c in docs.columns])
-
-
-def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mix(docs)
-
-
-def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    path = vocabulary()
-    out = bpe.encode(docs, path)
-    return out.select(F.col("id").alias("doc_id"), (F.octet_length("ids") / bpe.codec(path).dtype.itemsize).cast("long").alias("n_tokens"), "ids")
 
+from tidemark.llm import stages
+from tidemark.llm.common import written
 
-STAGES = [("toxicity", remove_toxic), ("near_dedup", near_dedup), ("substring_dedup", substring_dedup), ("mixing", mix_sources), ("encoding", encode)]
-#: Minwise sketches, the trained field and the tokenizer can't be written in SQL; tests hold the stages against brute force.
+STAGES = [("toxicity", stages.remove_toxic), ("near_dedup", stages.near_dedup), ("substring_dedup", stages.substring_dedup), ("mixing", stages.mix_sources), ("encoding", stages.encode)]
+#: The trained field and the tokenizer can't be written in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
