@@ -32,18 +32,19 @@ def market_modifier(abnormal: Column, ratio: Column, volatility: Column) -> Colu
     part = F.coalesce(part, F.lit(0.0))
     volume = F.when(ratio > 1.5, F.least(F.lit(0.10), (ratio - 1.5) * 0.05)).when(ratio < 1.0, -0.05).otherwise(0.0)
     wild = F.when(volatility > 2.0, 0.05).when(volatility < 1.0, -0.05).otherwise(0.0)
-    return clamp(1.0 + part + volume + wild, 0.70, 1.30)
+    return F.round(clamp(1.0 + part + volume + wild, 0.70, 1.30), 4)
 
 
 def raw_impact(event_type: Column, confidence: Column, credibility: Column, novelty: Column, sentiment: Column, market: Column) -> Column:
-    sure = 0.70 + 0.30 * clamp(F.coalesce(confidence, F.lit(0.0)), 0.0, 1.0)
-    new = 0.75 + 0.25 * clamp(F.coalesce(novelty, F.lit(1.0)), 0.0, 1.0)
+    sure = F.round(0.70 + 0.30 * clamp(F.coalesce(confidence, F.lit(0.0)), 0.0, 1.0), 4)
+    new = F.round(0.75 + 0.25 * clamp(F.coalesce(novelty, F.lit(1.0)), 0.0, 1.0), 4)
     return severity(event_type) * sure * credibility * new * sentiment_modifier(sentiment) * market
 
 
 def impact(materiality: Column, raw: Column) -> Column:
-    """The gated score, not rounded: 1 without an event, up to 2 for what is not material, else up to 10."""
-    return F.when(materiality == "NO_EVENT", 1.0).when(materiality == "NON_MATERIAL_FINANCIAL_CONTENT", 1 + F.least(F.lit(1.0), raw / 1.2)).otherwise(clamp(1 + 9 * clamp(raw / 1.2, 0.0, 1.0), 1.0, 10.0))
+    """The gated score, rounded to two places: 1 without an event, up to 2 for what is not material, else up to 10."""
+    gated = F.when(materiality == "NO_EVENT", 1.0).when(materiality == "NON_MATERIAL_FINANCIAL_CONTENT", 1 + F.least(F.lit(1.0), raw / 1.2)).otherwise(clamp(1 + 9 * clamp(raw / 1.2, 0.0, 1.0), 1.0, 10.0))
+    return F.round(gated, 2)
 
 
 def tier(score: Column) -> Column:

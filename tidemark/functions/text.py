@@ -40,5 +40,7 @@ def timestamp(text: Column) -> Column:
 
 
 def money(x: Column) -> Column:
-    size = F.abs(x)
-    return F.when(size >= 1e9, F.format_string("$%.2fB", x / 1e9)).when(size >= 1e6, F.format_string("$%.2fM", x / 1e6)).when(size >= 1e3, F.format_string("$%.2fK", x / 1e3)).otherwise(F.format_string("$%.2f", x.cast("double")))
+    """$2.295M and the like; the sign stands first."""
+    size = F.abs(x).cast("double")
+    form = F.when(size >= 1e9, F.format_string("$%,.3fB", size / 1e9)).when(size >= 1e6, F.format_string("$%,.3fM", size / 1e6)).when(size >= 1e3, F.format_string("$%,.3fK", size / 1e3)).otherwise(F.format_string("$%,.2f", size))
+    return F.concat(F.when(x < 0, "-").otherwise(""), form)

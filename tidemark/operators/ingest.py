@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.lexicon import DOMAINS, KEYWORDS, THEMES
+from tidemark.sources.scratch import stored
 
 
 def any_substring(text: Column, words: list[str]) -> Column:
@@ -31,12 +32,24 @@ def candidate_filter(docs: DataFrame, signals: dict[str, Column]) -> DataFrame:
     return docs.withColumn("reasons", reasons).withColumn("kept", F.size("reasons") > 0)
 
 
-def first_seen(docs: DataFrame, keys: list[list[str]], seq: str) -> DataFrame:
-    """Keep a row if it is the first with each of the keys, one key after the other, in the order of ``seq``."""
-    for k, key in enumerate(keys):
-        rank = F.row_number().over(Window.partitionBy(*key).orderBy(seq))
-        docs = docs.withColumn(f"__k{k}", rank).filter(F.col(f"__k{k}") == 1).drop(f"__k{k}")
-    return docs
+def first_seen(docs: DataFrame, keys: list[Column], seq: str) -> DataFrame:
+    """The rows, in the order of ``seq`` (unique), that share none of their keys with a row kept before.
+
+    A row that is dropped registers none of its keys.  In each round the rows that come first among the
+    undecided ones for all of their keys are kept, and what shares a key with them is dropped; every round
+    decides at least the first row of each key's group, and few chains need more than two or three."""
+    named = F.array(*[F.concat(F.lit(f"{k}:"), F.coalesce(c.cast("string"), F.lit("None"))) for k, c in enumerate(keys)])
+    open_rows = stored(docs.select(F.col(seq).alias("seq"), F.explode(named).alias("key")))
+    kept = None
+    while not open_rows.isEmpty():
+        low = open_rows.groupBy("key").agg(F.min("seq").alias("low"))
+        winners = open_rows.join(low, "key").groupBy("seq").agg(F.bool_and(F.col("seq") == F.col("low")).alias("first")).filter("first").select("seq")
+        winners = stored(winners)
+        kept = winners if kept is None else kept.union(winners)
+        taken = open_rows.join(winners, "seq", "left_semi").select("key").distinct()
+        gone = open_rows.join(taken, "key", "left_semi").select("seq").distinct()
+        open_rows = stored(open_rows.join(gone, "seq", "left_anti"))
+    return docs.limit(0) if kept is None else docs.join(kept.withColumnRenamed("seq", seq), seq, "left_semi")
 
 
 def resolve(names: DataFrame, name: str, aliases: DataFrame) -> DataFrame:

@@ -20,10 +20,10 @@ def shock_rules(spark: SparkSession) -> DataFrame:
 
 
 def shock_map(signals: DataFrame) -> DataFrame:
-    """signals: event_id, event_type, entity, impact. Unknown types take the catch-all rule; impacts outside 1..10 get an error."""
+    """signals: event_id, event_type, entity, impact. Types count in any case, unknown ones take the catch-all rule; impacts outside 1..10 get an error."""
     rules = F.broadcast(shock_rules(signals.sparkSession))
-    known = [r[1] for r in SHOCKS]
-    s = signals.withColumn("rule_type", F.when(F.col("event_type").isin(known), F.col("event_type")).otherwise("Other / Unclear"))
+    known = F.create_map(*[F.lit(x) for r in SHOCKS for x in (r[1].lower(), r[1])])
+    s = signals.withColumn("rule_type", F.coalesce(F.try_element_at(known, F.lower(F.trim("event_type"))), F.lit("Other / Unclear")))
     s = s.withColumn("error", F.when(~F.coalesce(F.col("impact"), F.lit(1.0)).between(1, 10), "impact out of range"))
     s = s.join(rules, "rule_type").withColumn("severity", F.round((F.coalesce(F.col("impact"), F.lit(1.0)) - 1) / 9, 6))
     size = lambda c, lo, hi: F.round(clamp(F.col(c) * F.col("severity"), lo, hi), 6).cast(RATE)
@@ -44,9 +44,10 @@ def affected(shocks: DataFrame, exposures: DataFrame) -> DataFrame:
     matched = ok.join(match_keys(exposures), "key")
     first = F.struct("prio", "exposure_id")
     home = matched.groupBy("event_id", "scope").agg(F.min_by("sector", first).alias("sector"), F.min_by("geography", first).alias("geography"))
+    same = lambda c: F.lower(F.trim(c)).alias(c)
     entity = matched.filter("scope = 'ENTITY'").select("event_id", "exposure_id")
-    sector = home.filter("scope = 'SECTOR'").select("event_id", "sector").join(exposures.select("sector", "exposure_id"), "sector").select("event_id", "exposure_id")
-    geo = home.filter("scope = 'GEOGRAPHY'").select("event_id", "geography").join(exposures.select("geography", "exposure_id"), "geography").select("event_id", "exposure_id")
+    sector = home.filter("scope = 'SECTOR'").select("event_id", same("sector")).join(exposures.select(same("sector"), "exposure_id"), "sector").select("event_id", "exposure_id")
+    geo = home.filter("scope = 'GEOGRAPHY'").select("event_id", same("geography")).join(exposures.select(same("geography"), "exposure_id"), "geography").select("event_id", "exposure_id")
     assets = F.array(*[F.lit(a) for a in CAPABLE])
     broad = ok.filter("scope in ('BROAD_MARKET', 'SYSTEMIC')").select("event_id", F.explode(assets).alias("asset_type")).join(exposures.select("asset_type", "exposure_id"), "asset_type").select("event_id", "exposure_id")
     return entity.union(sector).union(geo).union(broad)

@@ -6,10 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import lexicon as X
-from tidemark.functions.text import FLAGS, any_match, clean, first_match
+from tidemark.functions.text import any_match, clean, first_match
 
 NOT_MATERIAL = "NON_MATERIAL_FINANCIAL_CONTENT"
-DEAL_SIGN = [r"\$[\d,.]+\s*(?:billion|million|bn|m)\b", r"\b\d+(?:\.\d+)?[\s]*%[\s]*(?:stake|share)", r"#merger\w*"]
 
 
 def _verdict(material: str | Column, kind: str | Column, reason: str | Column) -> Column:
@@ -25,11 +24,12 @@ def materiality(df: DataFrame, text: str, event_type: str, relevance: str, confi
     t = F.col("__t")
     df = df.withColumn("__t", clean(F.col(text)))
     types = list(X.RULES)
+    asked = (F.coalesce(F.col(relevance), F.lit("")) == "FINANCIAL_EVENT") & (t != "")  # no list is tried behind the first gates
     for k, name in enumerate(types):
         sup = F.when(any_match(t, X.TYPE_SUPPRESS[name]), X.SUPPRESSED[name]) if name in X.TYPE_SUPPRESS else F.lit(None).cast("string")
         if name == "Merger & Acquisition":
-            sup = F.coalesce(sup, F.when(t.rlike("(?i)^if\\b") & ~any_match(t, DEAL_SIGN), "conditional_framing"))
-        df = df.withColumn(f"__hit{k}", first_match(t, X.RULES[name])).withColumn(f"__sup{k}", sup)
+            sup = F.coalesce(sup, F.when(t.rlike("(?i)^if\\b") & ~any_match(t, X.DEAL_SIGN), "conditional_framing"))
+        df = df.withColumn(f"__hit{k}", F.when(asked, first_match(t, X.RULES[name]))).withColumn(f"__sup{k}", F.when(asked & (F.col(f"__hit{k}").isNotNull() | (F.col(event_type) == name)), sup))
     weak = lambda h: (F.col(confidence) < 0.20) & (F.length(h) < 9) & ~h.rlike("\\d")
     own_hit = F.coalesce(*[F.when(F.col(event_type) == n, F.col(f"__hit{k}")) for k, n in enumerate(types)])
     own_sup = F.coalesce(*[F.when(F.col(event_type) == n, F.col(f"__sup{k}")) for k, n in enumerate(types)])
@@ -60,13 +60,33 @@ def credit_guard(df: DataFrame, text: str, entity: str, status: str, event_type:
         F.when(F.coalesce(F.col(event_type), F.lit("")) != "Credit Event", "NOT_APPLICABLE")
         .when(any_match(t, X.WEAK_CONTEXTS), "LEXICAL_COLLISION")
         .when(F.col(status) == "unresolved_source", "ENTITY_COLLISION_PUBLISHER")
-        .when((e == "ford") & has("christine ", "rob ", "doug ", "tom "), "ENTITY_COLLISION_PERSON")
-        .when((e == "disney") & has("walt disney"), "ENTITY_COLLISION_PERSON")
-        .when((e == "visa") & has("f-1", "f1", "h1b", "h-1b", "tourist", "travel"), "ENTITY_COLLISION_CONCEPT")
+        .when((e == "ford") & has(*X.GUARD_WORDS["ford"]), "ENTITY_COLLISION_PERSON")
+        .when((e == "disney") & has(*X.GUARD_WORDS["disney"]), "ENTITY_COLLISION_PERSON")
+        .when((e == "visa") & has(*X.GUARD_WORDS["visa"]), "ENTITY_COLLISION_CONCEPT")
         .when(~any_match(t, X.STRONG_TERMS), "MISSING_STRONG_CREDIT_EVIDENCE")
         .otherwise("PASSED")
     )
     return df.withColumn("credit_guard_reason", reason).withColumn("credit_guard_pass", F.col("credit_guard_reason").isin("NOT_APPLICABLE", "PASSED"))
 
 
-__all__ = ["FLAGS", "credit_guard", "materiality"]
+def offline_guard(text: Column, entity: Column) -> Column:
+    """The five classes of the offline guard; only a true credit event passes."""
+    t, e = F.lower(F.coalesce(text, F.lit(""))), F.lower(F.coalesce(entity, F.lit("")))
+    out = F.when(any_match(t, X.WEAK_CONTEXTS), "LEXICAL_COLLISION")
+    for name, words in X.OFFLINE_WORDS.items():
+        out = out.when((e == name) & any_match(t, [f"\\Q{w}\\E" for w in words]), "ENTITY_COLLISION")
+    return out.when(any_match(t, X.STRONG_TERMS), "TRUE_CREDIT_EVENT").otherwise("AMBIGUOUS")
+
+
+def naive_audit(text: Column, name: Column) -> Column:
+    """A rough audit of credit events: any "setting" counts as lexical."""
+    t = F.lower(F.coalesce(text, F.lit("")))
+    lexical = (t.contains("default") & t.contains("browser")) | t.contains("setting")
+    true = t.contains("credit") | t.contains("bankruptcy")
+    return F.when(F.lower(name).isin(X.COLLIDING), "FALSE_POSITIVE_ENTITY_COLLISION").when(lexical, "FALSE_POSITIVE_LEXICAL").when(true, "TRUE_CREDIT_EVENT").otherwise("AMBIGUOUS")
+
+
+def credit_categories(text: Column) -> Column:
+    """All categories of the credit lexicon that a text shows."""
+    t = clean(text)
+    return F.array_compact(F.array(*[F.when(any_match(t, patterns), name) for name, patterns in X.CREDIT_AUDIT.items()]))

@@ -67,10 +67,14 @@ def threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.groupBy(F.round("threshold", 2).alias("threshold")).agg(n("score >= threshold and y", "tp"), n("score >= threshold and not y", "fp"), n("score < threshold and y", "fn"))
 
 
-@query("with a as (select doc_id, text, source, n_chars, row_number() over (partition by md5(text) order by doc_id) k from documents), b as (select *, row_number() over (partition by source, n_chars order by doc_id) k2 from a where k = 1) select doc_id from b where k2 = 1")
+@query("""with recursive o as (select doc_id, row_number() over (order by doc_id) n, ['0:' || source || n_chars, '1:' || md5(text), '2:' || lang || '_' || (n_chars // 3)] as ks from documents),
+r(n, doc_id, seen, keep) as (select 0::bigint, null::bigint, []::varchar[], false union all select o.n, o.doc_id, case when list_has_any(seen, ks) then seen else list_concat(seen, ks) end, not list_has_any(seen, ks) from r join o on o.n = r.n + 1)
+select doc_id from r where keep""")
 def dedupe_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id", F.md5("text").alias("h"), "source", "n_chars")
-    return ingest.first_seen(d, [["h"], ["source", "n_chars"]], "doc_id").select("doc_id")
+    """Three keys in the order of arrival; the SQL is the loop over the rows."""
+    d = table(spark, sf_dir, "documents")
+    keys = [F.concat("source", "n_chars"), F.md5("text"), F.concat_ws("_", "lang", F.expr("n_chars div 3"))]
+    return ingest.first_seen(d, keys, "doc_id").select("doc_id")
 
 
 @query("select md5(text) as content_hash, count(*) n, count(distinct source) sources, count(distinct lang) langs, min(doc_id) first_id from documents group by text having count(*) > 1")
@@ -142,19 +146,19 @@ def _materiality_sql() -> str:
         cols.append(f"case when {_any(X.RULES[name])} then {_first(X.RULES[name])} end as hit{k}")
         sup = f"case when {_any(X.TYPE_SUPPRESS[name])} then '{X.SUPPRESSED[name]}' end" if name in X.TYPE_SUPPRESS else "null::varchar"
         if name == "Merger & Acquisition":
-            sup = f"coalesce({sup}, case when regexp_matches(t, '(?i)^if\\b') and not {_any(rules.DEAL_SIGN)} then 'conditional_framing' end)"
+            sup = f"coalesce({sup}, case when regexp_matches(t, '(?i)^if\\b') and not {_any(X.DEAL_SIGN)} then 'conditional_framing' end)"
         cols.append(f"{sup} as sup{k}")
     own = lambda c: "case event_type " + " ".join(f"when '{_q(n)}' then {c}{k}" for k, n in enumerate(_TYPES)) + " end"
     weak = lambda h: f"(confidence < 0.20 and length({h}) < 9 and not regexp_matches({h}, '\\d'))"
     n = lambda reason: f"['NON_MATERIAL_FINANCIAL_CONTENT', 'NO_EVENT', {reason}]"
     i = _TYPES.index
-    whens = [("t = ''", n("'empty_text'")), (_any(X.LISTING_SUPPRESS), n("'consumer_listing_context'")), (_any(X.PERSONAL_FINANCE_SUPPRESS), n("'personal_finance_context'")), (_any(X.PERSONAL_INTENT_SUPPRESS), n("'personal_intent_statement'"))]
+    whens = [("relevance <> 'FINANCIAL_EVENT'", "['NO_EVENT', 'NO_EVENT', 'relevance_gate']"), ("t = ''", n("'empty_text'")), (_any(X.LISTING_SUPPRESS), n("'consumer_listing_context'")), (_any(X.PERSONAL_FINANCE_SUPPRESS), n("'personal_finance_context'")), (_any(X.PERSONAL_INTENT_SUPPRESS), n("'personal_intent_statement'"))]
     whens += [(f"{_any(X.OPINION_SUPPRESS)} and own_hit is null", n("'opinion_or_prediction_framing'")), (f"{_any(X.BOYCOTT_SUPPRESS)} and hit{i('Regulatory / Legal')} is null", n("'boycott_or_activism_framing'")), (f"{_any(X.PERSONAL_CREDIT_SUPPRESS)} and hit{i('Credit Event')} is null", n("'personal_credit_complaint'"))]
     whens += [("own_sup is not null", n("own_sup")), (f"own_hit is not null and not {weak('own_hit')}", "['MATERIAL_EVENT', event_type, 'upstream_type_confirmed:' || own_hit]")]
     whens += [(f"event_type <> '{_q(name)}' and sup{k} is null and hit{k} is not null and not {weak(f'hit{k}')}", f"['MATERIAL_EVENT', '{_q(name)}', 'rescued_cross_type:{_q(name)}:' || hit{k}]") for k, name in enumerate(_TYPES)]
     lits = ", ".join(f"({-k - 1}, '{_q(a)}', '{b}', {c}::double)" for k, (a, b, c) in enumerate(TEXTS))
     kinds = "[" + ", ".join(f"'{_q(x)}'" for x in [*_TYPES, "Other / Unclear"]) + "]"
-    return f"""with rows(id, text, event_type, confidence) as (select * from (values {lits}) union all select doc_id, text, {kinds}[(doc_id % 10) + 1], 0.15::double + (doc_id % 80) / 100.0::double from documents),
+    return f"""with rows(id, text, event_type, confidence, relevance) as (select *, 'FINANCIAL_EVENT' from (values {lits}) union all select doc_id, text, {kinds}[(doc_id % 10) + 1], 0.15::double + (doc_id % 80) / 100.0::double, case when lang = 'en' then 'FINANCIAL_EVENT' else 'OTHER' end from documents),
     c as (select *, trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')) as t from rows), h as (select *, {", ".join(cols)} from c), o as (select *, {own("hit")} as own_hit, {own("sup")} as own_sup from h),
     v as (select id, case {" ".join(f"when {a} then {b}" for a, b in whens)} else {n("'no_sufficient_event_evidence'")} end as v from o) select id, v[1] as materiality, v[2] as final_type, v[3] as reason from v"""
 
@@ -163,8 +167,8 @@ def _materiality_sql() -> str:
 def materiality(spark: SparkSession, sf_dir: str) -> DataFrame:
     lit = spark.createDataFrame([(-k - 1, *t) for k, t in enumerate(TEXTS)], "id long, text string, event_type string, confidence double")
     kinds = F.lit([*_TYPES, "Other / Unclear"])
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", F.get(kinds, (F.col("doc_id") % 10).cast("int")).alias("event_type"), (F.lit(0.15) + (F.col("doc_id") % 80).cast("double") / 100.0).alias("confidence"))
-    rows = lit.unionByName(d).withColumn("relevance", F.lit("FINANCIAL_EVENT"))
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", F.get(kinds, (F.col("doc_id") % 10).cast("int")).alias("event_type"), (F.lit(0.15) + (F.col("doc_id") % 80).cast("double") / 100.0).alias("confidence"), F.when(F.col("lang") == "en", "FINANCIAL_EVENT").otherwise("OTHER").alias("relevance"))
+    rows = lit.withColumn("relevance", F.lit("FINANCIAL_EVENT")).unionByName(d)
     return rules.materiality(rows, "text", "event_type", "relevance", "confidence").select("id", "materiality", "final_type", "reason")
 
 

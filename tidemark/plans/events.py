@@ -18,10 +18,10 @@ SCORED_SQL = f"""inputs as (select event_id, {_CASE(0)} as kind, {_CASE(1)} as m
     1.0::double / (1 + event_id % 4) as novelty, (event_id % 201 - 100) / 100.0::double as sentiment, (event_id % 61 - 30) / 1000.0::double as ar, (event_id % 37) / 10.0::double as vr, (event_id % 29) / 10.0::double as vol from events),
 mods as (select *, case kind when 'Credit Event' then 1.0 when 'Merger & Acquisition' then 0.8 when 'Corporate / Earnings' then 0.7 else 0.25 end::double as sev,
     case when sentiment < 0 then 1 + 0.25::double * abs(sentiment) else 1 + 0.10::double * sentiment end as sm,
-    greatest(0.70::double, least(1.30::double, 1.0::double + case when abs(ar) > 0.015::double then least(0.15::double, (abs(ar) - 0.015::double) * 3.0::double) when abs(ar) < 0.005::double then -0.10::double else 0.0 end
-      + case when vr > 1.5::double then least(0.10::double, (vr - 1.5::double) * 0.05::double) when vr < 1 then -0.05::double else 0.0 end + case when vol > 2 then 0.05::double when vol < 1 then -0.05::double else 0.0 end)) as mm from inputs),
-raws as (select *, sev * (0.70::double + 0.30::double * confidence) * credibility * (0.75::double + 0.25::double * novelty) * sm * mm as raw from mods),
-scored as (select *, case materiality when 'NO_EVENT' then 1.0::double when 'NON_MATERIAL_FINANCIAL_CONTENT' then 1 + least(1.0::double, raw / 1.2::double) else greatest(1.0::double, least(10.0::double, 1 + 9 * greatest(0.0::double, least(1.0::double, raw / 1.2::double)))) end as impact from raws),
+    round(greatest(0.70::double, least(1.30::double, 1.0::double + case when abs(ar) > 0.015::double then least(0.15::double, (abs(ar) - 0.015::double) * 3.0::double) when abs(ar) < 0.005::double then -0.10::double else 0.0 end
+      + case when vr > 1.5::double then least(0.10::double, (vr - 1.5::double) * 0.05::double) when vr < 1 then -0.05::double else 0.0 end + case when vol > 2 then 0.05::double when vol < 1 then -0.05::double else 0.0 end)), 4) as mm from inputs),
+raws as (select *, sev * round(0.70::double + 0.30::double * confidence, 4) * credibility * round(0.75::double + 0.25::double * novelty, 4) * sm * mm as raw from mods),
+scored as (select *, round(case materiality when 'NO_EVENT' then 1.0::double when 'NON_MATERIAL_FINANCIAL_CONTENT' then 1 + least(1.0::double, raw / 1.2::double) else greatest(1.0::double, least(10.0::double, 1 + 9 * greatest(0.0::double, least(1.0::double, raw / 1.2::double)))) end, 2) as impact from raws),
 tiered as (select *, case when impact >= 8.5 then 'Critical' when impact >= 7 then 'High' when impact >= 5 then 'Moderate' when impact >= 3 then 'Low' else 'Minimal' end as tier from scored)"""
 
 
@@ -74,9 +74,9 @@ def daily_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bars(spark, sf_dir)
 
 
-@query(f"with {BARS_SQL}, ev as (select event_id, user_id as ticker, cast(ts as date) - 1 as event_date from events where event_type = 'error') select event_id, ev.ticker, event_date, trade_date as anchor_date, close as anchor_close from ev asof left join bars on ev.ticker = bars.ticker and ev.event_date >= bars.trade_date")
+@query(f"with {BARS_SQL}, ev as (select event_id, user_id as ticker, cast(ts as date) - 1 as event_date from events) select event_id, ev.ticker, event_date, trade_date as anchor_date, close as anchor_close from ev asof left join bars on ev.ticker = bars.ticker and ev.event_date >= bars.trade_date")
 def asof_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").filter("event_type = 'error'").select("event_id", F.col("user_id").alias("ticker"), F.date_sub(F.to_date("ts"), 1).alias("event_date"))
+    e = table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("ticker"), F.date_sub(F.to_date("ts"), 1).alias("event_date"))
     return market.as_of(e, bars(spark, sf_dir))
 
 
@@ -91,13 +91,13 @@ def market_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.select("ticker", "trade_date", "n_base", *[F.round(c, 6).alias(c) for c in ("window_return", "volume_ratio", "volatility", "abnormal_return")])
 
 
-SESSIONS_SQL = """g as (select *, case when lag(ts) over w is null or epoch_us(ts) - epoch_us(lag(ts) over w) > 36::bigint * 3600000000 then 1 else 0 end as new from events window w as (partition by user_id, event_type order by ts, event_id)),
+SESSIONS_SQL = """g as (select *, case when lag(ts) over w is null or epoch_us(ts) - epoch_us(lag(ts) over w) > 72::bigint * 3600000000 then 1 else 0 end as new from events window w as (partition by user_id, event_type order by ts, event_id)),
 c as (select *, sum(new) over (partition by user_id, event_type order by ts, event_id rows unbounded preceding) as cluster from g),
 s as (select *, 1.0::double / row_number() over (partition by user_id, event_type, cluster order by ts, event_id) as novelty from c)"""
 
 
 def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clustering.sessions(table(spark, sf_dir, "events"), ["user_id", "event_type"], "ts", "event_id", hours=36)
+    return clustering.sessions(table(spark, sf_dir, "events"), ["user_id", "event_type"], "ts", "event_id", hours=72)
 
 
 @query(f"with {SESSIONS_SQL} select event_id, user_id, event_type, cluster::bigint as cluster, novelty from s")

@@ -14,7 +14,7 @@ from .tables import table
 #: (event, type, entity, impact): the entity is an obligor; one impact is out of range, one type unknown.
 SIGNALS = [
     ("E1", "Credit Event", "Customer#000000007", 10.0),
-    ("E2", "Geopolitical", "customer#000000011", 8.0),
+    ("E2", " geopolitical", "customer#000000011", 8.0),
     ("E3", "Commodity / Supply Chain", " Customer#000000014 ", 9.2),
     ("E4", "Market / Liquidity", "Global", 10.0),
     ("E5", "NO_EVENT", "Customer#000000007", 5.0),
@@ -25,7 +25,7 @@ SIGNALS = [
 PAIRS = [("E1", "E3"), ("E3", "E4"), ("E2", "E1"), ("E5", "E4")]
 
 _RULES = ", ".join(f"('{a}', '{b}', '{c}', {d}, {e}, {f}, {g})" for a, b, c, d, e, f, g in SHOCKS)
-_KNOWN = ", ".join(f"'{r[1]}'" for r in SHOCKS)
+_KNOWN = ", ".join(f"'{r[1].lower()}'" for r in SHOCKS)
 EXPOSURES_SQL = """exposures as (
   select o_orderkey as exposure_id, c_name as obligor, c_mktsegment as sector, r_name as geography,
     case left(o_orderpriority, 1) when '1' then 'Corporate Bond' when '2' then 'Equity' when '3' then 'Revolving Credit Facility' else 'Corporate Loan' end as asset_type,
@@ -39,7 +39,7 @@ shocks as (
   select event_id, event_type, entity, impact, case when impact < 1 or impact > 10 then 'impact out of range' end as error, rule_id, scope, round((impact - 1) / 9, 6) as severity,
     cast(round(greatest(0.0, least(1.0, pd::double * round((impact - 1) / 9, 6))), 6) as decimal(9,6)) as pd_delta, cast(round(greatest(0.0, least(1.0, lgd::double * round((impact - 1) / 9, 6))), 6) as decimal(9,6)) as lgd_delta,
     cast(round(greatest(-1.0, least(1.0, bond::double * round((impact - 1) / 9, 6))), 6) as decimal(9,6)) as bond_shock, cast(round(greatest(-1.0, least(1.0, equity::double * round((impact - 1) / 9, 6))), 6) as decimal(9,6)) as equity_shock
-  from signals join rules on rule_type = case when event_type in ({_KNOWN}) then event_type else 'Other / Unclear' end)"""
+  from signals join rules on lower(rule_type) = case when lower(trim(event_type)) in ({_KNOWN}) then lower(trim(event_type)) else 'other / unclear' end)"""
 STRESS_SQL = f"""with {EXPOSURES_SQL}, {SHOCKS_SQL},
 home as (select event_id, arg_min(sector, exposure_id) as sector, arg_min(geography, exposure_id) as geography from shocks join exposures on lower(trim(entity)) = lower(trim(obligor)) group by event_id),
 stressed as (
