@@ -1,13 +1,16 @@
 """Golden values of literal fixtures, and every registered query against its SQL."""
 
+import random
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import DATA
 from tidemark.functions import scoring as S
+from tidemark.functions import text
 from tidemark.functions.text import timestamp
-from tidemark.operators import clustering, evaluate, ingest, market, portfolio, rules
+from tidemark.operators import checks, clustering, evaluate, ingest, market, portfolio, rules
 from tidemark.plans import registry
 from tidemark.sources import observations, synthetic
 from tidemark.streaming import ingest as stream
@@ -103,3 +106,49 @@ def test_stream_dedupes_like_the_batch(spark, tmp_path):
     q = stream.first_seen(stream.articles(spark, str(src))).writeStream.format("memory").queryName("seen").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert sorted(r["url"] for r in spark.sql("select url from seen").collect()) == ["u0", "u1", "u2", "u3"]
+
+
+def test_a_dropped_row_registers_no_keys(spark):
+    rows = [(1, "u1", "h1"), (2, "u2", "h1"), (3, "u2", "h3"), (4, None, "h4"), (5, None, "h5"), (6, "u6", "h3")]
+    got = ingest.first_seen(spark.createDataFrame(rows, "seq long, u string, h string"), [F.col("u"), F.col("h")], "seq")
+    assert sorted(r["seq"] for r in got.collect()) == [1, 3, 4]
+    rng = random.Random(1)
+    rows = [(k, f"u{rng.randrange(40)}", f"h{rng.randrange(40)}", f"p{rng.randrange(60)}") for k in range(200)]
+    seen, kept = set(), []
+    for k, *keys in rows:
+        named = set(enumerate(keys))
+        if not named & seen:
+            seen |= named
+            kept.append(k)
+    got = ingest.first_seen(spark.createDataFrame(rows, "seq long, u string, h string, p string"), [F.col("u"), F.col("h"), F.col("p")], "seq")
+    assert sorted(r["seq"] for r in got.collect()) == kept
+    assert ingest.first_seen(got.limit(0), [F.col("u")], "seq").count() == 0
+
+
+def test_types_and_places_in_any_case(spark):
+    shocks = portfolio.shock_map(spark.createDataFrame([("A", " credit EVENT ", "Tesla", 10.0), ("B", "Geopolitical", "GERMANY", 8.0)], "event_id string, event_type string, entity string, impact double"))
+    want = portfolio.shock_map(spark.createDataFrame([("A", "Credit Event", "Tesla", 10.0), ("B", "Geopolitical", "Germany", 8.0)], "event_id string, event_type string, entity string, impact double"))
+    assert shocks.drop("event_type", "entity").collect() == want.drop("event_type", "entity").collect()
+    book = synthetic.portfolio(spark).withColumn("geography", F.when(F.col("exposure_id") % 2 == 0, F.lower("geography")).otherwise(F.col("geography")))
+    n = {r["event_id"]: r["n_affected"] for r in portfolio.totals(shocks, portfolio.stress(shocks, book)).collect()}
+    assert n == {"A": 2, "B": 2}
+
+
+def test_portfolio_rows(spark):
+    rows = synthetic.portfolio(spark).collect()
+    assert len(rows) == 22 and rows[0]["exposure_name"] == "EXP-0001" and {r["rating"] for r in rows} == {"AAA", "AA", "A", "BBB", "BB", "B", "CCC", "NR"}
+    assert sum(r["ead"] for r in rows) == 860_000_000 and all((r["duration"] is not None) == (r["asset_type"] == "Corporate Bond") for r in rows)
+
+
+def test_money(spark):
+    rows = [(2_295_000.0, "$2.295M"), (-9e6, "-$9.000M"), (12.5, "$12.50"), (1_500.0, "$1.500K"), (8.6e9, "$8.600B"), (0.0, "$0.00")]
+    got = spark.createDataFrame(rows, "x double, want string").select("want", text.money(F.col("x")).alias("got")).collect()
+    assert all(r["got"] == r["want"] for r in got)
+
+
+def test_leakage_is_an_error(spark):
+    df = spark.createDataFrame([(1, 2.0)], "id long, Return_1d double")
+    assert checks.leaking(df, ["return_1d"]) == ["Return_1d"]
+    with pytest.raises(ValueError):
+        checks.assert_no_leakage(df, ["return_1d"])
+    assert checks.assert_no_leakage(df, ["other"]) is df

@@ -8,16 +8,36 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def average_rank(by: list[str], value: str) -> Column:
-    ties = F.count("*").over(Window.partitionBy(*by, value)) - 1
-    return F.rank().over(Window.partitionBy(*by).orderBy(value)) + ties / 2.0
+def cumulative(df: DataFrame, by: list[str], value: str) -> DataFrame:
+    """by, value, n, before (rows of the group with a smaller value) and total, one row a distinct value.
+
+    Values are counted first; ranges of (group, value) are summed apart and joined by their totals, so no task
+    orders a whole group."""
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n"))
+    line = counts.repartitionByRange(*by, value).withColumn("__part", F.spark_partition_id())
+    group = Window.partitionBy(*by)
+    size = line.groupBy(*by, "__part").agg(F.sum("n").alias("__n"))
+    start = size.select(*by, "__part", (F.sum("__n").over(group.orderBy("__part")) - F.col("__n")).alias("__start"), F.sum("__n").over(group).alias("total"))
+    inside = F.sum("n").over(Window.partitionBy(*by, "__part").orderBy(value)) - F.col("n")
+    return line.withColumn("__in", inside).join(start, [*by, "__part"]).select(*by, value, "n", (F.col("__start") + F.col("__in")).alias("before"), "total")
+
+
+def quantiles(df: DataFrame, by: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """Interpolated quantiles of each group, exact, from cumulative counts."""
+    at = lambda k: F.min(F.when(F.col("before") + F.col("n") > k, F.col(value)))
+    place = {name: q * (F.col("total") - 1) for name, q in shares.items()}
+    ends = [x for name, p in place.items() for x in (at(F.floor(p)).alias(f"{name}__lo"), at(F.ceil(p)).alias(f"{name}__hi"))]
+    g = cumulative(df, by, value).groupBy(*by, "total").agg(*ends)
+    between = lambda name: F.col(f"{name}__lo") + (place[name] - F.floor(place[name])) * (F.col(f"{name}__hi") - F.col(f"{name}__lo"))
+    return g.select(*by, *[between(name).alias(name) for name in shares])
 
 
 def spearman(df: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
-    """n and rho of each group, over rows where both values are there."""
-    rows = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull())
-    rows = rows.withColumn("__a", average_rank(by, a)).withColumn("__b", average_rank(by, b))
-    return rows.groupBy(*by).agg(F.count("*").alias("n"), F.corr("__a", "__b").alias("rho"))
+    """n and rho of each group, over rows where both values are there; ties have their average rank."""
+    rows = df.select(*by, a, b).filter(F.col(a).isNotNull() & F.col(b).isNotNull())
+    rank = lambda c, name: cumulative(rows, by, c).select(*by, c, (F.col("before") + (F.col("n") + 1) / 2.0).alias(name))
+    ranked = rows.join(rank(a, "__a"), [*by, a]).join(rank(b, "__b"), [*by, b])
+    return ranked.groupBy(*by).agg(F.count("*").alias("n"), F.corr("__a", "__b").alias("rho"))
 
 
 def p_value(rho: float | None, n: int) -> float | None:

@@ -66,15 +66,26 @@ def stress(shocks: DataFrame, exposures: DataFrame) -> DataFrame:
     return rows.withColumn("incremental_el", F.col("stressed_el") - F.col("base_el")).withColumn("mtm_impact", F.col("ead") * move)
 
 
+def top_by(stressed: DataFrame, n: int = 5) -> DataFrame:
+    """The first exposures of each event by EAD, loss and market move: each branch keeps n rows a task before it shuffles."""
+    def branch(name: str, measure) -> DataFrame:
+        k = F.row_number().over(Window.partitionBy("event_id").orderBy(F.desc("size"), "exposure_id"))
+        rows = stressed.select("event_id", "exposure_id", F.lit(name).alias("measure"), measure.cast("double").alias("size"))
+        return rows.withColumn("place", k).filter(F.col("place") <= n)
+
+    return branch("ead", F.col("ead")).union(branch("incremental_el", F.col("incremental_el"))).union(branch("mtm_impact", F.abs("mtm_impact")))
+
+
 DIMENSIONS = ["sector", "geography", "asset_type"]
 
 
-def by_dimension(stressed: DataFrame, total_ead) -> DataFrame:
-    """One pass over the affected rows for all dimensions (grouping sets)."""
+def by_dimension(stressed: DataFrame, total: DataFrame) -> DataFrame:
+    """One pass over the affected rows for all dimensions (grouping sets). total: one row, total_ead."""
     sets = [[F.col("event_id"), F.col(d)] for d in DIMENSIONS]
     g = stressed.groupingSets(sets, "event_id", *DIMENSIONS).agg(F.count("*").alias("n"), F.sum("ead").alias("ead"), F.sum("incremental_el").alias("incremental_el"), F.sum("mtm_impact").alias("mtm_impact"), F.grouping_id("event_id", *DIMENSIONS).alias("g"))
     name = F.when(F.col("g") == 0b0011, "sector").when(F.col("g") == 0b0101, "geography").otherwise("asset_type")
-    return g.select("event_id", name.alias("dimension"), F.coalesce(*DIMENSIONS).alias("name"), "n", "ead", "incremental_el", "mtm_impact", (F.col("ead").cast("double") / total_ead * 100).alias("pct_of_portfolio"))
+    g = g.join(F.broadcast(total))
+    return g.select("event_id", name.alias("dimension"), F.coalesce(*DIMENSIONS).alias("name"), "n", "ead", "incremental_el", "mtm_impact", (F.col("ead").cast("double") / F.nullif(F.col("total_ead"), F.lit(0.0)) * 100).alias("pct_of_portfolio"))
 
 
 def attribution(dims: DataFrame) -> DataFrame:
@@ -91,10 +102,10 @@ def totals(shocks: DataFrame, stressed: DataFrame) -> DataFrame:
 
 
 def compare(total: DataFrame, pairs: DataFrame) -> DataFrame:
-    """B minus A for each pair of events (event_a, event_b), in the pairs' order."""
+    """B minus A for each pair of events (event_a, event_b); further columns of the pairs, such as their place, are kept."""
     side = lambda x: total.select(F.col("event_id").alias(f"event_{x}"), F.col("affected_ead").alias(f"ead_{x}"), F.col("incremental_el").alias(f"el_{x}"), F.col("mtm_impact").alias(f"mtm_{x}"))
     j = pairs.join(side("a"), "event_a").join(side("b"), "event_b")
-    return j.select("event_a", "event_b", (F.col("ead_b") - F.col("ead_a")).alias("delta_ead"), (F.col("el_b") - F.col("el_a")).alias("delta_el"), (F.abs("mtm_b") - F.abs("mtm_a")).alias("delta_mtm"))
+    return j.select(*pairs.columns, (F.col("ead_b") - F.col("ead_a")).alias("delta_ead"), (F.col("el_b") - F.col("el_a")).alias("delta_el"), (F.abs("mtm_b") - F.abs("mtm_a")).alias("delta_mtm"))
 
 
 def attribution_diff(dims: DataFrame, event_a: str, event_b: str) -> DataFrame:

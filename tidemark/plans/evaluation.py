@@ -26,14 +26,17 @@ def pearson_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select o_orderpriority as tier, count(*) n, round(sum(o_totalprice::decimal(18,2))::double / count(*), 4) mean, median(o_totalprice) med, min(o_totalprice) low, max(o_totalprice) high, round(stddev_samp(o_totalprice), 4) std from orders group by 1")
 def tier_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders")
-    return o.groupBy(F.col("o_orderpriority").alias("tier")).agg(F.count("*").alias("n"), F.round(F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double") / F.count("*"), 4).alias("mean"), F.percentile("o_totalprice", 0.5).alias("med"), F.min("o_totalprice").alias("low"), F.max("o_totalprice").alias("high"), F.round(F.stddev_samp("o_totalprice"), 4).alias("std"))
+    o = table(spark, sf_dir, "orders").withColumnRenamed("o_orderpriority", "tier")
+    med = evaluate.quantiles(o, ["tier"], "o_totalprice", {"med": 0.5})
+    g = o.groupBy("tier").agg(F.count("*").alias("n"), F.round(F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double") / F.count("*"), 4).alias("mean"), F.min("o_totalprice").alias("low"), F.max("o_totalprice").alias("high"), F.round(F.stddev_samp("o_totalprice"), 4).alias("std"))
+    return g.join(med, "tier")
 
 
 @query("select l_returnflag as flag, round(quantile_cont(l_extendedprice, 0.25), 6) p25, round(quantile_cont(l_extendedprice, 0.5), 6) p50, round(quantile_cont(l_extendedprice, 0.75), 6) p75, round(quantile_cont(l_extendedprice, 0.95), 6) p95, round(quantile_cont(l_extendedprice, 0.99), 6) p99 from lineitem group by 1")
 def score_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("flag")).agg(F.percentile("l_extendedprice", F.lit([0.25, 0.5, 0.75, 0.95, 0.99])).alias("q"))
-    return q.select("flag", *[F.round(F.col("q")[k], 6).alias(n) for k, n in enumerate(["p25", "p50", "p75", "p95", "p99"])])
+    rows = table(spark, sf_dir, "lineitem").withColumnRenamed("l_returnflag", "flag")
+    shares = {"p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95, "p99": 0.99}
+    return evaluate.quantiles(rows, ["flag"], "l_extendedprice", shares).select("flag", *[F.round(n, 6).alias(n) for n in shares])
 
 
 @query("with e as (select list_distinct([quantile_cont(o_totalprice, x / 5.0) for x in range(0, 6)]) as q from orders), b as (select o_totalprice, len(list_filter(list_sort(q)[2:-2], lambda x: x < o_totalprice)) as bucket from orders, e) select bucket::bigint as bucket, count(*) n, min(o_totalprice) low, max(o_totalprice) high from b group by 1".replace("[quantile_cont(o_totalprice, x / 5.0) for x in range(0, 6)]", "quantile_cont(o_totalprice, [0.0, 0.2, 0.4, 0.6, 0.8, 1.0])"))

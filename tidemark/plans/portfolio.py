@@ -77,14 +77,13 @@ def shocks(spark: SparkSession) -> DataFrame:
     return P.shock_map(spark.createDataFrame(SIGNALS, "event_id string, event_type string, entity string, impact double"))
 
 
-def _stressed(spark: SparkSession, sf_dir: str) -> DataFrame:
+def stressed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.stress(shocks(spark), exposures(spark, sf_dir))
 
 
 def _dims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = exposures(spark, sf_dir)
-    total = float(e.agg(F.sum("ead")).first()[0] or 1)
-    return P.by_dimension(_stressed(spark, sf_dir), F.lit(total))
+    total = exposures(spark, sf_dir).agg(F.sum("ead").cast("double").alias("total_ead"))
+    return P.by_dimension(stressed(spark, sf_dir), total)
 
 
 def _doubles(df: DataFrame) -> DataFrame:
@@ -98,12 +97,12 @@ def shock_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(STRESS_SQL + " select event_id, exposure_id, asset_type, ead::double ead, stressed_pd::double stressed_pd, stressed_lgd::double stressed_lgd, base_el::double base_el, incremental_el::double incremental_el, mtm_impact::double mtm_impact from stress")
 def stress_exposures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _doubles(_stressed(spark, sf_dir).select("event_id", "exposure_id", "asset_type", "ead", "stressed_pd", "stressed_lgd", "base_el", "incremental_el", "mtm_impact"))
+    return _doubles(stressed(spark, sf_dir).select("event_id", "exposure_id", "asset_type", "ead", "stressed_pd", "stressed_lgd", "base_el", "incremental_el", "mtm_impact"))
 
 
 @query(STRESS_SQL + " select event_id, scope, error, n_affected, affected_ead::double affected_ead, incremental_el::double incremental_el, mtm_impact::double mtm_impact from totals")
 def stress_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _doubles(P.totals(shocks(spark), _stressed(spark, sf_dir)))
+    return _doubles(P.totals(shocks(spark), stressed(spark, sf_dir)))
 
 
 @query(STRESS_SQL + " select event_id, dimension, name, n, ead::double ead, incremental_el::double incremental_el, mtm_impact::double mtm_impact, ead::double / (select sum(ead)::double from exposures) * 100 as pct_of_portfolio from dims")
@@ -116,25 +115,21 @@ def attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _doubles(P.attribution(_dims(spark, sf_dir)))
 
 
-@query(STRESS_SQL + " select event_id, exposure_id, ead::double ead, rank_ead, rank_el, rank_mtm from (select *, row_number() over (partition by event_id order by ead desc, exposure_id) rank_ead, row_number() over (partition by event_id order by incremental_el desc, exposure_id) rank_el, row_number() over (partition by event_id order by abs(mtm_impact) desc, exposure_id) rank_mtm from stress) where rank_ead <= 5 or rank_el <= 5 or rank_mtm <= 5")
+_MEASURES = " union all ".join(f"select event_id, exposure_id, '{m}' as measure, {c}::double as size from stress" for m, c in (("ead", "ead"), ("incremental_el", "incremental_el"), ("mtm_impact", "abs(mtm_impact)")))
+
+
+@query(STRESS_SQL + f", m as ({_MEASURES}), k as (select *, row_number() over (partition by event_id, measure order by size desc, exposure_id) place from m) select event_id, exposure_id, measure, size, place from k where place <= 5")
 def top_exposures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("event_id")
-    ranked = _stressed(spark, sf_dir).select(
-        "event_id", "exposure_id", "ead",
-        F.row_number().over(w.orderBy(F.desc("ead"), "exposure_id")).alias("rank_ead"),
-        F.row_number().over(w.orderBy(F.desc("incremental_el"), "exposure_id")).alias("rank_el"),
-        F.row_number().over(w.orderBy(F.desc(F.abs("mtm_impact")), "exposure_id")).alias("rank_mtm"),
-    )
-    return _doubles(ranked.filter("rank_ead <= 5 or rank_el <= 5 or rank_mtm <= 5"))
+    return P.top_by(stressed(spark, sf_dir))
 
 
-_PAIRS = ", ".join(f"('{a}', '{b}')" for a, b in PAIRS)
+_PAIRS = ", ".join(f"({k}, '{a}', '{b}')" for k, (a, b) in enumerate(PAIRS))
 
 
-@query(STRESS_SQL + f" select event_a, event_b, (b.affected_ead - a.affected_ead)::double delta_ead, (b.incremental_el - a.incremental_el)::double delta_el, (abs(b.mtm_impact) - abs(a.mtm_impact))::double delta_mtm from (values {_PAIRS}) p(event_a, event_b) join totals a on a.event_id = event_a join totals b on b.event_id = event_b")
+@query(STRESS_SQL + f" select place, event_a, event_b, (b.affected_ead - a.affected_ead)::double delta_ead, (b.incremental_el - a.incremental_el)::double delta_el, (abs(b.mtm_impact) - abs(a.mtm_impact))::double delta_mtm from (values {_PAIRS}) p(place, event_a, event_b) join totals a on a.event_id = event_a join totals b on b.event_id = event_b")
 def scenario_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
-    total = P.totals(shocks(spark), _stressed(spark, sf_dir))
-    return _doubles(P.compare(total, spark.createDataFrame(PAIRS, "event_a string, event_b string")))
+    total = P.totals(shocks(spark), stressed(spark, sf_dir))
+    return _doubles(P.compare(total, spark.createDataFrame([(k, *p) for k, p in enumerate(PAIRS)], "place int, event_a string, event_b string")))
 
 
 @query(STRESS_SQL + ", a as (select * from dims where event_id = 'E1'), b as (select * from dims where event_id = 'E3') select dimension, name, (coalesce(b.incremental_el, 0) - coalesce(a.incremental_el, 0))::double delta_el, (abs(coalesce(b.mtm_impact, 0)) - abs(coalesce(a.mtm_impact, 0)))::double delta_mtm from a full join b using (dimension, name)")
