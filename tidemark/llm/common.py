@@ -90,14 +90,14 @@ MOST = 31
 
 
 def bitmap(df: DataFrame, key: str):
-    """Broadcast a bit set with the bits of all values of a 64-bit hash column: some 16 to 32 bits a value,
+    """Broadcast a bit set with the bits of all values of a 64-bit hash column: some 32 to 64 bits a value,
     so that few others seem to be in it.
 
-    It grows with the number of values up to 256 MB (134 million values).  It only says "surely not there" or
+    It grows with the number of values up to 256 MB (67 million values).  It only says "surely not there" or
     "perhaps there": callers leave out work early and an exact step follows, so with still more values more
     rows reach that step and results stay the same."""
     values = written(df.select(F.col(key).alias("p")), "values")
-    bits = min(max((16 * values.count()).bit_length(), 10), MOST)
+    bits = min(max((32 * values.count()).bit_length(), 10), MOST)
     place = F.shiftrightunsigned(F.col("p"), 64 - bits)
     words = values.select(place.alias("p")).selectExpr("cast(p >> 6 as int) as i", "shiftleft(1L, cast(p & 63 as int)) as b")
     words = words.groupBy("i").agg(F.bit_or("b").alias("b")).toArrow()
