@@ -63,7 +63,7 @@ def test_market_fixture(spark):
     days = ["02", "03", "04", "05", "08", "09", "10", "11", "12", "15"]
     bars = spark.createDataFrame([("A", f"2024-01-{d}", 110.0 if d == "15" else 100.0, 2_000_000 if d == "15" else 1_000_000) for d in days], "ticker string, trade_date string, close double, volume long").withColumn("trade_date", F.to_date("trade_date"))
     index = spark.createDataFrame([(f"2024-01-{d}", 3900.0 if d == "15" else 3800.0) for d in days], "trade_date string, index_close double").withColumn("trade_date", F.to_date("trade_date"))
-    r = market.windows(bars, index).orderBy(F.desc("trade_date")).first()
+    r = market.windows(bars, index, baseline=9, least=8, returns=9).orderBy(F.desc("trade_date")).first()
     assert r["window_return"] == pytest.approx(0.10) and r["abnormal_return"] == pytest.approx(0.073684, abs=1e-6)
     assert r["volume_ratio"] == 2.0 and r["volatility"] == 0.0
     e = spark.createDataFrame([(1, "A", "2024-01-13"), (2, "B", "2024-01-13")], "event_id long, ticker string, event_date string").withColumn("event_date", F.to_date("event_date"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,14 +15,30 @@ def clean(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), "(?U)\\s+", " "))
 
 
+def _one_way(pattern: str) -> bool:
+    """Whether the pattern has no alternative outside of groups, classes and escapes."""
+    plain = re.sub(r"\\.|\[[^\]]*\]", "", pattern)
+    while (inner := re.sub(r"\([^()]*\)", "", plain)) != plain:
+        plain = inner
+    return "|" not in plain
+
+
 def any_match(text: Column, patterns: list[str]) -> Column:
-    return text.rlike(FLAGS + "|".join(f"(?:{p})" for p in patterns))
+    """Whether any pattern is found. Those that start at a word's edge share one test of it, so that most places cost one try."""
+    edge = [p[2:] for p in patterns if p.startswith("\\b") and _one_way(p)]
+    rest = [p for p in patterns if not (p.startswith("\\b") and _one_way(p))]
+    both = ([f"\\b(?:{'|'.join(edge)})"] if edge else []) + [f"(?:{p})" for p in rest]
+    return text.rlike(FLAGS + "|".join(both))
 
 
 def first_match(text: Column, patterns: list[str]) -> Column:
-    """What the first matching pattern matches; null without a match. One alternation decides whether any is tried."""
-    tried = F.coalesce(*[F.nullif(F.regexp_extract(text, FLAGS + p, 0), F.lit("")) for p in patterns])
-    return F.when(any_match(text, patterns), tried)
+    """What the first matching pattern matches; null without a match. One alternation decides whether any is tried.
+
+    Then each pattern in turn looks ahead from the start of the text, and the one that finds something names its group:
+    one expression a list, which keeps generated code small."""
+    ahead = "|".join(f"(?=(?s:.*?)(?<h{k}>{p}))" for k, p in enumerate(patterns))
+    found = F.regexp_replace(text, f"{FLAGS}^(?:{ahead})(?s:.*)$", "".join(f"${{h{k}}}" for k in range(len(patterns))))
+    return F.when(any_match(text, patterns), found)
 
 
 def title_key(text: Column) -> Column:

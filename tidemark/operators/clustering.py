@@ -37,38 +37,42 @@ def compatible(a: str, b: str) -> bool:
     return a == b or b in COMPATIBLE.get(a, ()) or a in COMPATIBLE.get(b, ())
 
 
+class _Open:
+    """The clusters of one entity that a later row can still join, oldest first."""
+
+    def __init__(self, least: float, hours: float):
+        self.least, self.hours, self.rows = least, np.timedelta64(int(hours * 3_600_000_000), "us"), []
+
+    def add(self, seq: int, ts: np.datetime64, kind: str, vector: np.ndarray) -> tuple[int, float]:
+        """(cluster_id, novelty) of the next row; clusters whose time has passed are dropped."""
+        self.rows = [c for c in self.rows if ts - c["latest"] <= self.hours]
+        v = vector / (np.linalg.norm(vector) or 1.0)
+        fit = [c for c in self.rows if compatible(c["kind"], kind)]
+        if fit:
+            sums = np.stack([c["sum"] for c in fit])
+            length = np.linalg.norm(sums, axis=1)
+            cosine = sums @ v / np.where(length > 0, length, 1.0)
+            k = int(np.argmax(cosine))  # the oldest of equals
+            if cosine[k] >= self.least:
+                c = fit[k]
+                c["sum"], c["n"], c["latest"] = c["sum"] + v, c["n"] + 1, ts
+                return c["name"], 1.0 / c["n"]
+        self.rows.append({"name": seq, "sum": v, "n": 1, "kind": kind, "latest": ts})
+        return seq, 1.0
+
+
 def _assign(least: float, hours: float):
-    """Rows of one entity come in order: keep only its open clusters (sum vector, size, type, latest time)."""
+    """Sorted rows of many groups pass by; only the open clusters of the present one are held."""
 
-    def run(key: tuple, frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums: list[np.ndarray] = []
-        sizes, kinds, latest, names = [], [], [], []
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        present, state = None, None
         for frame in frames:
-            label, novelty = [], []
-            for seq, ts, kind, vector in zip(frame["seq"], frame["ts"], frame["event_type"], frame["vector"], strict=True):
-                v = np.asarray(vector, float)
-                v = v / (np.linalg.norm(v) or 1.0)
-                best, at = -2.0, -1
-                for c in range(len(sums)):
-                    if compatible(kinds[c], kind) and abs((ts - latest[c]).total_seconds()) <= hours * 3600:
-                        s = float(sums[c] @ v / (np.linalg.norm(sums[c]) or 1.0))
-                        if s >= least and s > best:
-                            best, at = s, c
-                if at < 0:
-                    sums.append(v.copy())
-                    sizes.append(1)
-                    kinds.append(kind)
-                    latest.append(ts)
-                    names.append(seq)
-                    at = len(sums) - 1
-                    novelty.append(1.0)
-                else:
-                    novelty.append(1.0 / (sizes[at] + 1))
-                    sums[at] += v
-                    sizes[at] += 1
-                    latest[at] = max(latest[at], ts)
-                label.append(names[at])
-            yield pd.DataFrame({"entity": key[0], "seq": frame["seq"], "cluster_id": label, "novelty": novelty})
+            out = []
+            for entity, part, seq, ts, kind, vector in zip(frame["entity"], frame["part"], frame["seq"], frame["ts"].to_numpy("datetime64[us]"), frame["event_type"], frame["vector"], strict=True):
+                if state is None or (entity, part) != present:
+                    present, state = (entity, part), _Open(least, hours)
+                out.append(state.add(seq, ts, kind, np.asarray(vector, float)))
+            yield pd.DataFrame({"entity": frame["entity"], "seq": frame["seq"], "cluster_id": [c for c, _ in out], "novelty": [n for _, n in out]})
 
     return run
 
@@ -76,12 +80,25 @@ def _assign(least: float, hours: float):
 def assign(rows: DataFrame, least: float = 0.85, hours: float = HOURS) -> DataFrame:
     """rows: entity, seq, ts, event_type, vector.  Each row joins the most similar open cluster of its entity, or opens one.
 
-    The result depends on the order, which is ``seq``; entities are independent, so they run in parallel.
-    cluster_id is the seq of the cluster's first row."""
-    ordered = rows.select("entity", "seq", "ts", "event_type", "vector")
-    run = _assign(least, hours)
-
-    def whole(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        return next(iter(run(key, iter([frame.sort_values("seq")]))))
-
-    return ordered.groupBy("entity").applyInPandas(whole, "entity string, seq long, cluster_id long, novelty double")
+    Rows come in the order of ts, then seq (null entities are one entity; ts is never null).  No cluster outlives a gap
+    above ``hours``, so an entity is cut at its gaps and the pieces run apart; a task streams its sorted rows and holds
+    the clusters of one window.  cluster_id is the seq of the cluster's first row."""
+    cut = sessions(rows.select("entity", "seq", "ts", "event_type", "vector"), ["entity"], "ts", "seq", hours).withColumnRenamed("cluster", "part")
+    ordered = cut.repartition("entity", "part").sortWithinPartitions("entity", "part", "ts", "seq").select("entity", "part", "seq", "ts", "event_type", "vector")
+    return ordered.mapInPandas(_assign(least, hours), "entity string, seq long, cluster_id long, novelty double")
+
+
+def nearest(rows: DataFrame, hours: float = HOURS) -> DataFrame:
+    """rows: id, entity, ts, vector.  For each row id, near_id and cosine of the most similar other row of its entity that
+    is at most ``hours`` away (the smallest id of equals); rows without any are left out.
+
+    An equi-join on entity and time bucket, so pairs grow with the rows of a window, not with those of an entity."""
+    width = int(hours * 3_600_000_000)
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    r = rows.select("id", "entity", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), F.transform("vector", lambda x: x.cast("double")).alias("v"))
+    r = r.withColumn("norm", F.sqrt(dot(F.col("v"), F.col("v")))).withColumn("slot", F.floor(F.col("us") / width))
+    other = r.select("entity", F.explode(F.array(F.col("slot") - 1, F.col("slot"), F.col("slot") + 1)).alias("slot"), F.col("id").alias("near_id"), F.col("us").alias("us2"), F.col("v").alias("w"), F.col("norm").alias("norm2"))
+    pairs = r.join(other, ["entity", "slot"]).filter((F.col("id") != F.col("near_id")) & (F.abs(F.col("us") - F.col("us2")) <= width))
+    scored = pairs.select("id", "near_id", F.try_divide(dot(F.col("v"), F.col("w")), F.col("norm") * F.col("norm2")).alias("cosine"))
+    best = scored.groupBy("id").agg(F.max_by(F.struct("near_id", "cosine"), F.struct("cosine", -F.col("near_id"))).alias("b"))
+    return best.select("id", "b.near_id", "b.cosine")

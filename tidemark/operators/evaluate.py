@@ -58,6 +58,7 @@ def p_value(rho: float | None, n: int) -> float | None:
 
 def quantile_buckets(df: DataFrame, value: str, k: int) -> DataFrame:
     """Adds ``bucket``: right-closed quantile bins with equal edges merged."""
-    edges = df.agg(F.array_distinct(F.percentile(value, F.lit([i / k for i in range(k + 1)]))).alias("q"))
+    shares = {f"q{i}": i / k for i in range(k + 1)}
+    edges = quantiles(df, [], value, shares).select(F.array_distinct(F.array(*shares)).alias("q"))
     inner = F.slice("q", 2, F.greatest(F.size("q") - 2, F.lit(0)))
     return df.join(F.broadcast(edges)).withColumn("bucket", F.size(F.filter(inner, lambda e: e < F.col(value)))).drop("q")  # one row of edges

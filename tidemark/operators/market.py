@@ -25,10 +25,11 @@ def as_of(events: DataFrame, bars: DataFrame) -> DataFrame:
     return found.select("event_id", "ticker", F.col("d").alias("event_date"), F.col("bar.trade_date").alias("anchor_date"), F.col("bar.close").alias("anchor_close"))
 
 
-def windows(bars: DataFrame, index: DataFrame, size: int = 1, baseline: int = 9, least: int = 8) -> DataFrame:
+def windows(bars: DataFrame, index: DataFrame, size: int = 1, baseline: int = 20, least: int = 10, returns: int = 20) -> DataFrame:
     """For every bar as the end of an event window: its return, volume ratio, volatility and abnormal return.
 
-    bars: ticker, trade_date, close, volume; index: trade_date, index_close. Values are null without enough history."""
+    bars: ticker, trade_date, close, volume; index: trade_date, index_close. Values are null without enough history.
+    The volatility is that of the log returns between the last ``returns`` closes before the window."""
     line = Window.partitionBy("ticker").orderBy("trade_date")
     before = line.rowsBetween(-size - baseline + 1, -size)
     log = F.when((F.col("close") > 0) & (F.lag("close").over(line) > 0), F.log(F.col("close") / F.lag("close").over(line)))
@@ -37,6 +38,6 @@ def windows(bars: DataFrame, index: DataFrame, size: int = 1, baseline: int = 9,
     ret = F.when(F.col("prior") == 0, 0.0).otherwise(F.col("close") / F.col("prior") - 1)
     index_ret = F.when(F.col("index_prior") == 0, 0.0).otherwise(F.col("index_close") / F.col("index_prior") - 1)
     ratio = F.try_divide(F.avg("volume").over(line.rowsBetween(-size + 1, 0)), F.avg("volume").over(before))
-    vol = F.stddev_samp("log_return").over(line.rowsBetween(-size - baseline + 2, -size)) * math.sqrt(252)
+    vol = F.stddev_samp("log_return").over(line.rowsBetween(-size - returns + 2, -size)) * math.sqrt(252)
     ok = F.col("n_base") >= least
     return b.select("ticker", "trade_date", "n_base", F.when(ok, ret).alias("window_return"), F.when(ok, ratio).alias("volume_ratio"), F.when(ok, vol).alias("volatility"), F.when(ok, ret - F.coalesce(index_ret, F.lit(0.0))).alias("abnormal_return"))

@@ -82,17 +82,19 @@ def group_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.withColumn("pct", F.col("usable") * 100.0 / F.col("n"))
 
 
-@query("with u as (select *, 0 as r from orders where o_orderkey % 2 = 0 union all select o_orderkey, o_custkey, 'X', o_totalprice, o_orderdate, o_orderpriority, 1 from orders where o_orderkey % 3 = 0) select o_orderkey, o_orderstatus from (select *, row_number() over (partition by o_orderkey order by r desc) k from u) where k = 1")
+@query("with n as (select l_orderkey as k, case when bool_or(l_returnflag = 'R') then 'R' else 'L' end as s from lineitem group by 1) select coalesce(k, o_orderkey) as o_orderkey, coalesce(s, o_orderstatus) as o_orderstatus from orders full join n on k = o_orderkey")
 def upsert_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders")
-    new = o.filter("o_orderkey % 3 = 0").withColumn("o_orderstatus", F.lit("X"))
-    return upsert(o.filter("o_orderkey % 2 = 0"), new, ["o_orderkey"]).select("o_orderkey", "o_orderstatus")
+    """All orders, and the state that their lines give them: R with a returned line, L without."""
+    state = F.when(F.bool_or(F.col("l_returnflag") == "R"), "R").otherwise("L")
+    new = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(state.alias("o_orderstatus"))
+    return upsert(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus"), new, ["o_orderkey"])
 
 
-@query("select o_orderkey from orders where o_orderkey % 2 = 0 union all select o_orderkey from orders where o_orderkey % 3 = 0 and o_orderkey % 2 <> 0")
+@query("select o_custkey as c_custkey, count(*) as n from orders group by 1 union all select c_custkey, 0 from customer where not exists (select 1 from orders where o_custkey = c_custkey)")
 def new_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders").select("o_orderkey")
-    return insert_or_ignore(o.filter("o_orderkey % 2 = 0"), o.filter("o_orderkey % 3 = 0"), ["o_orderkey"])
+    """Customers of orders stay; of all customers those join that are not there yet."""
+    old = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n"))
+    return insert_or_ignore(old, table(spark, sf_dir, "customer").select("c_custkey", F.lit(0).cast("long").alias("n")), ["c_custkey"])
 
 
 @query("select case when o_orderdate <= timestamp '1996-01-01' then 'train' when o_orderdate <= timestamp '1998-01-01' then 'validation' else 'test' end as split, count(*) n, min(o_orderdate) first_date, max(o_orderdate) last_date from orders group by 1")

@@ -81,9 +81,9 @@ def asof_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""with {BARS_SQL}, j as (select b.*, index_close, case when close > 0 and lag(close) over l > 0 then ln(close / lag(close) over l) end as lr, lag(close) over l as prior, lag(index_close) over l as ip, count(*) over base as n_base,
-  volume::double / (avg(volume) over base) as vr from bars b left join idx using (trade_date) window l as (partition by ticker order by trade_date), base as (partition by ticker order by trade_date rows between 9 preceding and 1 preceding)),
-v as (select *, stddev_samp(lr) over (partition by ticker order by trade_date rows between 8 preceding and 1 preceding) * sqrt(252) as vol, case when prior = 0 then 0.0 else close / prior - 1 end as ret, case when ip = 0 then 0.0 else index_close / ip - 1 end as ir from j)
-select ticker, trade_date, n_base, case when n_base >= 8 then round(ret, 6) end as window_return, case when n_base >= 8 then round(vr, 6) end as volume_ratio, case when n_base >= 8 then round(vol, 6) end as volatility, case when n_base >= 8 then round(ret - coalesce(ir, 0), 6) end as abnormal_return from v""")
+  volume::double / (avg(volume) over base) as vr from bars b left join idx using (trade_date) window l as (partition by ticker order by trade_date), base as (partition by ticker order by trade_date rows between 20 preceding and 1 preceding)),
+v as (select *, stddev_samp(lr) over (partition by ticker order by trade_date rows between 19 preceding and 1 preceding) * sqrt(252) as vol, case when prior = 0 then 0.0 else close / prior - 1 end as ret, case when ip = 0 then 0.0 else index_close / ip - 1 end as ir from j)
+select ticker, trade_date, n_base, case when n_base >= 10 then round(ret, 6) end as window_return, case when n_base >= 10 then round(vr, 6) end as volume_ratio, case when n_base >= 10 then round(vol, 6) end as volatility, case when n_base >= 10 then round(ret - coalesce(ir, 0), 6) end as abnormal_return from v""")
 def market_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = bars(spark, sf_dir)
     index = b.groupBy("trade_date").agg((F.sum(F.col("close").cast("decimal(18,2)")).cast("double") / F.count("*")).alias("index_close"))
@@ -128,16 +128,15 @@ def semantic_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ordered assignment of the embeddings, one entity a label, an hour between rows."""
     e = table(spark, sf_dir, "embeddings")
     rows = e.select(F.col("label").cast("string").alias("entity"), F.col("vec_id").cast("long").alias("seq"), F.timestamp_seconds(F.col("vec_id") * 3600).alias("ts"), F.lit("Macroeconomic").alias("event_type"), F.col("embedding").alias("vector"))
-    return clustering.assign(rows, least=0.6)
+    return clustering.assign(rows)
 
 
-@query("with n as (select vec_id, label, embedding, sqrt(list_sum(list_transform(embedding, lambda x: x::double * x::double))) as norm from embeddings), p as (select a.vec_id, b.vec_id as near_id, list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: z[1]::double * z[2]::double)) / (a.norm * b.norm) as cosine from n a join n b on a.label = b.label and a.vec_id <> b.vec_id) select vec_id, near_id, round(cosine, 6) as cosine from (select *, row_number() over (partition by vec_id order by cosine desc, near_id) k from p) where k = 1")
+@query("""with n as (select vec_id, label, embedding, sqrt(list_sum(list_transform(embedding, lambda x: x::double * x::double))) as norm from embeddings),
+p as (select a.vec_id, b.vec_id as near_id, list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: z[1]::double * z[2]::double)) / (a.norm * b.norm) as cosine from n a join n b on a.label = b.label and a.vec_id <> b.vec_id and abs(a.vec_id - b.vec_id) <= 72)
+select vec_id, near_id, round(cosine, 6) as cosine, cosine >= 0.85 as similar from (select *, row_number() over (partition by vec_id order by cosine desc, near_id) k from p) where k = 1""")
 def nearest_neighbour(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The most similar other vector of the same label (the entity key keeps the join local)."""
-    e = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    e = e.withColumn("norm", F.sqrt(dot(F.col("v"), F.col("v"))))
-    b = e.select(F.col("vec_id").alias("near_id"), "label", F.col("v").alias("w"), F.col("norm").alias("norm2"))
-    p = e.join(b, "label").filter("vec_id <> near_id").select("vec_id", "near_id", (dot(F.col("v"), F.col("w")) / (F.col("norm") * F.col("norm2"))).alias("cosine"))
-    best = p.groupBy("vec_id").agg(F.max_by(F.struct("near_id", "cosine"), F.struct("cosine", -F.col("near_id"))).alias("b"))
-    return best.select("vec_id", "b.near_id", F.round("b.cosine", 6).alias("cosine"))
+    """The most similar other vector of the same label within 72 hours, an hour between rows."""
+    e = table(spark, sf_dir, "embeddings")
+    rows = e.select(F.col("vec_id").alias("id"), F.col("label").alias("entity"), F.timestamp_seconds(F.col("vec_id") * 3600).alias("ts"), F.col("embedding").alias("vector"))
+    near = clustering.nearest(rows)
+    return near.select(F.col("id").alias("vec_id"), "near_id", F.round("cosine", 6).alias("cosine"), (F.col("cosine") >= 0.85).alias("similar"))
