@@ -9,6 +9,7 @@ from tidemark.functions import lexicon as X
 from tidemark.functions.text import any_match, clean, first_match
 
 NOT_MATERIAL = "NON_MATERIAL_FINANCIAL_CONTENT"
+GATES = [X.LISTING_SUPPRESS, X.PERSONAL_FINANCE_SUPPRESS, X.PERSONAL_INTENT_SUPPRESS, X.OPINION_SUPPRESS, X.BOYCOTT_SUPPRESS, X.PERSONAL_CREDIT_SUPPRESS]
 
 
 def _verdict(material: str | Column, kind: str | Column, reason: str | Column) -> Column:
@@ -20,28 +21,32 @@ def materiality(df: DataFrame, text: str, event_type: str, relevance: str, confi
     """Adds materiality, final_type and reason.
 
     Per type there are two helper columns: what its first positive pattern matches, and why the type is
-    suppressed.  The gates are one CASE over them."""
+    suppressed.  The gates are one CASE over them.  One alternation of all positive patterns and one of all gates come
+    first: most texts hold none and are done with these two."""
     t = F.col("__t")
-    df = df.withColumn("__t", clean(F.col(text)))
     types = list(X.RULES)
-    asked = (F.coalesce(F.col(relevance), F.lit("")) == "FINANCIAL_EVENT") & (t != "")  # no list is tried behind the first gates
+    relevant = (F.coalesce(F.col(relevance), F.lit("")) == "FINANCIAL_EVENT") & (F.col("__t") != "")
+    df = df.withColumn("__t", clean(F.col(text))).withColumn("__open", relevant)
+    df = df.withColumn("__some", F.col("__open") & any_match(t, [p for name in types for p in X.RULES[name]]))
+    df = df.withColumn("__gated", F.col("__open") & any_match(t, [p for patterns in GATES for p in patterns]))
+    asked = F.col("__open")  # no list is tried behind the first gates
     for k, name in enumerate(types):
         sup = F.when(any_match(t, X.TYPE_SUPPRESS[name]), X.SUPPRESSED[name]) if name in X.TYPE_SUPPRESS else F.lit(None).cast("string")
         if name == "Merger & Acquisition":
             sup = F.coalesce(sup, F.when(t.rlike("(?i)^if\\b") & ~any_match(t, X.DEAL_SIGN), "conditional_framing"))
-        df = df.withColumn(f"__hit{k}", F.when(asked, first_match(t, X.RULES[name]))).withColumn(f"__sup{k}", F.when(asked & (F.col(f"__hit{k}").isNotNull() | (F.col(event_type) == name)), sup))
+        df = df.withColumn(f"__hit{k}", F.when(F.col("__some"), first_match(t, X.RULES[name]))).withColumn(f"__sup{k}", F.when(asked & (F.col(f"__hit{k}").isNotNull() | (F.col(event_type) == name)), sup))
     weak = lambda h: (F.col(confidence) < 0.20) & (F.length(h) < 9) & ~h.rlike("\\d")
     own_hit = F.coalesce(*[F.when(F.col(event_type) == n, F.col(f"__hit{k}")) for k, n in enumerate(types)])
     own_sup = F.coalesce(*[F.when(F.col(event_type) == n, F.col(f"__sup{k}")) for k, n in enumerate(types)])
     hit = lambda n: F.col(f"__hit{types.index(n)}")
     out = F.when(F.coalesce(F.col(relevance), F.lit("")) != "FINANCIAL_EVENT", _verdict("NO_EVENT", "NO_EVENT", "relevance_gate"))
     out = out.when(t == "", _verdict(NOT_MATERIAL, "NO_EVENT", "empty_text"))
-    out = out.when(any_match(t, X.LISTING_SUPPRESS), _verdict(NOT_MATERIAL, "NO_EVENT", "consumer_listing_context"))
-    out = out.when(any_match(t, X.PERSONAL_FINANCE_SUPPRESS), _verdict(NOT_MATERIAL, "NO_EVENT", "personal_finance_context"))
-    out = out.when(any_match(t, X.PERSONAL_INTENT_SUPPRESS), _verdict(NOT_MATERIAL, "NO_EVENT", "personal_intent_statement"))
-    out = out.when(any_match(t, X.OPINION_SUPPRESS) & own_hit.isNull(), _verdict(NOT_MATERIAL, "NO_EVENT", "opinion_or_prediction_framing"))
-    out = out.when(any_match(t, X.BOYCOTT_SUPPRESS) & hit("Regulatory / Legal").isNull(), _verdict(NOT_MATERIAL, "NO_EVENT", "boycott_or_activism_framing"))
-    out = out.when(any_match(t, X.PERSONAL_CREDIT_SUPPRESS) & hit("Credit Event").isNull(), _verdict(NOT_MATERIAL, "NO_EVENT", "personal_credit_complaint"))
+    out = out.when(F.col("__gated") & any_match(t, X.LISTING_SUPPRESS), _verdict(NOT_MATERIAL, "NO_EVENT", "consumer_listing_context"))
+    out = out.when(F.col("__gated") & any_match(t, X.PERSONAL_FINANCE_SUPPRESS), _verdict(NOT_MATERIAL, "NO_EVENT", "personal_finance_context"))
+    out = out.when(F.col("__gated") & any_match(t, X.PERSONAL_INTENT_SUPPRESS), _verdict(NOT_MATERIAL, "NO_EVENT", "personal_intent_statement"))
+    out = out.when(F.col("__gated") & any_match(t, X.OPINION_SUPPRESS) & own_hit.isNull(), _verdict(NOT_MATERIAL, "NO_EVENT", "opinion_or_prediction_framing"))
+    out = out.when(F.col("__gated") & any_match(t, X.BOYCOTT_SUPPRESS) & hit("Regulatory / Legal").isNull(), _verdict(NOT_MATERIAL, "NO_EVENT", "boycott_or_activism_framing"))
+    out = out.when(F.col("__gated") & any_match(t, X.PERSONAL_CREDIT_SUPPRESS) & hit("Credit Event").isNull(), _verdict(NOT_MATERIAL, "NO_EVENT", "personal_credit_complaint"))
     out = out.when(own_sup.isNotNull(), _verdict(NOT_MATERIAL, "NO_EVENT", own_sup))
     out = out.when(own_hit.isNotNull() & ~weak(own_hit), _verdict("MATERIAL_EVENT", F.col(event_type), F.concat(F.lit("upstream_type_confirmed:"), own_hit)))
     for k, name in enumerate(types):
