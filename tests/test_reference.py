@@ -152,3 +152,21 @@ def test_leakage_is_an_error(spark):
     with pytest.raises(ValueError):
         checks.assert_no_leakage(df, ["return_1d"])
     assert checks.assert_no_leakage(df, ["other"]) is df
+
+
+def test_names_resolve_in_order(spark):
+    aliases = spark.createDataFrame([("Acme", "E1", "Acme Corporation"), ("acme", "E2", "Other"), ("ft", "E3", "FT"), ("Bolt", "E4", "")], "alias string, entity_id string, canonical string")
+    said = [" ACME ", "Acme, Inc.", "Acme Corp", "FT", "Bolt", "Nobody Ltd", "", None, "Inc."]
+    names = spark.createDataFrame([(k, n, "x") for k, n in enumerate(said)], "k int, name string, alias string")
+    got = {r.k: (r.entity_id, r.canonical, r.status, r.confidence) for r in ingest.resolve(names, "name", aliases).collect()}
+    none = (None, "", "unresolved_entity", 0.0)
+    assert [got[k] for k in range(len(said))] == [
+        ("E1", "Acme Corporation", "valid", 1.0), ("E1", "Acme Corporation", "valid", 0.85), ("E1", "Acme Corporation", "valid", 0.85), (None, "", "unresolved_source", 0.0), ("E4", "Bolt", "valid", 1.0),
+        (None, "Nobody Ltd", "unresolved_entity", 0.0), none, none, (None, "Inc.", "unresolved_entity", 0.0),
+    ]
+
+
+def test_score_decides_only_about_rows_without_reason(spark):
+    rows = spark.createDataFrame([(1, True, 0.9), (2, False, 0.3), (3, False, 0.2), (4, None, None), (5, True, None)], "id int, hit boolean, p double")
+    got = {r.id: (r.reasons, r.kept) for r in ingest.candidate_filter(rows, {"KEYWORD": F.col("hit")}, F.col("p")).collect()}
+    assert got == {1: (["KEYWORD"], True), 2: (["SEMANTIC"], True), 3: ([], False), 4: ([], False), 5: (["KEYWORD"], True)}

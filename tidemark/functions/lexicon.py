@@ -370,3 +370,6 @@ CREDIT_AUDIT = {
 }
 # Names for which the naive audit assumes a collision, and columns that leak the future.
 COLLIDING = ["visa", "ford", "disney", "mac", "chase"]
+# Publishers, which are no entities, and company suffixes at the end of a name.
+PUBLISHERS = ["reuters", "cnbc", "wsj", "cnn", "bloomberg", "ap", "associated press", "fox news", "ft", "financial times", "nytimes"]
+SUFFIXES = ["inc", "corp", "corporation", "llc", "plc", "ltd", "company", "co"]

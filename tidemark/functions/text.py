@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .lexicon import SUFFIXES
+
 FLAGS = "(?iuU)"
 
 
@@ -46,9 +48,9 @@ def title_key(text: Column) -> Column:
 
 
 def entity_key(name: Column) -> Column:
-    """Lower case without punctuation and company suffixes."""
-    plain = F.regexp_replace(F.lower(name), "[^\\w\\s]", "")
-    return F.trim(F.regexp_replace(plain, "\\b(inc|corp|corporation|ltd|llc|plc|co|company|group|holdings)\\b", ""))
+    """Lower case without the company suffix at the end and without punctuation."""
+    plain = F.regexp_replace(F.trim(F.lower(name)), f"\\b({'|'.join(SUFFIXES)})\\.?$", "")
+    return F.trim(F.regexp_replace(plain, "(?U)[^\\w\\s]", ""))
 
 
 def timestamp(text: Column) -> Column:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.lexicon import DOMAINS, KEYWORDS, THEMES
+from tidemark.functions.lexicon import DOMAINS, PUBLISHERS, THEMES
+from tidemark.functions.text import entity_key
 from tidemark.sources.scratch import stored
 
 
@@ -26,9 +27,13 @@ def theme_signal(themes: Column, prefixes: list[str] = THEMES) -> Column:
     return F.exists(each, lambda t: t.rlike("^(" + "|".join(prefixes) + ")"))
 
 
-def candidate_filter(docs: DataFrame, signals: dict[str, Column]) -> DataFrame:
-    """All rows, with the reasons that hold (in the signals' order) and ``kept`` where there is any."""
+def candidate_filter(docs: DataFrame, signals: dict[str, Column], score: Column | None = None, threshold: float = 0.3) -> DataFrame:
+    """All rows, with the reasons that hold (in the signals' order) and ``kept`` where there is any.
+
+    With a ``score``, rows without a reason are kept as SEMANTIC from the threshold on; others are not asked for it."""
     reasons = F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(name)) for name, c in signals.items()]))
+    if score is not None:
+        reasons = F.when((F.size(reasons) == 0) & (score >= threshold), F.array(F.lit("SEMANTIC"))).otherwise(reasons)
     return docs.withColumn("reasons", reasons).withColumn("kept", F.size("reasons") > 0)
 
 
@@ -52,13 +57,23 @@ def first_seen(docs: DataFrame, keys: list[Column], seq: str) -> DataFrame:
     return docs.limit(0) if kept is None else docs.join(kept.withColumnRenamed("seq", seq), seq, "left_semi")
 
 
-def resolve(names: DataFrame, name: str, aliases: DataFrame) -> DataFrame:
-    """Exact alias before normalised alias. aliases: alias, norm, entity_id."""
-    exact = aliases.groupBy("alias").agg(F.min("entity_id").alias("exact_id"))
-    norm = aliases.groupBy("norm").agg(F.min("entity_id").alias("norm_id"))
-    j = names.join(exact, F.col(name) == F.col("alias"), "left").join(norm, F.col("__norm") == F.col("norm"), "left")
-    how = F.when(F.col("exact_id").isNotNull(), "exact").when(F.col("norm_id").isNotNull(), "normalised").otherwise("unresolved")
-    return j.select(*names.columns, F.coalesce("exact_id", "norm_id").alias("entity_id"), how.alias("how"))
+def resolve(names: DataFrame, name: str, aliases: DataFrame, publishers: list[str] = PUBLISHERS) -> DataFrame:
+    """The rows with entity_id, canonical, status and confidence of their name. aliases: alias, entity_id, canonical.
+
+    A publisher is a source and no entity; then comes the alias in any case (1.0), then the name without company suffix
+    and punctuation (0.85).  Other names stand for themselves, so equal ones still fall together; empty ones and sources
+    have no canonical name.  An alias of several entities means the one with the smallest id."""
+    known = aliases.groupBy(F.lower("alias").alias("key")).agg(F.min(F.struct("entity_id", "canonical")).alias("hit"))
+    said = F.trim(F.coalesce(F.col(name), F.lit("")))
+    rows = names.select(F.struct("*").alias("row"), said.alias("said"), F.lower(said).alias("low"), F.nullif(entity_key(said), F.lit("")).alias("bare"))
+    rows = rows.join(known.select(F.col("key").alias("low"), F.col("hit").alias("exact")), "low", "left")
+    rows = rows.join(known.select(F.col("key").alias("bare"), F.col("hit").alias("near")), "bare", "left")
+    source, empty = F.col("low").isin(publishers), F.col("said") == ""
+    hit = F.when(~source & ~empty, F.coalesce("exact", "near"))
+    status = F.when(source, "unresolved_source").when(hit.isNotNull(), "valid").otherwise("unresolved_entity")
+    canonical = F.when(source | empty, "").otherwise(F.coalesce(F.nullif(hit["canonical"], F.lit("")), "said"))
+    confidence = F.when(hit.isNull(), 0.0).when(F.col("exact").isNotNull(), 1.0).otherwise(0.85)
+    return rows.select("row.*", hit["entity_id"].alias("entity_id"), canonical.alias("canonical"), status.alias("status"), confidence.alias("confidence"))
 
 
 def alias_scan(docs: DataFrame, id_col: str, text: Column, aliases: DataFrame, longest: int) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import lexicon as X
-from tidemark.functions.text import clean, title_key
+from tidemark.functions.text import title_key
 from tidemark.operators import ingest, rules
 
 from .registry import query
@@ -100,19 +100,40 @@ def title_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").groupBy(title_key(F.col("p_name")).alias("title_key")).agg(F.count("*").alias("n"))
 
 
-_NAMES = "names as (select c_custkey, case when c_custkey % 3 = 0 then c_name when c_custkey % 3 = 1 then upper(c_name) || ' Inc' else 'Other ' || c_custkey::varchar end as name from customer)"
-_NORM = lambda c: f"trim(regexp_replace(regexp_replace(lower({c}), '[^a-z0-9 ]', '', 'g'), ' inc$', '', 'g'))"
+_BARE = f"trim(regexp_replace(regexp_replace(low, '\\b({'|'.join(X.SUFFIXES)})\\.?$', ''), '[^\\w\\s]', '', 'g'))"
+_SOURCES = ", ".join(f"'{p}'" for p in X.PUBLISHERS)
 
 
-@query(f"with {_NAMES}, al as (select c_custkey as entity_id, c_name as alias, {_NORM('c_name')} as norm from customer) select n.c_custkey, name, coalesce(a.entity_id, b.entity_id) as entity_id, case when a.entity_id is not null then 'exact' when b.entity_id is not null then 'normalised' else 'unresolved' end as how from names n left join al a on name = a.alias left join (select norm, min(entity_id) entity_id from al group by norm) b on {_NORM('name')} = b.norm")
+@query(f"""with names as (select c_custkey, case c_custkey % 6 when 0 then c_name when 1 then upper(c_name) || ' Inc.' when 2 then ' Reuters ' when 3 then '' when 4 then null else 'Other ' || c_custkey::varchar end as name from customer),
+al as (select lower(alias) as k, arg_min(c_name, c_custkey) as canonical, min(c_custkey) as entity_id from (select c_custkey, c_name, c_name as alias from customer union all select c_custkey, c_name, replace(c_name, '#', '') from customer) group by 1),
+l as (select *, trim(coalesce(name, '')) as said, lower(trim(coalesce(name, ''))) as low from names), b as (select *, {_BARE} as bare, low in ({_SOURCES}) as source from l),
+j as (select b.*, e.entity_id as eid, n.entity_id as nid, coalesce(e.canonical, n.canonical) as canon from b left join al e on low = e.k and not source and said <> '' left join al n on bare = n.k and not source and said <> '')
+select c_custkey, name, coalesce(eid, nid) as entity_id, case when source or said = '' then '' else coalesce(canon, said) end as canonical, case when source then 'unresolved_source' when coalesce(eid, nid) is not null then 'valid' else 'unresolved_entity' end as status, case when eid is not null then 1.0::double when nid is not null then 0.85::double else 0.0::double end as confidence from j""")
 def entity_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "customer")
-    norm = lambda x: F.trim(F.regexp_replace(F.regexp_replace(F.lower(x), "[^a-z0-9 ]", ""), " inc$", ""))
-    k = F.col("c_custkey")
-    name = F.when(k % 3 == 0, F.col("c_name")).when(k % 3 == 1, F.concat(F.upper("c_name"), F.lit(" Inc"))).otherwise(F.concat(F.lit("Other "), k.cast("string")))
-    names = c.select("c_custkey", name.alias("name")).withColumn("__norm", norm(F.col("name")))
-    aliases = c.select(F.col("c_name").alias("alias"), norm(F.col("c_name")).alias("norm"), k.alias("entity_id"))
-    return ingest.resolve(names, "name", aliases).select("c_custkey", "name", "entity_id", "how")
+    """Publisher, alias, bare name, fallback: each customer is its own entity with two aliases."""
+    c, k = table(spark, sf_dir, "customer"), F.col("c_custkey")
+    name = F.when(k % 6 == 0, F.col("c_name")).when(k % 6 == 1, F.concat(F.upper("c_name"), F.lit(" Inc."))).when(k % 6 == 2, " Reuters ").when(k % 6 == 3, "").when(k % 6 == 5, F.concat(F.lit("Other "), k.cast("string")))
+    aliases = c.select(F.explode(F.array("c_name", F.replace("c_name", F.lit("#"), F.lit("")))).alias("alias"), k.alias("entity_id"), F.col("c_name").alias("canonical"))
+    return ingest.resolve(c.select("c_custkey", name.alias("name")), "name", aliases)
+
+
+#: Entities of the funnel and the phrases they are known by.
+KNOWN = {"general public license": "gpl", "all rights reserved": "owner", "you idiot": "insult"}
+_NAMED = " or ".join(f"contains(' ' || lower(coalesce(text, '')) || ' ', ' {a} ')" for a in KNOWN)
+
+
+@query(f"""with s as (select doc_id, {_NAMED} as e, coalesce(source in ('src0', 'src1'), false) as d, regexp_matches(lower(coalesce(text, '')), '{_WORDS}') as k, (doc_id % 100) / 100.0::double as score from documents)
+select doc_id, case when e or d or k then concat_ws(' + ', case when e then 'ENTITY' end, case when d then 'DOMAIN' end, case when k then 'KEYWORD' end) when score >= 0.3 then 'SEMANTIC' else '' end as reasons, e or d or k or score >= 0.3 as kept from s""")
+def funnel_with_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entities contained in the text, source and keywords; the score decides only about rows without any of them."""
+    d = table(spark, sf_dir, "documents")
+    text = F.lower(F.coalesce(F.col("text"), F.lit("")))
+    aliases = spark.createDataFrame(list(KNOWN.items()), "alias string, entity_id string")
+    found = ingest.alias_scan(d, "doc_id", text, F.broadcast(aliases), longest=3)
+    rows = d.join(found, "doc_id", "left")
+    signals = {"ENTITY": F.col("entities").isNotNull(), "DOMAIN": F.col("source").isin("src0", "src1"), "KEYWORD": ingest.any_substring(text, [*X.KEYWORDS, *OWN])}
+    kept = ingest.candidate_filter(rows, signals, (F.col("doc_id") % 100).cast("double") / 100.0)
+    return kept.select("doc_id", F.array_join("reasons", " + ").alias("reasons"), "kept")
 
 
 @query("with al as (select distinct p_name as alias, regexp_extract(p_name, '[^ ]+$') as entity_id from part where p_name like '% %') select p_partkey, string_agg(distinct entity_id, ',' order by entity_id) as entities from part join al on contains(' ' || p_name || ' ' || lower(p_type) || ' ', ' ' || alias || ' ') group by p_partkey")
@@ -201,5 +222,3 @@ def row_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def conversation_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").groupBy("role").agg(F.count("*").alias("n"), F.count_distinct("conv_id").alias("conversations"), F.sum(F.length("text")).alias("chars"), F.max("turn").alias("last_turn"))
 
-
-__all__ = ["clean"]
