@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, lengths, licenses, media, middle, minhash, mixing, quality, sharding, substring, toxicity
+from . import bpe, lengths, licenses, media, middle, minhash, mixing, quality, sharding, simhash, substring, toxicity
 from .common import documents
 from .oracle import ORACLES as ORACLES
 
@@ -73,10 +73,14 @@ def op11_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return middle.fill_in_middle(documents(spark, sf_dir)).select(F.col("id").alias("doc_id"), "n", "form", "prefix_chars", "middle_chars", sha(F.col("output")).alias("output_sha256"), sha(back).alias("restored_sha256"))
 
 
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_media, op2_mixing, op3_toxicity, op4_bpe, op5_substring_dedup, op6_sharding, op7_token_counts, op8_minhash, op9_quality, op10_licenses, op11_middle, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_media, op2_mixing, op3_toxicity, op4_bpe, op5_substring_dedup, op6_sharding, op7_token_counts, op8_minhash, op9_quality, op10_licenses, op11_middle, op12_simhash, pipeline)}
