@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, lengths, licenses, media, middle, minhash, mixing, quality, sharding, simhash, substring, toxicity
-from .common import documents
+from . import bpe, lengths, licenses, media, middle, minhash, mixing, quality, repair, sharding, simhash, substring, toxicity
+from .common import documents, written
 from .oracle import ORACLES as ORACLES
 
 
@@ -77,10 +77,22 @@ def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
 
 
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    rows = repair.damaged(conversations)
+    decided = written(repair.decisions(rows), "decisions")
+    hashes = repair.digests(repair.repaired(rows, decided)).withColumnRenamed("conv", "c")
+    every = conversations.select("conv_id").distinct()
+    found = every.join(decided, F.col("conv_id").eqNullSafe(F.col("conv")), "left").join(hashes, F.col("conv_id").eqNullSafe(F.col("c")), "left")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c)
+    nothing = F.sha2(F.lit("").cast("binary"), 256)
+    return found.select("conv_id", zero("gaps"), *[zero(c) for c in repair.RULED], zero("cost"), F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", nothing).alias("repaired_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_media, op2_mixing, op3_toxicity, op4_bpe, op5_substring_dedup, op6_sharding, op7_token_counts, op8_minhash, op9_quality, op10_licenses, op11_middle, op12_simhash, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_media, op2_mixing, op3_toxicity, op4_bpe, op5_substring_dedup, op6_sharding, op7_token_counts, op8_minhash, op9_quality, op10_licenses, op11_middle, op12_simhash, op13_repair, pipeline)}
