@@ -200,19 +200,21 @@ def test_sharding(spark, docs, empty):
     many = table(spark, [(k, f"text {k % 900} " * (k % 900 % 40), "a") for k in range(3000)])
     groups = table(spark, [(k, f"big {k % 5} " * 9 if k % 4 == 0 else f"text {k} " * (k % 40), "a") for k in range(3000)])
     hot = table(spark, [(k, "hot " * 40 if k % 3 == 0 else f"text {k} " * (k % 40), "a") for k in range(3000)])
-    for d, split in ((docs, True), (many, False), (groups, False), (hot, True)):
-        rows, given = sharding.shard(d).collect(), [(i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t in rows_of(d)]
+    for d, how in ((docs, {}), (many, {}), (many, {"per_piece": 20, "ranges": 4}), (groups, {}), (hot, {}), (hot, {"per_piece": 7, "ranges": 3})):
+        rows, given = sharding.shard(d, **how).collect(), [(i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t in rows_of(d)]
         assert sorted(((r["doc_id"], r["size"], r["text_crc32"]) for r in rows), key=repr) == sorted(given, key=repr)
         assert {(r["law"], r["grown_shard"]) for r in rows} == {("bytes", None)}
         for s in {r["shard"] for r in rows}:
             assert 0 <= s < 8 and sorted(r["slot"] for r in rows if r["shard"] == s) == list(range(sum(r["shard"] == s for r in rows)))
         where = {(r["text_crc32"], r["shard"]) for r in rows}
-        assert split or len(where) == len({c for c, _ in where})
+        assert len(where) == len({c for c, _ in where})  # equal texts stay together, also where they exceed a shard
+        size = sorted(sum(r["size"] for r in rows if r["shard"] == s) for s in range(8))
+        if d is hot:
+            assert size.pop() == sum(r["size"] for r in rows if r["doc_id"] % 3 == 0)
         if d is not docs:
-            size = [sum(r["size"] for r in rows if r["shard"] == s) for s in range(8)]
-            assert max(size) <= 1.2 * min(size)
+            assert size[-1] <= 1.2 * size[0]
     assert sharding.shard(empty).count() == 0
-    again = sharding.shard(hot.repartition(5)).collect()
+    again = sharding.shard(hot.repartition(5), **how).collect()
     assert sorted((r["doc_id"], r["shard"]) for r in again) == sorted((r["doc_id"], r["shard"]) for r in rows)
 
 
@@ -315,6 +317,19 @@ def test_toxicity_held_out(spark):
     assert c[(1, True)] >= 0.9 * (c[(1, True)] + c.get((1, False), 0))
 
 
+def test_one_long_text_costs_no_class(spark):
+    trained = [i for i in range(400) if zlib.crc32(str(i).encode()) % 5][:40]
+    by_hash = [r.id for r in spark.createDataFrame([(i,) for i in trained], "id long").orderBy(F.xxhash64("id")).collect()]
+    long = {by_hash[0], by_hash[1], by_hash[2]}  # first in line, of both classes
+    docs = spark.createDataFrame([(i, "vile " * (2000 if i in long else 20)) for i in trained], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, by_hash.index(i) % 2) for i in trained], "doc_id long, toxic int")
+    texts, toxic = toxicity.sample(docs, labels, class_bytes=8000)
+    assert len(texts) == 37 and sum(toxic) == 19 and {len(t) for t in texts} == {100}
+    assert len(toxicity.sample(docs, labels, class_bytes=1000)[0]) == 20  # ten of either class
+    with pytest.raises(ValueError, match="longer"):
+        toxicity.sample(docs.filter(F.length("text") > 1000), labels, class_bytes=8000)
+
+
 def test_toxicity_edges(spark, docs, empty):
     none = toxicity.train([], [])
     assert toxicity.score(docs, none).filter("score >= 0.5").count() == 0

@@ -6,7 +6,7 @@ the pieces place every group in the whole order.  Shards are intervals of that o
 
 A group of more than a sixteenth of a shard would make the cuts uneven.  There are at most 16 times as many
 of them as shards: the largest goes first, each to the shard with the fewest bytes, and the intervals fill up
-what they leave.  A group larger than a shard is the one case that is cut: it goes by pieces of the ids' hash.
+what they leave.  No group is cut: one larger than a shard has a shard of its own, and the others share the rest.
 
 Defined cases: a null text has size 1 like an empty one and is of its group; null ids hash like any value;
 repeated rows are told apart by number only and get neighbouring slots; ties between keys are ordered by the
@@ -51,7 +51,7 @@ def _before(column: str, window) -> F.Column:
     return F.coalesce(F.sum(column).over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
 
 
-def shard(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text", ranges: int = RANGES, sample: int = SAMPLE) -> DataFrame:
+def shard(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text", ranges: int = RANGES, sample: int = SAMPLE, per_piece: int = PIECE) -> DataFrame:
     """One row a record: id, size, text_crc32, law ``bytes``, shard, slot, grown_shard (always null)."""
     spark, text = docs.sparkSession, F.col(text_col)
     keyed = docs.select(
@@ -69,24 +69,21 @@ def shard(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: st
     big = parts.groupBy("k", "k2").agg(F.sum("w").alias("w"), F.sum("n").alias("n")).filter(F.col("w") > fair / HEAVY).collect()  # at most HEAVY * shards rows
     loads, counts, placed = [0] * shards, [0] * shards, []
     for g in sorted(big, key=lambda g: (-g.w, g.k, g.k2)):
-        s = min(range(shards), key=lambda i: (loads[i], i)) if g.w <= fair else None
-        placed.append((g.k, g.k2, s, None if s is None else counts[s]))
-        if s is not None:
-            loads[s], counts[s] = loads[s] + g.w, counts[s] + g.n
+        s = min(range(shards), key=lambda i: (loads[i], i))
+        placed.append((g.k, g.k2, s, counts[s]))
+        loads[s], counts[s] = loads[s] + g.w, counts[s] + g.n
     heavy = spark.createDataFrame(placed, "k bigint, k2 bigint, shard int, ahead bigint")
 
-    known = parts.join(F.broadcast(heavy.withColumn("cut", F.col("shard").isNull())), ["k", "k2"], "left")
-    units = known.withColumn("u", F.when(F.col("cut"), F.col("q")).otherwise(0))
-    flow = units.filter(F.col("shard").isNull()).groupBy("k", "k2", "u").agg(F.sum("w").alias("w"), F.sum("n").alias("n"))
+    flow = parts.join(F.broadcast(heavy), ["k", "k2"], "left_anti").groupBy("k", "k2").agg(F.sum("w").alias("w"), F.sum("n").alias("n"))
     flow = _ranged(flow, _splitters(flow, total, ranges, sample))
-    pieces = flow.groupBy("r").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / PIECE)).cast("int").alias("pieces"))
+    pieces = flow.groupBy("r").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / per_piece)).cast("int").alias("pieces"))
     flow = flow.join(F.broadcast(pieces), "r").withColumn("p", F.floor(unsigned(F.col("k2")) * F.col("pieces")).cast("int"))
     piece = flow.groupBy("r", "p").agg(F.sum("w").alias("w"), F.sum("n").alias("n"))
     each = piece.groupBy("r").agg(F.sum("w").alias("w"), F.sum("n").alias("n"))
     line, within = Window.orderBy("r"), Window.partitionBy("r").orderBy("p")  # RANGES rows; then the pieces of a range
     each = each.select("r", _before("w", line).alias("rw"), _before("n", line).alias("rn"))
     start = piece.select("r", "p", _before("w", within).alias("pw"), _before("n", within).alias("pn")).join(F.broadcast(each), "r")
-    inside = Window.partitionBy("r", "p").orderBy(F.shiftrightunsigned("k2", 11), "k2", "k", "u")
+    inside = Window.partitionBy("r", "p").orderBy(F.shiftrightunsigned("k2", 11), "k2", "k")
     place = flow.join(start, ["r", "p"]).withColumn("w0", F.col("rw") + F.col("pw") + _before("w", inside)).withColumn("n0", F.col("rn") + F.col("pn") + _before("n", inside))
 
     # Each shard takes what its heavy groups leave; a group goes where its middle lies.
@@ -95,12 +92,12 @@ def shard(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: st
     ends = [sum(room[: i + 1]) * scale for i in range(shards - 1)]
     middle = F.col("w0") + F.col("w") / 2
     place = place.withColumn("shard", F.size(F.filter(F.lit(ends).cast("array<double>"), lambda e: e <= middle)))
-    place = written(place.select("k", "k2", "u", "shard", "n0", "n"), "shard-order")
+    place = written(place.select("k", "k2", "shard", "n0", "n"), "shard-order")
     first = place.groupBy("shard").agg(F.min("n0").alias("first"), F.sum("n").alias("flowing"))
-    place = place.join(F.broadcast(first), "shard").select("k", "k2", "u", "shard", (F.col("n0") - F.col("first")).alias("s0"))
-    fixed = heavy.filter("shard is not null").join(F.broadcast(first), "shard", "left").select("k", "k2", F.lit(0).alias("u"), "shard", (F.col("ahead") + F.coalesce("flowing", F.lit(0))).alias("s0"))
+    place = place.join(F.broadcast(first), "shard").select("k", "k2", "shard", (F.col("n0") - F.col("first")).alias("s0"))
+    fixed = heavy.join(F.broadcast(first), "shard", "left").select("k", "k2", "shard", (F.col("ahead") + F.coalesce("flowing", F.lit(0))).alias("s0"))
 
-    of_unit = Window.partitionBy("k", "k2", "u").orderBy("q")  # PARTS rows at most
-    slots = units.select("k", "k2", "u", "q", _before("n", of_unit).alias("n0")).join(place.unionByName(fixed), ["k", "k2", "u"]).select("k", "k2", "q", "shard", (F.col("s0") + F.col("n0")).alias("s0"))
+    of_group = Window.partitionBy("k", "k2").orderBy("q")  # PARTS rows at most
+    slots = parts.select("k", "k2", "q", _before("n", of_group).alias("n0")).join(place.unionByName(fixed), ["k", "k2"]).select("k", "k2", "q", "shard", (F.col("s0") + F.col("n0")).alias("s0"))
     number = F.row_number().over(Window.partitionBy("k", "k2", "q").orderBy("doc_id", "text_crc32", "size"))
     return keyed.join(slots, ["k", "k2", "q"]).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("s0") + number - 1).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))

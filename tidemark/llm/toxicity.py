@@ -248,7 +248,8 @@ def is_held_out(id_col: str = "doc_id"):
 
 def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = PER_CLASS, class_bytes: int = CLASS_BYTES) -> tuple[list[bytes], list[int]]:
     """At most ``per_class`` labelled training documents of either class, chosen by a hash of the id, and at most
-    ``class_bytes`` of their texts."""
+    ``class_bytes`` of their texts.  A text of more than an eighth of that is left out by itself; a class that has
+    labelled texts and ends without any is an error."""
     label = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("y")).filter("id is not null and y is not null").filter(~is_held_out("id"))
     label = label.groupBy("id").agg(F.max("y").alias("y"))
     some = [label.filter(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(per_class) for y in (0, 1)]
@@ -256,8 +257,12 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(chosen, "id").groupBy("id").agg(F.min("text").alias("text"), F.max("y").alias("y"))
     line = Window.partitionBy("y").orderBy(F.xxhash64("id"), "id")  # 2 * per_class rows at most
     size = F.coalesce(F.octet_length("text"), F.lit(0))
-    rows = rows.withColumn("upto", F.sum(size).over(line)).filter(F.col("upto") <= class_bytes).drop("upto")
-    got = sorted(rows.collect(), key=lambda r: str(r["id"]))
+    fits = size <= class_bytes // 8
+    rows = rows.withColumn("fits", fits & (F.sum(F.when(fits, size).otherwise(0)).over(line) <= class_bytes))
+    every = rows.select("id", "y", "fits", F.when(F.col("fits"), F.col("text")).alias("text")).collect()
+    got = sorted((r for r in every if r["fits"]), key=lambda r: str(r["id"]))
+    if lost := {r["y"] for r in every} - {r["y"] for r in got}:
+        raise ValueError(f"all labelled texts of class {sorted(lost)} are longer than {class_bytes // 8} bytes")
     return [(r["text"] or "").encode() for r in got], [int(r["y"]) for r in got]
 
 
