@@ -7,14 +7,16 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.sources.scratch import stored
+
 
 def cumulative(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """by, value, n, before (rows of the group with a smaller value) and total, one row a distinct value.
 
     Values are counted first; ranges of (group, value) are summed apart and joined by their totals, so no task
-    orders a whole group."""
+    orders a whole group.  The ranged counts are written, since sums and totals must be of one and the same cut."""
     counts = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n"))
-    line = counts.repartitionByRange(*by, value).withColumn("__part", F.spark_partition_id())
+    line = stored(counts.repartitionByRange(*by, value).withColumn("__part", F.spark_partition_id()))
     group = Window.partitionBy(*by)
     size = line.groupBy(*by, "__part").agg(F.sum("n").alias("__n"))
     start = size.select(*by, "__part", (F.sum("__n").over(group.orderBy("__part")) - F.col("__n")).alias("__start"), F.sum("__n").over(group).alias("total"))

@@ -14,15 +14,35 @@ def daily_bars(ticks: DataFrame, ticker: str, ts: str, seq: str, price: str) ->
     return day.groupBy(F.col(ticker).alias("ticker"), "trade_date").agg(F.max_by(price, F.struct(ts, seq)).alias("close"), F.count("*").alias("volume"))
 
 
+DAY = 86_400_000_000
+
+
+def running_last(rows: DataFrame, key: list[str], at: str, order: list[str], seen: str, name: str, width: int = DAY) -> DataFrame:
+    """Adds ``name``: the last ``seen`` that is not null, up to and with the row itself, in the order of ``at`` (a whole
+    number) and ``order`` inside the key.
+
+    A key's history is cut into pieces of ``width``.  Each piece finds its own last values and is one task's work; only
+    the last value of each piece is carried over the key's pieces, so no task sorts a whole history."""
+    line = rows.withColumn("__piece", F.floor(F.col(at) / width))
+    inside = Window.partitionBy(*key, "__piece").orderBy(at, *order).rowsBetween(Window.unboundedPreceding, 0)
+    ends = line.groupBy(*key, "__piece").agg(F.max_by(seen, F.when(F.col(seen).isNotNull(), F.struct(at, *order))).alias("__end"))
+    over = Window.partitionBy(*key).orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select(*[F.col(k).alias(f"__{k}") for k in key], F.col("__piece").alias("__p"), F.last("__end", ignorenulls=True).over(over).alias("__carried")).filter("__carried is not null")
+    found = line.withColumn("__own", F.last(seen, ignorenulls=True).over(inside))
+    same = F.col("__piece") == F.col("__p")
+    for k in key:
+        same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    return found.join(carried, same, "left").select(*rows.columns, F.coalesce("__own", "__carried").alias(name))
+
+
 def as_of(events: DataFrame, bars: DataFrame) -> DataFrame:
-    """The last bar at or before each event's date, by ticker: one union and one running last per ticker.
-
-    events: event_id, ticker, event_date. The plan sorts each ticker's rows once, whatever the distance back."""
-    b = bars.select("ticker", F.col("trade_date").alias("d"), F.lit(0).alias("k"), F.lit(None).cast("long").alias("event_id"), F.struct("trade_date", "close", "volume").alias("bar"))
-    e = events.select("ticker", F.col("event_date").alias("d"), F.lit(1).alias("k"), F.col("event_id").cast("long"), F.lit(None).cast(b.schema["bar"].dataType).alias("bar"))
-    w = Window.partitionBy("ticker").orderBy("d", "k").rowsBetween(Window.unboundedPreceding, 0)
-    found = b.unionByName(e).withColumn("bar", F.last("bar", ignorenulls=True).over(w)).filter("k = 1")
-    return found.select("event_id", "ticker", F.col("d").alias("event_date"), F.col("bar.trade_date").alias("anchor_date"), F.col("bar.close").alias("anchor_close"))
+    """The last bar at or before each event's date, by ticker: one union and a running last, cut by years.
+
+    events: event_id, ticker, event_date."""
+    b = bars.select("ticker", F.unix_date("trade_date").alias("d"), F.lit(0).alias("k"), F.lit(None).cast("long").alias("event_id"), F.lit(None).cast("date").alias("event_date"), F.struct("trade_date", "close").alias("bar"))
+    e = events.select("ticker", F.unix_date("event_date").alias("d"), F.lit(1).alias("k"), F.col("event_id").cast("long"), "event_date", F.lit(None).cast(b.schema["bar"].dataType).alias("bar"))
+    found = running_last(b.unionByName(e), ["ticker"], "d", ["k"], "bar", "found", 365).filter("k = 1")
+    return found.select("event_id", "ticker", "event_date", F.col("found.trade_date").alias("anchor_date"), F.col("found.close").alias("anchor_close"))
 
 
 def windows(bars: DataFrame, index: DataFrame, size: int = 1, baseline: int = 20, least: int = 10, returns: int = 20) -> DataFrame:

@@ -5,16 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.market import running_last
+from tidemark.sources.scratch import stored
+
 
 def row_ids(df: DataFrame, order: str, name: str = "row_id") -> DataFrame:
     """Gapless numbers from 0 in the order of a unique column, without one task for all rows.
 
-    Rows are numbered inside ranges of the order; the ranges' sizes, one row each, give the offsets."""
-    line = df.repartitionByRange(order).withColumn("__part", F.spark_partition_id())
-    size = line.groupBy("__part").agg(F.count("*").alias("__n"))
-    start = size.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__start"))
-    inside = F.row_number().over(Window.partitionBy("__part").orderBy(order)) - 1
-    return line.withColumn("__in", inside).join(start, "__part").withColumn(name, F.col("__start") + F.col("__in")).drop("__part", "__n", "__start", "__in")
+    The keys alone are ranged and written once, so that the ranges, their sizes and the numbers inside them are of one
+    and the same cut; the numbers go to the rows by an equi-join.  Nulls come first."""
+    keys = stored(df.select(F.col(order).alias("__key")).repartitionByRange("__key").withColumn("__part", F.spark_partition_id()))
+    size = keys.groupBy("__part").agg(F.count("*").alias("__n"))
+    start = size.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__start"))  # a row a range
+    inside = F.row_number().over(Window.partitionBy("__part").orderBy("__key")) - 1
+    number = keys.withColumn("__in", inside).join(start, "__part").select("__key", (F.col("__start") + F.col("__in")).alias("__number"))
+    return df.join(number, F.col(order).eqNullSafe(F.col("__key"))).select(*df.columns, F.col("__number").alias(name))
 
 
 def existing(df: DataFrame, wanted: list[str], renames: dict[str, str]) -> DataFrame:
@@ -97,19 +102,18 @@ def recovered(runs: DataFrame) -> DataFrame:
 
 
 def around(events: DataFrame, bars: DataFrame, key: str, at: str, ts: str, value: str) -> DataFrame:
-    """For each event the last value up to its time and the first one an hour later or more.
-
-    Events and values lie in one line a key, and a running last and a running next value find both; rows of
-    one key and day are one window, values further away than a day don't count."""
-    line = bars.select(key, F.col(ts).alias("t"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("event_id"), F.col(value).alias("v"))
-    asked = events.select(key, F.col(at).alias("t"), F.lit(1).alias("kind"), "event_id", F.lit(None).cast("double").alias("v"))
-    later = events.select(key, (F.col(at) + F.expr("interval 1 hour")).alias("t"), F.lit(-1).alias("kind"), "event_id", F.lit(None).cast("double").alias("v"))
-    all_rows = line.unionByName(asked).unionByName(later)
-    w = Window.partitionBy(key).orderBy("t", "kind")
-    near = F.struct(F.col("t").alias("t"), F.col("v").alias("v"))
-    seen = F.when(F.col("kind") == 0, near)
-    rows = all_rows.withColumn("last", F.last(seen, True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("next", F.first(seen, True).over(w.rowsBetween(0, Window.unboundedFollowing)))
-    day = F.expr("interval 1 day")
-    before = F.max(F.when((F.col("kind") == 1) & (F.col("last.t") >= F.col("t") - day), F.col("last.v")))
-    after = F.max(F.when((F.col("kind") == -1) & (F.col("next.t") <= F.col("t") + day), F.col("next.v")))
-    return rows.filter("kind <> 0").groupBy(key, "event_id").agg(before.alias("before"), after.alias("after"))
+    """For each event the observation it falls on, the last value up to its time, and the first value an hour after that
+    observation or later, however far away either is; an event before all values has neither.
+
+    bars has one value a key and time.  Each value first gets the one that follows it by an hour, then events take both
+    from the last value: two running lookups, cut by days (``running_last``)."""
+    point = F.struct(F.col("t").alias("t"), F.col("v").alias("v"))
+    values = bars.select(F.col(key).alias("key"), F.col(ts).cast("timestamp").alias("t"), F.col(value).alias("v"))
+    # Backwards in time: a value asks for the last one seen at an hour later or more, which is the first there.
+    ahead = values.select("key", (-F.unix_micros("t")).alias("us"), F.lit(0).alias("kind"), point.alias("seen"), F.lit(None).cast("timestamp").alias("of"))
+    asks = values.select("key", (-F.unix_micros(F.col("t") + F.expr("interval 1 hour"))).alias("us"), F.lit(1).alias("kind"), F.lit(None).cast(ahead.schema["seen"].dataType).alias("seen"), F.col("t").alias("of"))
+    later = running_last(ahead.unionByName(asks), ["key"], "us", ["kind"], "seen", "after").filter("kind = 1").select("key", F.col("of").alias("t"), F.col("after.v").alias("later"))
+    both = values.join(later, ["key", "t"]).select("key", F.unix_micros("t").alias("us"), F.lit(0).alias("kind"), F.struct("v", "later").alias("seen"), F.lit(None).cast("long").alias("event_id"))
+    asked = events.select(F.col(key).alias("key"), F.unix_micros(F.col(at).cast("timestamp")).alias("us"), F.lit(1).alias("kind"), F.lit(None).cast(both.schema["seen"].dataType).alias("seen"), F.col("event_id").cast("long").alias("event_id"))
+    found = running_last(both.unionByName(asked), ["key"], "us", ["kind"], "seen", "on").filter("kind = 1")
+    return found.select(F.col("key").alias(key), "event_id", F.col("on.v").alias("before"), F.col("on.later").alias("after"))

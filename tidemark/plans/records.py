@@ -15,9 +15,9 @@ from .registry import query
 from .tables import table
 
 
-@query("select row_number() over (order by o_orderkey) - 1 as row_id, o_orderkey from orders")
+@query("select row_number() over (order by o_orderkey) - 1 as row_id, * from orders")
 def row_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.row_ids(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey").select("row_id", "o_orderkey")
+    return R.row_ids(table(spark, sf_dir, "orders"), "o_orderkey")
 
 
 @query("select o_orderkey as row_id, o_custkey, o_orderstatus from orders")
@@ -198,10 +198,11 @@ def range_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("user_id").distinct().join(r, "user_id", "left").select(F.col("user_id").alias("ticker"), F.coalesce("n", F.lit(0)).alias("n"), "total", F.when(F.col("n").isNull(), "no data").otherwise("success").alias("status"))
 
 
-@query("""with e as (select event_id, user_id, ts from events where event_type = 'error'), b as (select user_id, ts, arg_max(value, event_id) v from events where event_type <> 'error' group by all)
-select e.event_id, e.user_id, (select arg_max(v, b.ts) from b where b.user_id = e.user_id and b.ts <= e.ts and b.ts >= e.ts - interval 1 day) before, (select arg_min(v, b.ts) from b where b.user_id = e.user_id and b.ts >= e.ts + interval 1 hour and b.ts <= e.ts + interval 1 hour + interval 1 day) after from e""")
+@query("""with e as (select event_id, user_id, ts from events where event_type = 'error'), b as (select user_id, ts, arg_max(value, event_id) v from events where event_type <> 'error' group by all),
+o as (select e.*, b.v, b.ts as seen from e asof left join b on e.user_id = b.user_id and e.ts >= b.ts)
+select o.event_id, o.user_id, o.v as before, n.v as after from o asof left join b n on o.user_id = n.user_id and o.seen + interval 1 hour <= n.ts""")
 def around_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last value before each error and the first an hour later or more."""
+    """The value each error falls on, and the first one an hour after that value or later."""
     e = table(spark, sf_dir, "events")
     bars = e.filter("event_type <> 'error'").groupBy("user_id", "ts").agg(F.max_by("value", "event_id").alias("value"))
     return R.around(e.filter("event_type = 'error'"), bars, "user_id", "ts", "ts", "value").select("event_id", "user_id", "before", "after")
