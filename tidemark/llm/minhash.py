@@ -6,9 +6,11 @@ sorted orders, each of which begins with four values of its own and goes on with
 1. Orders.  Nodes that agree on the first values of an order form a region of it; nodes alone in all of
    their regions leave.  In a region neighbours in the order, those with the longest common prefix, are
    candidates if enough of their sketches agree; where neighbours do not connect a region, its nodes are
-   compared further, as far as the region is dense: a window of the sorted order at a time.
+   compared further, as far as the region is dense: a window of the sorted order at a time.  Orders are cut into
+   ranges of like size, so a region of any size is many tasks' work; the rows on both sides of each cut are looked
+   at once more.
 2. Groups.  Candidates join nodes to groups, so that texts that could be linked lie in one group.
-3. Exact.  Each set travels once, to its group, and is compared with the others in blocks inside a task; a
+3. Exact.  Only texts of groups travel, one of each set; a set is compared with the others of its group in blocks inside a task; a
    pair that is already connected is not looked at again, so only links that join components come out.  A
    group of many blocks is joined by one representative of each component in ever wider rounds; what is
    not in its largest component then meets every block of it, so no pair is left out.
@@ -32,10 +34,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import FOLD, WordHashes, discard, mixed, small_batches, text_key, utf8, written
+from .common import FOLD, WordHashes, bitmap, discard, in_bitmap, mixed, small_batches, text_key, utf8, written
 
 VALUES, BAND = 128, 4
 TREES = VALUES // BAND
@@ -109,14 +112,18 @@ def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _crowded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by key: the nodes that share one with the row before or behind."""
-    last = (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    """Rows come sorted by key: the nodes that share one with the row before or behind, and those at the ends, whose
+    neighbours are in other ranges."""
+    key, h, first = np.zeros(0, np.int64), np.zeros(0, np.int64), True
     for batch in batches:
-        key, h = (np.concatenate((old, batch.column(c).to_numpy())) for old, c in zip(last, ("key", "h"), strict=True))
+        if not batch.num_rows:
+            continue
+        key, h = (np.concatenate((old, batch.column(c).to_numpy())) for old, c in ((key, "key"), (h, "h")))
         same = key[1:] == key[:-1]
-        hit = np.concatenate((same, [False])) | np.concatenate(([False], same))
+        hit = np.concatenate((same, [False])) | np.concatenate(([first], same))
         yield pa.RecordBatch.from_arrays([pa.array(np.unique(h[hit]))], ["h"])
-        last = (key[-1:], h[-1:])
+        key, h, first = key[-1:], h[-1:], False
+    yield pa.RecordBatch.from_arrays([pa.array(h)], ["h"])
 
 
 def _orders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,7 +156,8 @@ def connect(sk: np.ndarray, comp: np.ndarray, need: int) -> list[tuple[int, int]
 
 
 def _candidates(need: int):
-    """Rows come sorted by region and following values: pairs of short names that connect near nodes."""
+    """Rows come sorted by region and following values: pairs of short names that connect near nodes; and, with their
+    range, the first and the last rows of it."""
 
     def look(key: np.ndarray, h: np.ndarray, sk: np.ndarray) -> tuple[list, list]:
         same = np.flatnonzero(key[1:] == key[:-1])
@@ -169,32 +177,63 @@ def _candidates(need: int):
                     v.append(h[[at + j for _, j in more]])
         return u, v
 
+    def found(u: np.ndarray, v: np.ndarray, ends: tuple | None = None, tail: bool = False) -> pa.RecordBatch:
+        n, m = len(u), len(ends[0]) if ends else 0
+        key, deep, h, sk = ends or [()] * 4
+        lead, follow = [None] * n, [None] * m
+        columns = [
+            pa.array(np.minimum(u, v).tolist() + follow, pa.int64()), pa.array(np.maximum(u, v).tolist() + follow, pa.int64()), pa.array(lead + [TaskContext.get().partitionId()] * m, pa.int32()), pa.array(lead + [tail] * m, pa.bool_()),
+            pa.array(lead + list(key), pa.int64()), pa.array(lead + list(deep), pa.int64()), pa.array(lead + list(h), pa.int64()), pa.array(lead + [x.tobytes() for x in sk], pa.binary()),
+        ]
+        return pa.RecordBatch.from_arrays(columns, ["u", "v", "part", "tail", "key", "deep", "h", "sk"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, VALUES), np.uint8))
+        none = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, VALUES), np.uint8))
+        held = head = tail = none
 
-        def pairs(rows) -> pa.RecordBatch:
-            u, v = (np.concatenate(x) for x in look(*rows))
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["u", "v"])
+        def pairs(key, deep, h, sk) -> pa.RecordBatch:
+            u, v = (np.concatenate(x) for x in look(key, h, sk))
+            return found(u[u != v], v[u != v])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            now = (batch.column("key").to_numpy(), batch.column("h").to_numpy(), _matrix(batch.column("sk"), np.uint8))
+            now = tuple(batch.column(c).to_numpy() for c in ("key", "deep", "h")) + (_matrix(batch.column("sk"), np.uint8),)
+            head = tuple(np.concatenate(x)[:CARRIED] for x in zip(head, now, strict=True)) if len(head[0]) < CARRIED else head
+            tail = tuple(np.concatenate(x)[-CARRIED:] for x in zip(tail, now, strict=True))
             rows = tuple(np.concatenate(x) for x in zip(held, now, strict=True))
             cut = int(np.searchsorted(rows[0], rows[0][-1]))  # the last region may go on
             if len(rows[0]) - cut > 2 * PLACES:
-                yield pairs(rows)
+                yield pairs(*rows)
                 held = tuple(x[-CARRIED:] for x in rows)
             else:
                 if cut:
-                    yield pairs(tuple(x[:cut] for x in rows))
+                    yield pairs(*(x[:cut] for x in rows))
                 held = tuple(x[cut:] for x in rows)
         if len(held[0]):
-            yield pairs(held)
+            yield pairs(*held)
+            for ends, last in ((head, False), (tail, True)):
+                part = ends[0] == (ends[0][-1] if last else ends[0][0])  # only the region that a cut may have split
+                yield found(none[0], none[0], tuple(x[part] for x in ends), last)
 
     return run
 
 
+def candidates(near: DataFrame, need: int) -> DataFrame:
+    """Pairs (u, v) of short names, from all orders."""
+    kind = "u bigint, v bigint, part int, tail boolean, key bigint, deep bigint, h bigint, sk binary"
+    line = near.mapInArrow(_orders, "key bigint, deep bigint, h bigint, sk binary").repartitionByRange("key", "deep", "h").sortWithinPartitions("key", "deep", "h")
+    found = written(line.mapInArrow(_candidates(need), kind), "candidates")
+    ends = found.filter("part is not null")
+    before = ends.select("part").distinct().select("part", F.lag("part").over(Window.orderBy("part")).alias("before"))  # a row a range
+    cuts = ends.join(F.broadcast(before), "part").withColumn("cut", F.when(F.col("tail"), F.col("part")).otherwise(F.col("before"))).filter("cut is not null")
+    over = cuts.select("cut", "key", "deep", "h", "sk").repartition("cut").sortWithinPartitions("key", "deep", "h").select("key", "deep", "h", "sk")
+    both = found.filter("u is not null").select("u", "v").union(over.mapInArrow(_candidates(need), kind).filter("u is not null").select("u", "v"))
+    out = written(both.distinct(), "pairs")
+    discard(found)
+    return out
+
+
 def components(links: DataFrame) -> DataFrame:
     """node, label: nodes that links join, directly or not, have the same label. Nodes without links are left out."""
     edges, labels, turn = links.select("u", "v"), None, 0
@@ -219,6 +258,14 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def _perhaps(grouped):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(in_bitmap(grouped.value, batch.column("ka").to_numpy())))
+
+    return run
+
+
 def _sets(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -329,22 +376,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     described = written(rows.mapInArrow(_nodes(size), f"id {kind}, ka bigint, kb bigint, n bigint, node binary, sk binary"), "sketches")
 
     node = described.filter("node is not null").groupBy("node").agg(F.first("sk").alias("sk"), F.min(F.struct("ka", "kb")).alias("k"), F.min("n").alias("n"))
-    place = node.mapInArrow(_places, "key bigint, h bigint").repartition("key").sortWithinPartitions("key")
+    place = node.mapInArrow(_places, "key bigint, h bigint").repartitionByRange("key", "h").sortWithinPartitions("key", "h")
     crowded = place.mapInArrow(_crowded, "h bigint").distinct()
     near = written(node.withColumn("h", _short("node")).join(crowded, "h", "left_semi"), "crowded")
 
     t = least / 100
     need = math.floor(VALUES * t - 5 * math.sqrt(VALUES * t * (1 - t)))  # five standard deviations of the estimate
-    line = near.mapInArrow(_orders, "key bigint, deep bigint, h bigint, sk binary").repartition("key").sortWithinPartitions("key", "deep", "h")
-    edges = written(line.mapInArrow(_candidates(need), "u bigint, v bigint").distinct(), "candidates")
+    edges = candidates(near, need)
     region = components(edges).select(F.col("node").alias("h"), F.col("label").alias("region"))
 
-    # One text of each set goes to its group; copies leave before the shuffle.
-    group = region.join(near, "h").select("node", "region", "n", "k.ka", "k.kb")
+    # One text of each set goes to its group; texts of no group and copies leave before the shuffle.
+    group = written(region.join(near, "h").select("node", "region", "n", "k.ka", "k.kb"), "groups")
+    grouped = bitmap(group, "ka")
     blocks = group.groupBy("region").agg(F.ceil(F.sum("n") / block).cast("int").alias("blocks"))
-    text = rows.groupBy("ka", "kb").agg(F.first("text").alias("text"))
+    perhaps = rows.select("ka", "kb", "text").mapInArrow(_perhaps(grouped), "ka bigint, kb bigint, text string")
+    text = perhaps.groupBy("ka", "kb").agg(F.first("text").alias("text"))
     sets = text.join(group.join(blocks, "region"), ["ka", "kb"]).select("node", "region", "blocks", "text").mapInArrow(_sets(size), "node binary, region bigint, blocks int, s binary")
     sets = written(sets, "sets")
+    discard(near, edges)
     inside = sets.select("region", _among("blocks").alias("block"), F.lit(0).alias("other"), "node", F.col("node").alias("label"), F.lit(True).alias("asked"), "s")
     found = compare(inside, least)
     wide = sets.filter("blocks > 1")
