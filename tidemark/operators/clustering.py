@@ -37,17 +37,16 @@ def compatible(a: str, b: str) -> bool:
     return a == b or b in COMPATIBLE.get(a, ()) or a in COMPATIBLE.get(b, ())
 
 
-class _Open:
-    """The clusters of one entity that a later row can still join, oldest first."""
+class OpenClusters:
+    """The clusters of one entity that a later row can still join, oldest first. Times are microseconds."""
 
-    def __init__(self, least: float, hours: float):
-        self.least, self.hours, self.rows = least, np.timedelta64(int(hours * 3_600_000_000), "us"), []
+    def __init__(self, least: float, hours: float, rows: list[dict] | None = None):
+        self.least, self.span, self.rows, self._touched = least, int(hours * 3_600_000_000), rows or [], {}
 
-    def add(self, seq: int, ts: np.datetime64, kind: str, vector: np.ndarray) -> tuple[int, float]:
-        """(cluster_id, novelty) of the next row; clusters whose time has passed are dropped."""
-        self.rows = [c for c in self.rows if ts - c["latest"] <= self.hours]
+    def add(self, seq: int, us: int, kind: str, vector: np.ndarray) -> tuple[int, float]:
+        """(cluster_id, novelty) of the next row to come. Its time may lie before that of rows that came earlier."""
         v = vector / (np.linalg.norm(vector) or 1.0)
-        fit = [c for c in self.rows if compatible(c["kind"], kind)]
+        fit = [c for c in self.rows if abs(us - c["latest"]) <= self.span and len(c["sum"]) == len(v) and compatible(c["kind"], kind)]
         if fit:
             sums = np.stack([c["sum"] for c in fit])
             length = np.linalg.norm(sums, axis=1)
@@ -55,11 +54,20 @@ class _Open:
             k = int(np.argmax(cosine))  # the oldest of equals
             if cosine[k] >= self.least:
                 c = fit[k]
-                c["sum"], c["n"], c["latest"] = c["sum"] + v, c["n"] + 1, ts
+                c["sum"], c["n"], c["latest"] = c["sum"] + v, c["n"] + 1, max(c["latest"], us)
+                self._touched[c["name"]] = c
                 return c["name"], 1.0 / c["n"]
-        self.rows.append({"name": seq, "sum": v, "n": 1, "kind": kind, "latest": ts})
+        self.rows.append({"name": seq, "sum": v, "n": 1, "kind": kind, "latest": us})
+        self._touched[seq] = self.rows[-1]
         return seq, 1.0
 
+    def forget(self, us: int) -> None:
+        """Drop the clusters that no row at this time or later can join."""
+        self.rows = [c for c in self.rows if us - c["latest"] <= self.span]
+
+    def touched(self) -> list[dict]:
+        return list(self._touched.values())
+
 
 def _assign(least: float, hours: float):
     """Sorted rows of many groups pass by; only the open clusters of the present one are held."""
@@ -68,9 +76,10 @@ def _assign(least: float, hours: float):
         present, state = None, None
         for frame in frames:
             out = []
-            for entity, part, seq, ts, kind, vector in zip(frame["entity"], frame["part"], frame["seq"], frame["ts"].to_numpy("datetime64[us]"), frame["event_type"], frame["vector"], strict=True):
+            for entity, part, seq, ts, kind, vector in zip(frame["entity"], frame["part"], frame["seq"], frame["ts"].to_numpy("datetime64[us]").astype(np.int64).tolist(), frame["event_type"], frame["vector"], strict=True):
                 if state is None or (entity, part) != present:
-                    present, state = (entity, part), _Open(least, hours)
+                    present, state = (entity, part), OpenClusters(least, hours)
+                state.forget(ts)  # rows come by time
                 out.append(state.add(seq, ts, kind, np.asarray(vector, float)))
             yield pd.DataFrame({"entity": frame["entity"], "seq": frame["seq"], "cluster_id": [c for c, _ in out], "novelty": [n for _, n in out]})
 
