@@ -93,11 +93,6 @@ def test_records_are_rebuilt(spark):
     assert [r["text"] for r in got] == ["first text\ngoes on", "second"]
 
 
-def test_p_value():
-    assert evaluate.p_value(0.5, 20) == pytest.approx(0.0248, abs=5e-4)
-    assert evaluate.p_value(0.5, 4) is None
-
-
 def test_stream_dedupes_like_the_batch(spark, tmp_path):
     src = tmp_path / "in"
     src.mkdir()

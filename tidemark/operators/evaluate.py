@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.stats import correlation_p
 from tidemark.sources.scratch import stored
 
 
@@ -35,27 +34,33 @@ def quantiles(df: DataFrame, by: list[str], value: str, shares: dict[str, float]
 
 
 def spearman(df: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
-    """n and rho of each group, over rows where both values are there; ties have their average rank."""
+    """n and rho of each group, over rows where both values are there; ties have their average rank, and rho is null where all
+    values of a side tie."""
     rows = df.select(*by, a, b).filter(F.col(a).isNotNull() & F.col(b).isNotNull())
     rank = lambda c, name: cumulative(rows, by, c).select(*by, c, (F.col("before") + (F.col("n") + 1) / 2.0).alias(name))
     ranked = rows.join(rank(a, "__a"), [*by, a]).join(rank(b, "__b"), [*by, b])
-    return ranked.groupBy(*by).agg(F.count("*").alias("n"), F.corr("__a", "__b").alias("rho"))
-
-
-def p_value(rho: float | None, n: int) -> float | None:
-    """Two-sided p of a rank correlation, from the t distribution's tail by numeric integration; None below five rows."""
-    if rho is None or n < 5:
-        return None
-    if abs(rho) >= 1:
-        return 0.0
-    df = n - 2
-    t = abs(rho) * math.sqrt(df / (1 - rho * rho))
-    # x = t / sqrt(df) = tan(u): the tail is an integral of cos(u) ** (df - 1) over (atan(x), pi / 2).
-    lo, steps = math.atan(t / math.sqrt(df)), 4000
-    h = (math.pi / 2 - lo) / steps
-    f = lambda u: math.cos(u) ** (df - 1) if df > 1 else 1.0
-    area = h / 3 * sum((1 if k in (0, steps) else 4 if k % 2 else 2) * f(lo + k * h) for k in range(steps + 1))
-    return min(1.0, 2 * area * math.exp(math.lgamma((df + 1) / 2) - math.lgamma(df / 2)) / math.sqrt(math.pi))
+    return ranked.groupBy(*by).agg(F.count("*").alias("n"), F.try_divide(F.covar_pop("__a", "__b"), F.stddev_pop("__a") * F.stddev_pop("__b")).alias("rho"))
+
+
+def rank_correlations(df: DataFrame, by: list[str], predictor: str, target: str) -> DataFrame:
+    """n, and rho and its two-sided p for the signed target and for its size; null below five rows."""
+    signed = spearman(df, by, predictor, target).select(*by, "n", F.col("rho").alias("rho_signed"))
+    size = spearman(df.withColumn("__size", F.abs(target)), by, predictor, "__size").select(*by, F.col("rho").alias("rho_abs"))
+    enough = lambda c: F.when(F.col("n") >= 5, F.col(c)).alias(c)
+    p = lambda c: correlation_p(F.col(c), F.col("n")).alias(c.replace("rho", "p"))
+    return signed.join(size, by).select(*by, "n", enough("rho_signed"), p("rho_signed"), enough("rho_abs"), p("rho_abs"))
+
+
+def horizon_stats(df: DataFrame, by: list[str], horizons: list[str]) -> DataFrame:
+    """For each group and horizon: how many values there are, their mean and median, and those of their sizes.
+
+    Horizons become rows first, so all of them are counted in the same passes."""
+    each = df.select(*by, F.explode(F.array(*[F.struct(F.lit(h).alias("horizon"), F.col(h).cast("double").alias("x")) for h in horizons])).alias("h")).select(*by, "h.horizon", "h.x")
+    keys = [*by, "horizon"]
+    each = each.withColumn("size", F.abs("x"))
+    mean = each.groupBy(*keys).agg(F.count("*").alias("rows"), F.count("x").alias("n"), F.avg("x").alias("mean"), F.avg("size").alias("abs_mean"))
+    middle = lambda c, name: quantiles(each, keys, c, {name: 0.5})
+    return mean.join(middle("x", "median"), keys, "left").join(middle("size", "abs_median"), keys, "left").select(*keys, "rows", "n", "mean", "median", "abs_mean", "abs_median")
 
 
 def quantile_buckets(df: DataFrame, value: str, k: int) -> DataFrame:

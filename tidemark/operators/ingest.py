@@ -15,16 +15,35 @@ def any_substring(text: Column, words: list[str]) -> Column:
     return text.rlike("|".join(f"\\Q{w}\\E" for w in words))
 
 
-def domain_signal(domain: Column, trusted: list[str] = DOMAINS) -> Column:
+def domain_signal(domain: Column, publisher: Column | None = None, trusted: list[str] = DOMAINS) -> Column:
+    """The domain, or the publisher where there is none, is a trusted one or below it; blanks and case don't count."""
+    clean = lambda c: F.nullif(F.lower(F.trim(c)), F.lit(""))
+    name = clean(domain) if publisher is None else F.coalesce(clean(domain), clean(publisher))
     hit = F.lit(False)
     for t in trusted:
-        hit = hit | (domain == t) | domain.endswith("." + t)
+        hit = hit | (name == t) | name.endswith("." + t)
     return F.coalesce(hit, F.lit(False))
 
 
+#: The keys under which raw records may hold their themes, in the order of precedence.
+THEME_KEYS = ["themes", "V2Themes", "THEMES", "Themes"]
+
+
 def theme_signal(themes: Column, prefixes: list[str] = THEMES) -> Column:
-    each = F.transform(F.split(F.coalesce(themes, F.lit("")), ";"), lambda t: F.upper(F.trim(t)))
-    return F.exists(each, lambda t: t.rlike("^(" + "|".join(prefixes) + ")"))
+    """Any theme begins with a prefix, in any case. Themes are a list, or one string with semicolons."""
+    return F.exists(F.coalesce(_theme_list(themes), F.array().cast("array<string>")), lambda t: t.rlike("^(" + "|".join(prefixes) + ")"))
+
+
+def _theme_list(themes: Column) -> Column:
+    each = lambda items: F.transform(items, lambda t: F.upper(F.trim(t)))
+    text = F.trim(themes.cast("string"))
+    return F.when(text.startswith("["), each(F.from_json(text, "array<string>"))).otherwise(each(F.split(text, ";")))
+
+
+def raw_theme_signal(metadata: Column, prefixes: list[str] = THEMES) -> Column:
+    """The same for raw records (JSON text): the first of the known keys that is there has the themes."""
+    found = F.coalesce(*[F.get_json_object(metadata, f"$.{k}") for k in THEME_KEYS])
+    return theme_signal(found, prefixes)
 
 
 def candidate_filter(docs: DataFrame, signals: dict[str, Column], score: Column | None = None, threshold: float = 0.3) -> DataFrame:
@@ -44,17 +63,22 @@ def first_seen(docs: DataFrame, keys: list[Column], seq: str) -> DataFrame:
     undecided ones for all of their keys are kept, and what shares a key with them is dropped; every round
     decides at least the first row of each key's group, and few chains need more than two or three."""
     named = F.array(*[F.concat(F.lit(f"{k}:"), F.coalesce(c.cast("string"), F.lit("None"))) for k, c in enumerate(keys)])
-    open_rows = stored(docs.select(F.col(seq).alias("seq"), F.explode(named).alias("key")))
-    kept = None
+    kept = first_come(docs.select(F.col(seq).alias("seq"), F.explode(named).alias("key")))
+    return docs.join(kept.withColumnRenamed("seq", seq), seq, "left_semi")
+
+
+def first_come(keys: DataFrame) -> DataFrame:
+    """keys: seq, key, in any number a seq.  The seqs that share no key with a smaller one that is kept."""
+    open_rows, kept = stored(keys), keys.select("seq").limit(0)
     while not open_rows.isEmpty():
         low = open_rows.groupBy("key").agg(F.min("seq").alias("low"))
         winners = open_rows.join(low, "key").groupBy("seq").agg(F.bool_and(F.col("seq") == F.col("low")).alias("first")).filter("first").select("seq")
         winners = stored(winners)
-        kept = winners if kept is None else kept.union(winners)
+        kept = kept.union(winners)
         taken = open_rows.join(winners, "seq", "left_semi").select("key").distinct()
         gone = open_rows.join(taken, "key", "left_semi").select("seq").distinct()
         open_rows = stored(open_rows.join(gone, "seq", "left_anti"))
-    return docs.limit(0) if kept is None else docs.join(kept.withColumnRenamed("seq", seq), seq, "left_semi")
+    return kept
 
 
 def resolve(names: DataFrame, name: str, aliases: DataFrame, publishers: list[str] = PUBLISHERS) -> DataFrame:
