@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import lexicon as X
-from tidemark.operators import gate, ingest
+from tidemark.operators import gate, ingest, promotion
 from tidemark.operators.records import split_name
-from tidemark.sources import ledger
+from tidemark.sources import ledger, store
 from tidemark.sources.scratch import fresh
 
 from .corpus import OWN
@@ -94,3 +94,30 @@ def chunk_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 def chunk_throughput(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = ledger.throughput(_scores(spark, sf_dir).table())
     return t.select("chunks", "input_rows", "output_rows", (F.col("rows_per_s") > 0).alias("timed"))
+
+
+@query("""with c as (select event_id seq, 'S' || user_id || ':' || event_type signal, case when event_id % 7 = 0 then 'RUNNING' else 'COMPLETED' end status, case when value >= 50 then 'live' else 'replay' end as mode from events),
+a as (select *, row_number() over (partition by signal order by seq) k from c where status = 'COMPLETED' and not starts_with(signal, 'S1:'))
+select c.seq as run, case when c.status <> 'COMPLETED' then 'rejected: status' when k = 1 then 'promoted' else 'rejected: collision' end outcome from c left join a using (seq)""")
+def promotion_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events put up for promotion as one batch: the first complete run of a signal takes it, those of the fixtures stay."""
+    e = table(spark, sf_dir, "events")
+    signal = F.concat(F.lit("S"), F.col("user_id").cast("string"), F.lit(":"), "event_type")
+    c = e.select(F.col("event_id").alias("seq"), F.col("event_id").cast("string").alias("run_id"), F.when(F.col("value") >= 50, "live").otherwise("replay").alias("mode"), F.when(F.col("event_id") % 7 == 0, "RUNNING").otherwise("COMPLETED").alias("status"), F.array(signal).alias("signals"), F.array(signal).alias("results"))
+    fixtures = e.filter("user_id = 1").select(signal.alias("event_id"))
+    done = promotion.promote(store.Store(spark, fresh(spark, "promoted")), c, fixtures)
+    return done.select(F.col("seq").alias("run"), "outcome")
+
+
+@query(f"with {SCORED_SQL} select count(*) n, count(*) filter (impact is null) n_null, count(*) filter (impact < 1 or impact > 10) n_out_of_range, count(*) filter (tier not in ('Critical', 'High', 'Moderate', 'Low', 'Minimal')) n_bad_tier, count(*) n_current from tiered")
+def checked_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores committed with their checks: one job writes and counts them, and the commit stands only if nothing is wrong."""
+    s = scored(spark, sf_dir).select("event_id", "impact", "tier")
+    checks = {"n_null": F.col("impact").isNull(), "n_out_of_range": (F.col("impact") < 1) | (F.col("impact") > 10), "n_bad_tier": ~F.col("tier").isin("Critical", "High", "Moderate", "Low", "Minimal")}
+    kept = store.Store(spark, fresh(spark, "scores"))
+    try:
+        n, found = kept.commit({"scores": s}, {"scores": checks})["tables"]["scores"]["rows"], {}
+    except store.Rejected as error:
+        n, found = 0, error.found
+    now = kept.read("scores", "event_id long, impact double, tier string").agg(F.count("*").alias("n_current"))
+    return now.select(F.lit(n).cast("bigint").alias("n"), *[F.lit(found.get(c, 0)).cast("bigint").alias(c) for c in checks], "n_current")
