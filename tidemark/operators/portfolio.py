@@ -1,12 +1,13 @@
 """Shock mapping, stress and attribution with exact decimals.
 
-Affected exposures are found by equi-joins on the entity, sector, geography or asset class of a signal, so
-the work follows the number of affected rows, not signals times exposures.  Signals and the rule table are
-small by nature and read by key; only the rule table, of fixed size, is broadcast by hint."""
+Affected exposures are found by one equi-join: each exposure offers its names, sector, geography and asset class as
+keys, and each signal asks for those of its scope, so the book is read once with all its columns and the work follows
+the number of affected rows, not signals times exposures.  Signals and the rule table are small by nature and read by
+key; only the rule table, of fixed size, is broadcast by hint."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.lexicon import CAPABLE, SHOCKS
@@ -30,32 +31,38 @@ def shock_map(signals: DataFrame) -> DataFrame:
     return s.select("event_id", "event_type", "entity", "impact", "error", "rule_id", "scope", "severity", size("pd", 0.0, 1.0).alias("pd_delta"), size("lgd", 0.0, 1.0).alias("lgd_delta"), size("bond", -1.0, 1.0).alias("bond_shock"), size("equity", -1.0, 1.0).alias("equity_shock"))
 
 
-def match_keys(exposures: DataFrame) -> DataFrame:
-    """key, exposure_id, prio: ticker before obligor before alias."""
+def _names() -> Column:
+    """key, prio of an exposure's names: ticker before obligor before alias."""
     key = lambda c, p: F.struct(F.lower(F.trim(c)).alias("key"), F.lit(p).alias("prio"))
-    keys = F.concat(F.array(key(F.col("ticker"), 0), key(F.col("obligor"), 1)), F.transform("aliases", lambda a: key(a, 2)))
-    k = exposures.select("exposure_id", "sector", "geography", F.explode(keys).alias("k")).select("exposure_id", "sector", "geography", "k.*").filter("key is not null and key <> ''")
-    return k.groupBy("key", "exposure_id").agg(F.min("prio").alias("prio"), F.first("sector").alias("sector"), F.first("geography").alias("geography"))
+    keys = F.concat(F.array(key(F.col("ticker"), 0), key(F.col("obligor"), 1)), F.coalesce(F.transform("aliases", lambda a: key(a, 2)), F.array().cast("array<struct<key:string,prio:int>>")))
+    return F.filter(keys, lambda k: k["key"].isNotNull() & (k["key"] != ""))
 
 
-def affected(shocks: DataFrame, exposures: DataFrame) -> DataFrame:
-    """event_id, exposure_id of every exposure in the scope of a valid signal."""
-    ok = shocks.filter("error is null").withColumn("key", F.lower(F.trim("entity")))
-    matched = ok.join(match_keys(exposures), "key")
+def homes(shocks: DataFrame, exposures: DataFrame) -> DataFrame:
+    """event_id, scope, sector and geography of the best exposure that a signal's entity names."""
+    asked = shocks.filter("error is null and scope in ('SECTOR', 'GEOGRAPHY')").select("event_id", "scope", F.lower(F.trim("entity")).alias("key"))
+    named = exposures.select("exposure_id", "sector", "geography", F.explode(_names()).alias("k")).select("exposure_id", "sector", "geography", "k.*")
     first = F.struct("prio", "exposure_id")
-    home = matched.groupBy("event_id", "scope").agg(F.min_by("sector", first).alias("sector"), F.min_by("geography", first).alias("geography"))
-    same = lambda c: F.lower(F.trim(c)).alias(c)
-    entity = matched.filter("scope = 'ENTITY'").select("event_id", "exposure_id")
-    sector = home.filter("scope = 'SECTOR'").select("event_id", same("sector")).join(exposures.select(same("sector"), "exposure_id"), "sector").select("event_id", "exposure_id")
-    geo = home.filter("scope = 'GEOGRAPHY'").select("event_id", same("geography")).join(exposures.select(same("geography"), "exposure_id"), "geography").select("event_id", "exposure_id")
-    assets = F.array(*[F.lit(a) for a in CAPABLE])
-    broad = ok.filter("scope in ('BROAD_MARKET', 'SYSTEMIC')").select("event_id", F.explode(assets).alias("asset_type")).join(exposures.select("asset_type", "exposure_id"), "asset_type").select("event_id", "exposure_id")
-    return entity.union(sector).union(geo).union(broad)
+    return named.join(asked, "key").groupBy("event_id", "scope").agg(F.min_by("sector", first).alias("sector"), F.min_by("geography", first).alias("geography"))
+
+
+def affected(shocks: DataFrame, exposures: DataFrame) -> DataFrame:
+    """The exposures, with all their columns, in the scope of each valid signal: event_id in front."""
+    ok = shocks.filter("error is null")
+    same = lambda c: F.lower(F.trim(c))
+    asks = lambda rows, kind, key: rows.select("event_id", F.lit(kind).alias("kind"), key.alias("key"))
+    home = homes(shocks, exposures)
+    broad = ok.filter("scope in ('BROAD_MARKET', 'SYSTEMIC')").select("event_id", F.explode(F.array(*[F.lit(a) for a in CAPABLE])).alias("asset"))
+    asked = asks(ok.filter("scope = 'ENTITY'"), "name", same("entity")).union(asks(home.filter("scope = 'SECTOR'"), "sector", same("sector"))).union(asks(home.filter("scope = 'GEOGRAPHY'"), "geography", same("geography"))).union(asks(broad, "asset", F.col("asset")))
+    offer = lambda kind, key: F.struct(F.lit(kind).alias("kind"), key.alias("key"))
+    offers = F.concat(F.array_distinct(F.transform(_names(), lambda n: offer("name", n["key"]))), F.array(offer("sector", same("sector")), offer("geography", same("geography")), offer("asset", F.col("asset_type"))))
+    rows = exposures.select("*", F.explode(offers).alias("__offer")).select(*exposures.columns, "__offer.kind", "__offer.key")
+    return rows.join(asked, ["kind", "key"]).select("event_id", *exposures.columns)
 
 
 def stress(shocks: DataFrame, exposures: DataFrame) -> DataFrame:
     """One row an affected exposure and event, with base and stressed expected loss and market value."""
-    rows = affected(shocks, exposures).join(exposures, "exposure_id").join(shocks.select("event_id", "rule_id", "pd_delta", "lgd_delta", "bond_shock", "equity_shock"), "event_id")
+    rows = affected(shocks, exposures).join(shocks.select("event_id", "rule_id", "pd_delta", "lgd_delta", "bond_shock", "equity_shock"), "event_id")
     can = lambda k: F.col("asset_type").isin([a for a, c in CAPABLE.items() if c[k]])
     one = F.lit(1).cast(RATE)
     pd = F.when(can(0), F.least(one, (F.col("pd") + F.col("pd_delta")).cast(RATE))).otherwise(F.col("pd"))
