@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.lexicon import SHOCKS
 from tidemark.operators import portfolio as P
+from tidemark.operators import readmodels as M
 
 from .registry import query
 from .tables import table
@@ -158,7 +159,54 @@ def top_obligors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"with {EXPOSURES_SQL}, o as (select sector, obligor, sum(ead) ead from exposures group by all), r as (select *, row_number() over (partition by sector order by ead desc, obligor) k from o) select sector, sum(ead)::double ead, count(*) obligors, sum(case when k <= 5 then ead else 0 end)::double / sum(ead)::double as top5_share from r group by sector")
 def portfolio_concentration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The share of each sector's five largest obligors: the five of each task first, which is what a ranked filter shuffles."""
     o = exposures(spark, sf_dir).groupBy("sector", "obligor").agg(F.sum("ead").alias("ead"))
     k = F.row_number().over(Window.partitionBy("sector").orderBy(F.desc("ead"), "obligor"))
-    top = F.sum(F.when(F.col("k") <= 5, F.col("ead")).otherwise(0))
-    return o.withColumn("k", k).groupBy("sector").agg(F.sum("ead").cast("double").alias("ead"), F.count("*").alias("obligors"), (top.cast("double") / F.sum("ead").cast("double")).alias("top5_share"))
+    top = o.withColumn("k", k).filter("k <= 5").groupBy("sector").agg(F.sum("ead").alias("top"))
+    return o.groupBy("sector").agg(F.sum("ead").alias("ead"), F.count("*").alias("obligors")).join(top, "sector").select("sector", F.col("ead").cast("double").alias("ead"), "obligors", (F.col("top").cast("double") / F.col("ead").cast("double")).alias("top5_share"))
+
+
+
+# ---- read models: one JSON payload a subject ----
+_C = lambda x: f"round(({x}) * 100)::bigint"
+_PCT = lambda a, b: f"coalesce(round(({a})::double * 100 / nullif(({b})::double, 0), 4), 0.0)"
+_SLICES = " union all ".join(f"select '{d}' d, {d} as name, count(*) n, sum(ead) ead from exposures group by {d}" for d in P.DIMENSIONS)
+_ONE_SLICE = lambda d: f"(select list({{'name': name, 'n': n, 'ead': {_C('ead')}, 'pct': {_PCT('ead', 'w')}}} order by ead desc, name) from sl, whole where d = '{d}')"
+
+
+@query(f"""with {EXPOSURES_SQL}, whole as (select sum(ead) w from exposures), sl as ({_SLICES}), ob as (select obligor, sum(ead) ead from exposures group by obligor),
+top as (select * from ob order by ead desc, obligor limit 5), fl as (select 'sector ' || name f from sl, whole where d = 'sector' and ead::double > 0.3 * w::double union all select 'obligor ' || obligor from ob, whole where ead::double > 0.15 * w::double)
+select to_json({{'total_ead': {_C('(select w from whole)')}, 'base_el': {_C('(select sum(ead * pd * lgd) from exposures)')}, 'exposure_count': (select count(*) from exposures), 'obligor_count': (select count(*) from ob),
+ {", ".join(f"'{d}_distribution': {_ONE_SLICE(d)}" for d in P.DIMENSIONS)}, 'top_obligors': (select list({{'obligor': obligor, 'ead': {_C('ead')}, 'pct': {_PCT('ead', 'w')}}} order by ead desc, obligor) from top, whole), 'flags': coalesce((select list(f order by f) from fl), [])}})::varchar as payload""")
+def portfolio_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.portfolio_overview(exposures(spark, sf_dir)).select(F.to_json(F.struct("*")).alias("payload"))
+
+
+_OVERVIEW_SQL = f"""whole as (select sum(ead) w from exposures), ag as (select event_id, count(*) n, sum(ead) ead, sum(base_el) base, sum(base_el + incremental_el) stress, sum(mtm_impact) mtm from stress group by event_id),
+rk as (select *, row_number() over (partition by event_id order by ead desc, exposure_id) place from stress),
+tp as (select event_id, list({{'exposure_id': exposure_id, 'obligor': obligor, 'ead': {_C('ead')}, 'incremental_el': {_C('incremental_el')}, 'mtm_impact': {_C('mtm_impact')}}} order by place) top from rk where place <= 5 group by event_id),
+ov as (select s.event_id, entity, scope as shock_scope, case when error is not null then 'ERROR' when upper(trim(event_type)) = 'NO_EVENT' then 'NO_EVENT' when n is null then 'NO_EXPOSURE' else 'STRESSED' end as status, coalesce(n, 0) n_affected, {_C('coalesce(ead, 0)')} affected_ead,
+  {_PCT('coalesce(ead, 0)', 'w')} affected_ead_pct, {_C('coalesce(base, 0)')} base_el, {_C('coalesce(stress, 0)')} stressed_el, {_C('coalesce(stress, 0) - coalesce(base, 0)')} incremental_el, {_PCT('coalesce(stress, 0) - coalesce(base, 0)', 'coalesce(base, 0)')} incremental_el_pct, {_C('coalesce(mtm, 0)')} mtm_impact, coalesce(top, []) top
+  from shocks s left join ag using (event_id) left join tp using (event_id), whole)"""
+_OV_FIELDS = ["event_id", "entity", "shock_scope", "status", "n_affected", "affected_ead", "affected_ead_pct", "base_el", "stressed_el", "incremental_el", "incremental_el_pct", "mtm_impact"]
+_OV = lambda t: ", ".join(f"'{c}': {t}.{c}" for c in _OV_FIELDS) + f", 'stress_applied': {t}.status = 'STRESSED'"
+
+
+def _overviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.event_overviews(shocks(spark), stressed(spark, sf_dir), exposures(spark, sf_dir))
+
+
+@query(STRESS_SQL + f", {_OVERVIEW_SQL} select event_id, to_json({{{_OV('ov')}, 'top_exposures': top}})::varchar payload from ov")
+def event_overviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _overviews(spark, sf_dir).select("event_id", F.to_json(F.struct("*")).alias("payload"))
+
+
+@query(STRESS_SQL + f""", {_OVERVIEW_SQL}, pr(place, event_a, event_b) as (values {_PAIRS}),
+df as (select place, dimension, name, sum(g * incremental_el) el, sum(g * abs(mtm_impact)) mtm from (select place, event_a as event_id, -1 g from pr union all select place, event_b, 1 from pr) join dims using (event_id) group by all),
+ls as (select place, list({{'dimension': dimension, 'name': name, 'incremental_el_difference': {_C('el')}, 'absolute_mtm_difference': {_C('mtm')}}} order by dimension, name) l from df group by place)
+select place, to_json({{'scenario_a': {{{_OV('a')}}}, 'scenario_b': {{{_OV('b')}}}, 'deltas': {{'affected_ead_difference': b.affected_ead - a.affected_ead, 'incremental_el_difference': b.incremental_el - a.incremental_el, 'absolute_mtm_difference': abs(b.mtm_impact) - abs(a.mtm_impact)}},
+ 'attribution_differences': coalesce(l, [])}})::varchar payload from pr join ov a on a.event_id = event_a join ov b on b.event_id = event_b left join ls using (place)""")
+def scenario_comparisons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = spark.createDataFrame([(k, *p) for k, p in enumerate(PAIRS)], "place int, event_a string, event_b string")
+    out = M.scenario_comparisons(_overviews(spark, sf_dir), _dims(spark, sf_dir), pairs)
+    return out.select("place", F.to_json(F.struct("scenario_a", "scenario_b", "deltas", "attribution_differences")).alias("payload"))
