@@ -120,14 +120,32 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: Entries of a worker's cache of words; some 200 bytes each.
+CACHED = 150_000
+_live: list[dict] = []
+
+
+def alone(cache: dict) -> dict:
+    """The one cache that a worker process holds: others are emptied, since workers serve one operator after the other."""
+    if not _live or _live[0] is not cache:
+        for other in _live:
+            other.clear()
+        _live[:] = [cache]
+    return cache
+
+
 class WordHashes(dict):
     """64-bit hashes of words, kept while there are not too many."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
+        if len(self) > CACHED:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
 
     def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+        return np.fromiter(map(alone(self).__getitem__, words), np.uint64, len(words))
+
+
+#: Shared by all operators that hash words.
+HASHES = WordHashes()

@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import FOLD, WordHashes, bitmap, discard, in_bitmap, mixed, small_batches, text_key, utf8, written
+from .common import FOLD, HASHES, bitmap, discard, in_bitmap, mixed, small_batches, text_key, utf8, written
 
 VALUES, BAND = 128, 4
 TREES = VALUES // BAND
@@ -46,7 +46,6 @@ TREES = VALUES // BAND
 PLACES, CARRIED = 2048, 128
 #: Shingles in a block of sets that one task compares (8 bytes each).
 BLOCK = 500_000
-_hashes = WordHashes()
 _rng = np.random.default_rng(20)
 _XOR, _MUL = _rng.integers(0, 1 << 32, VALUES, dtype=np.uint32), _rng.integers(0, 1 << 31, VALUES, dtype=np.uint32) * 2 + 1
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -57,7 +56,7 @@ def shingles(text: bytes, size: int) -> np.ndarray:
     words = text.translate(FOLD).split()
     if not words:
         return np.zeros(0, np.uint64)
-    h = _hashes.of(words)
+    h = HASHES.of(words)
     size = min(size, len(words))
     out = np.full(len(words) - size + 1, len(words) if len(words) < size else size, np.uint64)
     for k in range(size):

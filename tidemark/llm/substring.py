@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, bitmap, discard, in_bitmap, mixed, small_batches, text_key, utf8, written
+from .common import HASHES, bitmap, discard, in_bitmap, mixed, small_batches, text_key, utf8, written
 
 WINDOW = 35
 GRAM = 8
@@ -40,7 +40,6 @@ GRAM = 8
 #: bits replaced by the number of the window.
 INSIDE = 32
 _BASE, _INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
-_hashes = WordHashes()
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -75,7 +74,7 @@ def blocks(words: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray, np.
     """Window hashes, the first window of each block, and the anchors of the blocks."""
     if len(words) < window:
         return None
-    h = _hashes.of(words)
+    h = HASHES.of(words)
     gram = min(GRAM, window)
     anchor = sliding_min(rolling(h, gram), window - gram + 1)
     runs = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1])))

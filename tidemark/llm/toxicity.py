@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import FOLD, mixed, small_batches, utf8
+from .common import CACHED, alone, FOLD, mixed, small_batches, utf8
 
 PER_CLASS = 1500
 #: Bytes of training texts of either class at most; the texts that would go beyond are left out of the sample.
@@ -68,7 +68,7 @@ class Emissions(dict):
         self.model = model
 
     def __missing__(self, word: bytes) -> float:
-        if len(self) > 300_000:
+        if len(self) > CACHED:
             self.clear()
         get = self.model.weights.get
         out = self[word] = self.model.bias + sum(get(f, 0.0) for f in features(word))
@@ -273,7 +273,7 @@ def _emissions(model: Model) -> Emissions:
     """The token scores of a model, kept for the next batch."""
     if not _loaded or _loaded[0].model is not model:
         _loaded[:] = [Emissions(model)]
-    return _loaded[0]
+    return alone(_loaded[0])
 
 
 def _scored(shared):
