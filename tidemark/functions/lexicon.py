@@ -373,3 +373,10 @@ COLLIDING = ["visa", "ford", "disney", "mac", "chase"]
 # Publishers, which are no entities, and company suffixes at the end of a name.
 PUBLISHERS = ["reuters", "cnbc", "wsj", "cnn", "bloomberg", "ap", "associated press", "fox news", "ft", "financial times", "nytimes"]
 SUFFIXES = ["inc", "corp", "corporation", "llc", "plc", "ltd", "company", "co"]
+
+# Contexts in which a credit word means little, and anchors that tie it to a company.
+WEAK_CREDIT = [r"\bdefault (?:ip|app|setting|password|browser|search)\b", r"\bdefault(?:ly)?\b", r"\bmorally bankrupt\b", r"\b(?:i|we|you|they|he|she) .*go bankrupt\b", r"\bboycott.*bankrupt", r"\b(?:car|house|personal|student) .*bankrupt", r"\bchapter 7.*eBay\b"]
+CREDIT_ANCHORS = [
+    r"\b(?:company|bank|lender|borrower|firm|corporation|corp|fund|issuer)\b", r"\b(?:debt|loan|bond|bonds|credit|rating|payment|financing)\b", r"\b(?:revenue|earnings|balance sheet|liabilities|capital)\b", r"\b(?:Reuters|Bloomberg|CNBC|WSJ)\b",
+    r"@\b(?:GoldmanSachs|MorganStanley|DeutscheBank|JPMorgan|WellsFargo|Citi|BankofAmerica)\b",
+]

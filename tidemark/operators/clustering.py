@@ -33,6 +33,28 @@ def canonical(rows: DataFrame, keys: list[str], score: str, sentiment: str, ts:
     )
 
 
+def canonical_records(rows: DataFrame, keys: list[str], seq: str, columns: dict[str, str], credit: str = "Credit Event") -> DataFrame:
+    """One record a cluster, in full.  ``columns`` names the columns of rows for: impact, sentiment, confidence, source,
+    text, event_type, tier, novelty, ts and guard.
+
+    The row with the largest impact speaks for the cluster, the first of equals; sentiment is the mean and confidence
+    the largest; sources are distinct; the rows' numbers and the hashes of their texts stand in the order of ``seq``.  The
+    guard's reason is there for credit events only.  A record holds its cluster's numbers, which a window bounds."""
+    c = {name: F.col(column) for name, column in columns.items()}
+    first = F.struct(c["impact"], -F.col(seq))
+    speaks = F.max_by(F.struct(*[c[k].alias(k) for k in ("event_type", "tier", "novelty", "ts", "text", "guard")], F.col(seq).alias("seq")), first)
+    rows_ = F.array_sort(F.collect_list(F.struct(F.col(seq).alias("seq"), F.md5(F.coalesce(c["text"], F.lit(""))).alias("hash"))))
+    g = rows.groupBy(*keys).agg(
+        F.count("*").alias("observation_count"), F.max(c["impact"]).alias("impact_score"), F.avg(c["sentiment"]).alias("sentiment_score"), F.max(c["confidence"]).alias("event_confidence"),
+        F.array_sort(F.collect_set(c["source"])).alias("source_types"), speaks.alias("rep"), rows_.alias("rows"),
+    )
+    guard = F.when(F.col("rep.event_type") == credit, F.coalesce("rep.guard", F.lit("")))
+    return g.select(
+        *keys, "observation_count", "impact_score", "sentiment_score", "event_confidence", "source_types", F.col("rep.event_type").alias("event_type"), F.col("rep.tier").alias("impact_tier"), F.col("rep.novelty").alias("novelty"), F.col("rep.ts").alias("timestamp"),
+        F.col("rep.seq").alias("representative_id"), F.col("rep.text").alias("representative_text"), guard.alias("credit_guard_reason"), F.transform("rows", lambda r: r["seq"]).alias("source_row_ids"), F.transform("rows", lambda r: r["hash"]).alias("source_hashes"),
+    )
+
+
 def compatible(a: str, b: str) -> bool:
     return a == b or b in COMPATIBLE.get(a, ()) or a in COMPATIBLE.get(b, ())
 

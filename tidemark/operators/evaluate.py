@@ -69,3 +69,12 @@ def quantile_buckets(df: DataFrame, value: str, k: int) -> DataFrame:
     edges = quantiles(df, [], value, shares).select(F.array_distinct(F.array(*shares)).alias("q"))
     inner = F.slice("q", 2, F.greatest(F.size("q") - 2, F.lit(0)))
     return df.join(F.broadcast(edges)).withColumn("bucket", F.size(F.filter(inner, lambda e: e < F.col(value)))).drop("q")  # one row of edges
+
+
+def bucket_stats(df: DataFrame, value: str, target: str, k: int) -> DataFrame:
+    """bucket, count, mean, median and std (sample) of the target over the quantile buckets of a value; rows without
+    either don't count."""
+    rows = quantile_buckets(df.select(value, target).filter(F.col(value).isNotNull() & F.col(target).isNotNull()), value, k)
+    rows = stored(rows.select("bucket", F.col(target).cast("double").alias("x")))
+    middle = quantiles(rows, ["bucket"], "x", {"median": 0.5})
+    return rows.groupBy("bucket").agg(F.count("*").alias("count"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std")).join(middle, "bucket")

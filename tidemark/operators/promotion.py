@@ -58,3 +58,11 @@ def promote(store: Store, candidates: DataFrame, fixtures: DataFrame) -> DataFra
     }
     store.commit(tables, {"promoted_events": {"no_event": F.col("event_id").isNull()}})
     return store.read("outcomes")
+
+
+def catalog(fixtures: DataFrame, promoted_events: DataFrame, results: DataFrame) -> DataFrame:
+    """All events that are shown, with their result: the fixtures first, then the promoted ones with their provenance.
+    fixtures: event_id; results: event_id and its columns; events without a result are left out."""
+    listed = fixtures.select("event_id", F.lit("FIXTURE").alias("listed_as"), F.lit(None).cast("string").alias("provenance"))
+    more = promoted_events.select("event_id", F.lit("PROMOTED").alias("listed_as"), F.col("mode").alias("provenance"))
+    return listed.unionByName(more).join(results, "event_id")

@@ -117,3 +117,54 @@ def around(events: DataFrame, bars: DataFrame, key: str, at: str, ts: str, value
     asked = events.select(F.col(key).alias("key"), F.unix_micros(F.col(at).cast("timestamp")).alias("us"), F.lit(1).alias("kind"), F.lit(None).cast(both.schema["seen"].dataType).alias("seen"), F.col("event_id").cast("long").alias("event_id"))
     found = running_last(both.unionByName(asked), ["key"], "us", ["kind"], "seen", "on").filter("kind = 1")
     return found.select(F.col("key").alias(key), "event_id", F.col("on.v").alias("before"), F.col("on.later").alias("after"))
+
+
+def safe_name(label: str, prefix: str = "") -> str:
+    """A column name for a label: upper case, its separators as one underscore."""
+    return prefix + label.upper().replace(" & ", "_").replace(" / ", "_").replace(" ", "_")
+
+
+def with_safe_names(df: DataFrame, labels: list[str], prefix: str = "") -> DataFrame:
+    """The columns named by labels under safe names; two labels with one name are an error."""
+    new = {label: safe_name(label, prefix) for label in labels if label in df.columns}
+    after = [new.get(c, c) for c in df.columns]
+    if len(set(after)) < len(after):
+        raise ValueError(f"names fall together: {sorted({c for c in after if after.count(c) > 1})}")
+    return df.withColumnsRenamed(new)
+
+
+def percent_text(part: Column, whole: Column, places: int = 1) -> Column:
+    """A share as text such as 12.5%; 0% of nothing."""
+    return F.concat(F.format_string(f"%.{places}f", F.coalesce(F.try_divide(part.cast("double") * 100, whole.cast("double")), F.lit(0.0))), F.lit("%"))
+
+
+def strongest(rows: DataFrame, types: list[str], entities: list[str] | None = None) -> DataFrame:
+    """The valid, material event of the given types (and entities) with the largest impact, the earliest of equals, then
+    the smallest id; one row, and an error when read if there is none.
+
+    rows: event_id, entity, entity_status, materiality, impact_score, event_type, timestamp."""
+    fit = rows.filter((F.col("entity_status") == "valid") & (F.col("materiality") == "MATERIAL_EVENT") & (F.col("impact_score") >= 1.0) & F.col("event_type").isin(types))
+    if entities is not None:
+        fit = fit.filter(F.col("entity").isin(entities))
+    best = fit.agg(F.min_by(F.struct(*rows.columns), F.struct(-F.col("impact_score"), F.col("timestamp"), F.col("event_id"))).alias("b"))
+    none = F.raise_error(F.lit("no event fits")).cast(best.schema["b"].dataType)
+    return best.select(F.coalesce("b", none).alias("b")).select("b.*")
+
+
+def observations(rows: DataFrame, extra: dict[str, Column], company: Column) -> DataFrame:
+    """Simulation requests as observations: headline and body in one text, request-wide metadata over the row's own, and
+    the company in place of the row's entity where it is given.  reject_reason is there for rows without any text.
+
+    rows: headline, body, entity, metadata (map of strings).  Of the extra entries blank ones don't count."""
+    given = F.map_from_entries(F.filter(F.array(*[F.struct(F.lit(k).alias("key"), v.cast("string").alias("value")) for k, v in extra.items()]), lambda e: F.coalesce(e["value"], F.lit("")) != ""))
+    own = F.coalesce("metadata", F.create_map().cast("map<string,string>"))
+    merged = F.map_concat(F.map_filter(own, lambda k, v: ~F.array_contains(F.map_keys(given), k)), given)
+    kept = F.when(F.size(given) > 0, merged).otherwise(F.col("metadata"))
+    text = joined(F.col("headline"), F.col("body"))
+    return rows.withColumn("text", text).withColumn("metadata", kept).withColumn("entity", F.coalesce(F.nullif(company, F.lit("")), F.col("entity"))).withColumn("reject_reason", F.when(text == "", "no text"))
+
+
+def audit_rows(rows: DataFrame, text: str, row_id: str, number: str, materiality: str) -> DataFrame:
+    """Adds what an audit shows: the row's id or else its number, the text's hash, and a label where materiality is missing."""
+    gone = lambda c: F.col(c).isNull() | F.lower(F.col(c).cast("string")).isin("nan", "")
+    return rows.withColumn("text_hash", F.md5(F.coalesce(F.col(text), F.lit("")))).withColumn(row_id, F.when(gone(row_id), F.col(number).cast("string")).otherwise(F.col(row_id).cast("string"))).withColumn(materiality, F.when(gone(materiality), "NON_MATERIAL").otherwise(F.col(materiality)))

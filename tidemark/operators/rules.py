@@ -95,3 +95,9 @@ def credit_categories(text: Column) -> Column:
     """All categories of the credit lexicon that a text shows."""
     t = clean(text)
     return F.array_compact(F.array(*[F.when(any_match(t, patterns), name) for name, patterns in X.CREDIT_AUDIT.items()]))
+
+
+def credit_context(text: Column) -> Column:
+    """strength of a credit text: STRONG where a company anchors it and no weak context spoils it, WEAK otherwise."""
+    t = clean(text)
+    return F.when(any_match(t, X.CREDIT_ANCHORS) & ~any_match(t, X.WEAK_CREDIT), "STRONG").otherwise("WEAK")

@@ -22,7 +22,7 @@ def query(sql: str | None = None):
 
 
 def _load() -> None:
-    for name in ("portfolio", "events", "corpus", "evaluation", "checks", "records", "runs", "studies", "markets"):
+    for name in ("portfolio", "events", "corpus", "evaluation", "checks", "records", "runs", "studies", "markets", "details"):
         import_module(f"tidemark.plans.{name}")
 
 

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .store import swap
+
 
 def parquet(df: DataFrame, path: str, by: list[str] | None = None, mode: str = "overwrite") -> None:
     """One directory; with ``by`` one folder a value, so that readers prune."""
@@ -19,6 +21,14 @@ def json_lines(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def json_document(df: DataFrame, path: str) -> None:
+    """One JSON file with the rows of a small aggregate, in the order of their columns, swapped in by an atomic rename: readers
+    get the old document or the new one."""
+    row = F.struct(*df.columns)
+    text = df.agg(F.to_json(F.array_sort(F.collect_list(row))).alias("t")).first()["t"]  # a report's rows
+    swap(df.sparkSession, path, text)
+
+
 def append_csv(df: DataFrame, path: str) -> None:
     """Each call adds files with a header; earlier ones stay."""
     df.write.mode("append").option("header", True).csv(path)
