@@ -29,7 +29,7 @@ def dumps(spark: SparkSession, path: str, files: int = 1) -> DataFrame:
 
     The file source keeps in the checkpoint which dumps are done, so a restart repeats and loses none.  A dump is one row
     until it is taken apart, so it must fit a task."""
-    text = spark.readStream.option("wholetext", True).option("maxFilesPerTrigger", files).text(path).select(F.trim("value").alias("value"))
+    text = spark.readStream.option("maxFilesPerTrigger", files).text(path, wholetext=True).select(F.trim("value").alias("value"))
     whole, inside = F.from_json("value", "array<string>"), F.from_json("value", "articles array<string>")["articles"]
     each = text.select(F.explode(F.when(F.col("value").startswith("["), whole).otherwise(inside)).alias("metadata"))
     raw = each.select(F.from_json("metadata", RAW).alias("a"), "metadata").select("a.*", "metadata")
