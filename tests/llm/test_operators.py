@@ -283,6 +283,23 @@ def test_licenses_merge_before_they_vote(spark, monkeypatch):
     assert got[0][2] == 0.75 and got[1][2] == 1.0 and got[3][2] == 147 / 149
 
 
+def test_license_families_and_whole_texts(spark):
+    def told(text):
+        return f"Intro words here. {text} And more behind."
+
+    texts = [told(t.capitalize()) for ts in licenses.TEMPLATES.values() for t in ts]
+    labels = [label for label, ts in licenses.TEMPLATES.items() for _ in ts]
+    names = [(told(t.upper()), label) for label, ts in licenses.NAMES.items() for t in ts]
+    df = table(spark, [(k, t, "a") for k, t in enumerate([*texts, *[t for t, _ in names]])])
+    got = {r["doc_id"]: set(r["labels"].split(",")) for r in licenses.scan(df).collect()}
+    assert all(label in got[k] for k, label in enumerate([*labels, *[x for _, x in names]]))
+    of = dict(zip([t for t, _ in names], range(len(texts), len(texts) + len(names)), strict=True))
+    gpl2, gpl3, lgpl, agpl = (got[of[told(t.upper())]] for t in ("gnu general public license version 2", "gnu general public license version 3", "gnu lesser general public license", "gnu affero general public license"))
+    assert "gpl-3.0" not in gpl2 and "gpl-2.0" not in gpl3 and "agpl" not in lgpl | gpl2 and "lgpl" not in agpl | gpl3
+    half = " ".join(licenses.TEMPLATES["zlib"][0].split()[:25])
+    assert licenses.scan(table(spark, [(1, half, "a"), (2, "the program of the software", "a")])).filter("labels <> ''").count() == 0
+
+
 def test_forward_backward_matches_enumeration():
     import itertools
     import math

@@ -145,16 +145,68 @@ def _gzip(b: bytes, at: int) -> int:
     return min(p, len(b)) - at - len(d.unused_data) if d.eof else 0
 
 
+def _crc_table(poly: int, bits: int) -> list[int]:
+    out = []
+    for k in range(256):
+        c = k << (bits - 8)
+        for _ in range(8):
+            c = (c << 1) ^ (poly if c >> (bits - 1) & 1 else 0)
+        out.append(c & ((1 << bits) - 1))
+    return out
+
+
+_CRC8, _CRC16 = _crc_table(0x07, 8), _crc_table(0x8005, 16)
+
+
+def _flac_frame(b: bytes, p: int) -> tuple[int, int]:
+    """Length of the frame header at p and the samples of the frame; zeros if there is none."""
+    if p + 6 > len(b) or b[p] != 0xFF or b[p + 1] & 0xFE != 0xF8:
+        return 0, 0
+    block, rate = b[p + 2] >> 4, b[p + 2] & 15
+    if not block or rate == 15 or b[p + 3] & 1 or b[p + 3] >> 4 > 10:
+        return 0, 0
+    lead = b[p + 4]
+    q = p + 5 + (0 if lead < 0x80 else next((k for k in range(1, 7) if lead < 256 - (1 << (6 - k))), 6))  # the number of the frame, coded as in UTF-8
+    samples = {1: 192, 6: int.from_bytes(b[q : q + 1], "big") + 1, 7: int.from_bytes(b[q : q + 2], "big") + 1}.get(block) or (576 << (block - 2) if block < 6 else 256 << (block - 8))
+    q += {6: 1, 7: 2}.get(block, 0) + {12: 1, 13: 2, 14: 2}.get(rate, 0)
+    c = 0
+    for x in b[p : q + 1]:
+        c = _CRC8[c ^ x]
+    return (q + 1 - p, samples) if q < len(b) and c == 0 else (0, 0)
+
+
 def _flac(b: bytes, at: int) -> int:
-    p, first = at + 4, True
-    while p + 4 <= len(b):
+    """Metadata blocks, then frames: a frame ends where its checksum is met and the next frame, or the end of the stream, follows."""
+    p, first, total = at + 4, True, 0
+    while True:
+        if p + 4 > len(b):
+            return 0
         kind, size = b[p] & 0x7F, int.from_bytes(b[p + 1 : p + 4], "big")
         if (first and (kind, size) != (0, 34)) or kind == 127 or p + 4 + size > len(b):
             return 0
-        p, last, first = p + 4 + size, b[p] & 0x80, False
-        if last:  # frames follow up to the end of the value
-            return len(b) - at if b[p : p + 1] == b"\xff" else 0
-    return 0
+        if first:
+            total = int.from_bytes(b[p + 17 : p + 22], "big") & 0xFFFFFFFFF
+        last, p, first = b[p] & 0x80, p + 4 + size, False
+        if last:
+            break
+    done = 0
+    while True:
+        head, samples = _flac_frame(b, p)
+        if not head:
+            return 0
+        done, c, q, end = done + samples, 0, p, 0
+        while q < len(b):
+            c = (c << 8 & 0xFFFF) ^ _CRC16[c >> 8 ^ b[q]]
+            q += 1
+            if c == 0 and q > p + head + 2:
+                if (total and done >= total) or (not total and not _flac_frame(b, q)[0]):
+                    return q - at
+                if _flac_frame(b, q)[0]:
+                    end = q
+                    break
+        if not end:
+            return 0
+        p = end
 
 
 def _mp4(b: bytes, at: int) -> int:

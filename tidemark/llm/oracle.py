@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .common import LOWER, UPPER
-from .licenses import BAND, BASE, ENOUGH, TEMPLATES
+from .licenses import BAND, ENOUGH, templates
 
 WORDS = r"[^\x20\x09-\x0D]+"
 _NUMBERED = f"SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{WORDS}') AS ws FROM documents"
@@ -62,24 +62,18 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_wo
 
 
 def _template_rows() -> str:
-    rows, n = [], 0
-    for base, table in ((True, {v: [p] for p, v in BASE.items()}), (False, TEMPLATES)):
-        for label, texts in table.items():
-            for text in texts:
-                w, n = text.split(), n + 1
-                rows += [f"({n}, '{label}', {base}, {len(w) - 1}, {q}, '{w[q]}', '{w[q + 1]}')" for q in range(len(w) - 1)]
-    return ", ".join(rows)
+    return ", ".join(f"({n}, '{label}', {base}, {whole}, {len(w) - 1}, {q}, '{w[q]}', '{w[q + 1]}')" for n, label, base, whole, w in templates() for q in range(len(w) - 1))
 
 
 OP10 = rf"""
 WITH d AS ({_FOLDED % "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"}),
-t(template, label, base, length, q, w0, w1) AS (VALUES {_template_rows()}),
+t(template, label, base, whole, length, q, w0, w1) AS (VALUES {_template_rows()}),
 g AS (SELECT rid, unnest(range(0, len(ws) - 1)) AS p, unnest(ws[1 : len(ws) - 1]) AS w0, unnest(ws[2 : len(ws)]) AS w1 FROM d WHERE len(ws) > 1),
-v AS (SELECT rid, template, label, base, length, p - q AS d, q FROM g JOIN t USING (w0, w1)),
-l AS (SELECT rid, template, d, CASE WHEN d - lag(d) OVER o <= CASE WHEN base THEN 0 ELSE {BAND} END THEN 0 ELSE 1 END AS step FROM (SELECT DISTINCT rid, template, base, d FROM v) WINDOW o AS (PARTITION BY rid, template ORDER BY d)),
+v AS (SELECT rid, template, label, base, whole, length, p - q AS d, q FROM g JOIN t USING (w0, w1)),
+l AS (SELECT rid, template, d, CASE WHEN d - lag(d) OVER o <= CASE WHEN whole THEN 0 ELSE {BAND} END THEN 0 ELSE 1 END AS step FROM (SELECT DISTINCT rid, template, whole, d FROM v) WINDOW o AS (PARTITION BY rid, template ORDER BY d)),
 s AS (SELECT rid, template, d, sum(step) OVER (PARTITION BY rid, template ORDER BY d) AS s FROM l),
-spans AS (SELECT rid, label, base, min(d) AS low, count(DISTINCT q) / length AS part FROM v JOIN s USING (rid, template, d) GROUP BY rid, template, label, base, length, s),
-ok AS (SELECT * FROM spans WHERE part >= CASE WHEN base THEN 1 ELSE {ENOUGH} END),
+spans AS (SELECT rid, label, base, whole, min(d) AS low, count(DISTINCT q) / length AS part FROM v JOIN s USING (rid, template, d) GROUP BY rid, template, label, base, whole, length, s),
+ok AS (SELECT * FROM spans WHERE part >= CASE WHEN whole THEN 1 ELSE {ENOUGH} END),
 a AS (SELECT rid, count(*) FILTER (base) AS n, min(low) FILTER (base) AS f, max(low) FILTER (base) AS l, array_to_string(list_sort(list(DISTINCT label) FILTER (base)), ',') AS bl, array_to_string(list_sort(list(DISTINCT label)), ',') AS al, max(part) AS score FROM ok GROUP BY rid)
 SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_base, f::BIGINT AS first_word, l::BIGINT AS last_word, coalesce(bl, '') AS base_labels, coalesce(al, '') AS labels, coalesce(score, 0)::DOUBLE AS score FROM d LEFT JOIN a USING (rid)"""
 
