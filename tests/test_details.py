@@ -60,6 +60,12 @@ def test_safe_names(spark):
         records.with_safe_names(spark.createDataFrame([(1, 2)], "`a b` int, `A B` int"), ["a b", "A B"])
 
 
+def test_list_literals(spark):
+    rows = [("['a', 'b']", ["a", "b"]), ("""["it's", 'so']""", ["it's", "so"]), (r"['it\'s']", ["it's"]), ("[]", []), (" [ 'x,y' , ] ", ["x,y"]), ("['a' 'b']", None), ("'a'", None), ("[a]", None), (None, None), ("['" + "long " * 20_000 + "']", ["long " * 20_000])]
+    got = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(rows)], "k int, t string").select("k", records.list_literal(F.col("t")).alias("x")).orderBy("k").collect()
+    assert [r.x for r in got] == [want for _, want in rows]
+
+
 def test_the_strongest_event(spark):
     kind = "event_id string, entity string, entity_status string, materiality string, impact_score double, event_type string, timestamp string"
     rows = [("e3", "Tesla", "valid", "MATERIAL_EVENT", 8.0, "Credit Event", "2024-01-02"), ("e2", "Tesla", "valid", "MATERIAL_EVENT", 8.0, "Credit Event", "2024-01-01"), ("e1", "Tesla", "valid", "MATERIAL_EVENT", 8.0, "Credit Event", "2024-01-01"), ("x1", "Nobody", "valid", "MATERIAL_EVENT", 9.0, "Credit Event", "2024-01-01"), ("x2", "Tesla", "unresolved_entity", "MATERIAL_EVENT", 9.0, "Credit Event", "2024-01-01"), ("x3", "Tesla", "valid", "MATERIAL_EVENT", 9.0, "Macroeconomic", "2024-01-01"), ("x4", "Tesla", "valid", "NO_EVENT", 9.0, "Credit Event", "2024-01-01")]

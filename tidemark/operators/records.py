@@ -28,9 +28,15 @@ def existing(df: DataFrame, wanted: list[str], renames: dict[str, str]) -> DataF
     return df.select(*[c for c in dict.fromkeys(wanted) if c in df.columns])
 
 
+_ITEM = r"""(?:'[^'\\]*(?:\\.[^'\\]*)*'|"[^"\\]*(?:\\.[^"\\]*)*")"""
+
+
 def list_literal(text: Column) -> Column:
-    """A list written as a literal with single quotes; null if it isn't one."""
-    return F.from_json(F.replace(text, F.lit("'"), F.lit('"')), "array<string>")
+    """A list written as a literal, its items in single or double quotes, with apostrophes inside as the other quote or a
+    backslash allow them; null if it isn't one."""
+    whole = text.rlike(f"(?s)^\\s*\\[\\s*(?:{_ITEM}\\s*(?:,\\s*{_ITEM}\\s*)*,?\\s*)?\\]\\s*$")
+    items = F.regexp_extract_all(text, F.lit(f"(?s){_ITEM}"), F.lit(0))
+    return F.when(whole, F.transform(items, lambda x: F.regexp_replace(F.substr(x, F.lit(2), F.length(x) - 2), "(?s)\\\\(.)", "$1")))
 
 
 def adapted(rows: DataFrame) -> DataFrame:

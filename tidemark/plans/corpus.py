@@ -136,20 +136,22 @@ def funnel_with_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", F.array_join("reasons", " + ").alias("reasons"), "kept")
 
 
-@query("with al as (select distinct p_name as alias, regexp_extract(p_name, '[^ ]+$') as entity_id from part where p_name like '% %') select p_partkey, string_agg(distinct entity_id, ',' order by entity_id) as entities from part join al on contains(' ' || p_name || ' ' || lower(p_type) || ' ', ' ' || alias || ' ') group by p_partkey")
+@query("with al as (select distinct p_name as alias, regexp_extract(p_name, '[^ ]+$') as entity_id from part) select p_partkey, string_agg(distinct entity_id, ',' order by entity_id) as entities from part join al on contains(' ' || p_name || ' ' || lower(p_type) || ' ', ' ' || alias || ' ') group by p_partkey")
 def alias_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")
-    aliases = p.filter("p_name like '% %'").select(F.col("p_name").alias("alias"), F.regexp_extract("p_name", "[^ ]+$", 0).alias("entity_id")).distinct()
+    aliases = p.select(F.col("p_name").alias("alias"), F.regexp_extract("p_name", "[^ ]+$", 0).alias("entity_id")).distinct()
     return ingest.alias_scan(p, "p_partkey", F.concat_ws(" ", "p_name", F.lower("p_type")), aliases, longest=3)
 
 
 # ---- rule cascades over literal texts and all documents ----
+# Sentences whose outcome is known.
 TEXTS = [
     ("Oracle buys Apiary to build its cloud platform", "Merger & Acquisition", 0.9), ("If the merger goes ahead we all lose", "Merger & Acquisition", 0.9), ("if it buys 19.5% stake", "Merger & Acquisition", 0.5),
     ("Acme filed for bankruptcy", "Credit Event", 0.4), ("you might go bankrupt soon", "Credit Event", 0.4), ("Fed likely to keep rates steady", "Other / Unclear", 0.3), ("check out this cheap phone on ebay", "Product / Technology", 0.6),
     ("I think the stock will fall", "Market / Liquidity", 0.6), ("boycott the shop, it was fined", "Other / Unclear", 0.5), ("boycott the shop", "Other / Unclear", 0.5), ("IPO", "Corporate / Earnings", 0.1), ("coup", "Geopolitical", 0.1),
     ("gold ring on the commodity market", "Commodity / Supply Chain", 0.8), ("shares plunged after the outage", "Product / Technology", 0.7), ("", "Credit Event", 0.9), ("my debt is high", "Credit Event", 0.9), ("Acme announces debt restructuring", "Regulatory / Legal", 0.8),
 ]
+# Sentences whose outcome is known.
 GUARDED = [
     ("Ford defaults on loan, debt restructuring", "Ford", "valid", "Credit Event"), ("Covenant breach by Acme", "Acme", "valid", "Credit Event"), ("Moody's announces credit downgrade for Acme", "Acme", "valid", "Credit Event"),
     ("How to change the default browser on Mac", "Mac", "valid", "Credit Event"), ("Change the default settings", "Acme", "valid", "Credit Event"), ("I support Christine Ford's testimony.", "Ford", "valid", "Credit Event"),

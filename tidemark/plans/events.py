@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import scoring as S
+from tidemark.functions.lexicon import COMPATIBLE
 from tidemark.operators import clustering, market
 
 from .registry import query
@@ -140,3 +143,26 @@ def nearest_neighbour(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = e.select(F.col("vec_id").alias("id"), F.col("label").alias("entity"), F.timestamp_seconds(F.col("vec_id") * 3600).alias("ts"), F.col("embedding").alias("vector"))
     near = clustering.nearest(rows)
     return near.select(F.col("id").alias("vec_id"), "near_id", F.round("cosine", 6).alias("cosine"), (F.col("cosine") >= 0.85).alias("similar"))
+
+
+_FITS = ", ".join(f"('{a}', '{b}')" for a, many in COMPATIBLE.items() for b in many)
+
+
+@query(f"""with recursive ev as (select user_id, event_id, ts, {_CASE(0)} kind, cos(value * pi() / 50) x, sin(value * pi() / 50) y, row_number() over (partition by user_id order by ts, event_id) k from events),
+r(user_id, k, cl, cluster_id, novelty) as (
+  select distinct user_id, 0::bigint, []::struct(name bigint, sx double, sy double, n bigint, kind varchar, latest timestamp)[], null::bigint, null::double from events
+  union all
+  select user_id, k, case when b is null then list_append(cl, {{name: event_id, sx: x, sy: y, n: 1::bigint, kind: kind, latest: ts}}) else list_transform(cl, lambda c: case when c.name = b.name then {{name: c.name, sx: c.sx + x, sy: c.sy + y, n: c.n + 1, kind: c.kind, latest: greatest(c.latest, ts)}} else c end) end,
+    case when b is null then event_id else b.name end, case when b is null then 1.0::double else 1.0::double / (b.n + 1) end
+  from (select *, fit[list_position(score, list_max(score))] b from (select *, list_transform(fit, lambda c: (c.sx * x + c.sy * y) / sqrt(c.sx * c.sx + c.sy * c.sy)) score from (
+    select ev.*, r.cl, list_filter(r.cl, lambda c: ev.ts - c.latest <= interval 72 hour and (c.kind = ev.kind or (c.kind, ev.kind) in ({_FITS}) or (ev.kind, c.kind) in ({_FITS})) and (c.sx * ev.x + c.sy * ev.y) / sqrt(c.sx * c.sx + c.sy * c.sy) >= 0.85::double) fit
+    from r join ev on ev.user_id = r.user_id and ev.k = r.k + 1))))
+select ev.event_id, r.cluster_id, r.novelty from r join ev using (user_id, k)""")
+def ordered_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of an entity by time, each in the most similar open cluster: two values are similar where their angles on a
+    circle of 100 are near, so clusters form."""
+    e = table(spark, sf_dir, "events")
+    kind = F.create_map(*[F.lit(x) for a, b in TYPES.items() for x in (a, b[0])])[F.col("event_type")]
+    turn = F.col("value") * math.pi / 50
+    rows = e.select(F.col("user_id").cast("string").alias("entity"), F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("ts"), kind.alias("event_type"), F.array(F.cos(turn), F.sin(turn)).alias("vector"))
+    return clustering.assign(rows).select(F.col("seq").alias("event_id"), "cluster_id", "novelty")

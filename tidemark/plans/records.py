@@ -49,11 +49,11 @@ def list_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.size(items).cast("long").alias("parts"), F.get(items, F.lit(0)).alias("first"))
 
 
-@query("select page_id, trim(case when page_id % 3 = 0 then regexp_extract(html, '<title>([^<]*)</title>', 1) else left(html, 40) end) as text, case when page_id % 2 = 0 then regexp_extract(url, '^https?://([^/:?]+)', 1) else 'publisher' || page_id % 5 end as author from pages where trim(case when page_id % 3 = 0 then regexp_extract(html, '<title>([^<]*)</title>', 1) else left(html, 40) end) <> ''")
+@query("select page_id, trim(case when page_id % 3 = 0 then regexp_extract(html, '<title>([^<]*)</title>', 1) else html end) as text, case when page_id % 2 = 0 then regexp_extract(url, '^https?://([^/:?]+)', 1) else 'publisher' || page_id % 5 end as author from pages where trim(case when page_id % 3 = 0 then regexp_extract(html, '<title>([^<]*)</title>', 1) else html end) <> ''")
 def news_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Body before title, publisher before domain; rows without a text go."""
     k = F.col("page_id")
-    body, publisher = F.when(k % 3 != 0, F.substring("html", 1, 40)), F.when(k % 2 != 0, F.concat(F.lit("publisher"), k % 5))
+    body, publisher = F.when(k % 3 != 0, F.col("html")), F.when(k % 2 != 0, F.concat(F.lit("publisher"), k % 5))
     text = R.filled(body, F.regexp_extract("html", "<title>([^<]*)</title>", 1))
     return table(spark, sf_dir, "pages").select("page_id", text.alias("text"), R.filled(publisher, F.regexp_extract("url", "^https?://([^/:?]+)", 1)).alias("author")).filter("text is not null")
 
