@@ -52,6 +52,27 @@ def _place(centres: np.ndarray):
     return run
 
 
+def _bounds(cells: list):
+    """Each query with each cell: the inner product with its centre, and how many rows lie in cells of better centres."""
+    centres = np.array([r["c"] for r in cells]) if cells else np.zeros((0, 0))
+    cell, n, radius = (np.array([r[c] for r in cells]) for c in ("cell", "n", "radius"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows or not cells:
+                continue
+            q = batch.column("q").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            near = q @ centres.T
+            order = np.argsort(-near, axis=1, kind="stable")
+            ahead = np.cumsum(n[order], axis=1) - n[order]
+            length = np.sqrt((q * q).sum(axis=1)) * (1 + 1e-12)
+            every = pa.array(np.repeat(np.arange(batch.num_rows), len(cells)))
+            columns = [batch.column("query").take(every), pa.array(np.repeat(length, len(cells))), pa.array(cell[order].ravel().astype(np.int32)), pa.array(np.take_along_axis(near, order, axis=1).ravel()), pa.array(radius[order].ravel()), pa.array(ahead.ravel().astype(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, ["query", "length", "cell", "near", "radius", "ahead"])
+
+    return run
+
+
 def build(rows: DataFrame, id_col: str, vector: str, cells: int = CELLS, seed: int = 1) -> Index:
     """Rows without a vector are left out; all vectors have one length."""
     v = F.transform(vector, lambda x: x.cast("double"))
@@ -73,21 +94,18 @@ def _best(scored: DataFrame, k: int) -> DataFrame:
 def looked_at(index: Index, queries: DataFrame, id_col: str, vector: str, k: int) -> tuple[DataFrame, DataFrame]:
     """The pairs (query, id, score) of the first look and those of the second."""
     v = F.transform(vector, lambda x: x.cast("double"))
-    asked = queries.filter(F.col(vector).isNotNull()).select(F.col(id_col).alias("query"), v.alias("q"))
-    asked = asked.withColumn("length", F.sqrt(dot(F.col("q"), F.col("q"))) * (1 + 1e-12))
-    cells = F.broadcast(index.cells)  # CELLS rows at most
-    bounded = asked.crossJoin(cells).select("query", "q", "length", "cell", "n", "radius", dot(F.col("q"), F.col("c")).alias("near"))
-    order = Window.partitionBy("query").orderBy(F.desc("near"), "cell")  # CELLS rows at most
-    bounded = bounded.withColumn("ahead", F.sum("n").over(order) - F.col("n"))
-    bounded = stored(bounded)
+    asked = stored(queries.filter(F.col(vector).isNotNull()).select(F.col(id_col).alias("query"), v.alias("q")))
+    kind = asked.schema["query"].dataType.simpleString()
+    cells = index.cells.orderBy("cell").collect()  # CELLS rows at most
+    bounded = stored(asked.mapInArrow(_bounds(cells), f"query {kind}, length double, cell int, near double, radius double, ahead long"))
     here = index.rows.select("cell", "id", "v", "away")
     score = dot(F.col("q"), F.col("v")).alias("score")
-    first = stored(_best(bounded.filter(F.col("ahead") < k).join(here, "cell").select("query", "id", score), k).drop("rank"))
+    first = stored(_best(bounded.filter(F.col("ahead") < k).join(asked, "query").join(here, "cell").select("query", "id", score), k).drop("rank"))
     floor = first.groupBy("query").agg(F.count("*").alias("found"), F.min("score").alias("least"))
     floor = floor.select("query", F.when(F.col("found") >= k, F.col("least")).otherwise(F.lit(float("-inf"))).alias("least"))
     slack = F.lit(1e-9)  # bounds and scores are rounded
     rest = bounded.filter(F.col("ahead") >= k).join(floor, "query").filter(F.col("near") + F.col("length") * F.col("radius") + slack >= F.col("least"))
-    second = rest.join(here, "cell").filter(F.col("near") + F.col("length") * F.col("away") + slack >= F.col("least")).select("query", "id", score)
+    second = rest.join(asked, "query").join(here, "cell").filter(F.col("near") + F.col("length") * F.col("away") + slack >= F.col("least")).select("query", "id", score)
     return first, second
 
 
