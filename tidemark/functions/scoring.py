@@ -49,3 +49,21 @@ def impact(materiality: Column, raw: Column) -> Column:
 
 def tier(score: Column) -> Column:
     return F.when(score >= 8.5, "Critical").when(score >= 7.0, "High").when(score >= 5.0, "Moderate").when(score >= 3.0, "Low").otherwise("Minimal")
+
+
+def explanation(score: Column, tier_: Column, materiality: Column, event_type: Column, base: Column, confidence: Column, credibility: Column, novelty: Column, sentiment: Column, market: Column) -> Column:
+    """Why a score is what it is, in sentences; numbers are rounded half up. The sentences are fixed values."""
+    two = lambda c: F.format_string("%.2f", c.cast("double"))
+    signed = lambda c: F.format_string("%+.2f", c.cast("double"))
+    one = lambda c: F.format_string("%.1f", c.cast("double"))
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    sure = F.when(confidence >= 0.85, "high").when(confidence >= 0.60, "moderate").otherwise("weak")
+    trusted = F.when(credibility >= 0.90, "strong").when(credibility >= 0.60, "moderate").otherwise("unverified")
+    first = text(tier_, " Impact (", one(score), "/10) because this is a material ", event_type, " (base severity: ", two(base), ") with ", sure, " event confidence (", two(confidence), ") and ", trusted, " source credibility (", two(credibility), ").")
+    mood = F.when(sentiment <= -0.4, text("Downside risk amplified by negative sentiment (", signed(sentiment), ").")).when(sentiment >= 0.4, text("Positive sentiment (", signed(sentiment), "); impact driven by structural transaction/event size."))
+    mood = mood.otherwise(text("Sentiment is neutral (", signed(sentiment), "); impact driven primarily by event severity."))
+    stale = F.when(novelty < 0.70, text("Dampened by lower novelty (", two(novelty), ") due to repeated/clustered coverage."))
+    moved = F.when(market > 1.05, text("Confirmed by elevated market reaction and volatility (market modifier: ", two(market), ").")).when(market < 0.95, "Dampened by muted price/volume reaction.")
+    gated = text("Gated: Classified as non-material financial content; score constrained to 1.0–2.0 (impact: ", one(score), "). Event category '", event_type, "' (base severity: ", two(base), ", confidence: ", two(confidence), ") does not meet corporate materiality thresholds.")
+    kind = F.upper(F.trim(materiality))
+    return F.when(kind == "NO_EVENT", "Gated: Classified as NO_EVENT. Minimal financial significance (impact: 1.0).").when(kind == "NON_MATERIAL_FINANCIAL_CONTENT", gated).otherwise(F.concat_ws(" ", first, mood, stale, moved))

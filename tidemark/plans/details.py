@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import lexicon as X
+from tidemark.functions import scoring
 from tidemark.operators import clustering, evaluate, portfolio, promotion, rules
 from tidemark.operators import records as R
 from tidemark.sources import store
@@ -107,3 +108,20 @@ def share_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = o.groupBy(F.col("o_orderstatus").alias("status")).agg(F.count("*").alias("n"))
     whole = o.agg(F.count("*").alias("whole"))
     return n.join(F.broadcast(whole)).select("status", "n", R.percent_text(F.col("n"), F.col("whole")).alias("share"), R.percent_text(F.col("n"), F.lit(0)).alias("of_nothing"))  # one row
+
+
+_HALF = lambda c, n: f"printf('%.{n}f', round(cast(({c})::varchar as decimal(38,17)), {n})::double)"
+_SIGN = "case when sentiment < 0 then '-' else '+' end || " + _HALF("abs(sentiment)", 2)
+
+
+@query(f"""with {SCORED_SQL} select event_id, case materiality when 'NO_EVENT' then 'Gated: Classified as NO_EVENT. Minimal financial significance (impact: 1.0).'
+ when 'NON_MATERIAL_FINANCIAL_CONTENT' then 'Gated: Classified as non-material financial content; score constrained to 1.0–2.0 (impact: ' || {_HALF('impact', 1)} || '). Event category ' || chr(39) || kind || chr(39) || ' (base severity: ' || {_HALF('sev', 2)} || ', confidence: ' || {_HALF('confidence', 2)} || ') does not meet corporate materiality thresholds.'
+ else concat_ws(' ', tier || ' Impact (' || {_HALF('impact', 1)} || '/10) because this is a material ' || kind || ' (base severity: ' || {_HALF('sev', 2)} || ') with ' || case when confidence >= 0.85 then 'high' when confidence >= 0.6 then 'moderate' else 'weak' end || ' event confidence (' || {_HALF('confidence', 2)} || ') and ' || case when credibility >= 0.9 then 'strong' when credibility >= 0.6 then 'moderate' else 'unverified' end || ' source credibility (' || {_HALF('credibility', 2)} || ').',
+   case when sentiment <= -0.4 then 'Downside risk amplified by negative sentiment (' || {_SIGN} || ').' when sentiment >= 0.4 then 'Positive sentiment (' || {_SIGN} || '); impact driven by structural transaction/event size.' else 'Sentiment is neutral (' || {_SIGN} || '); impact driven primarily by event severity.' end,
+   case when novelty < 0.7 then 'Dampened by lower novelty (' || {_HALF('novelty', 2)} || ') due to repeated/clustered coverage.' end,
+   case when mm > 1.05 then 'Confirmed by elevated market reaction and volatility (market modifier: ' || {_HALF('mm', 2)} || ').' when mm < 0.95 then 'Dampened by muted price/volume reaction.' end) end explanation from tiered""")
+def impact_explanations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each score with its reasons."""
+    s, c = scored(spark, sf_dir), F.col
+    why = scoring.explanation(c("impact"), c("tier"), c("materiality"), c("kind"), scoring.severity(c("kind")), c("confidence"), c("credibility"), c("novelty"), c("sentiment"), c("market_modifier"))
+    return s.select("event_id", why.alias("explanation"))
