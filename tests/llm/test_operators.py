@@ -9,6 +9,7 @@ import time
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -88,6 +89,52 @@ def test_joins_are_repaired_at_any_cut(text):
     assert b"".join(bpe.chunks(text.encode())) == text.encode()
 
 
+class Asked:
+    """A tokenizer that notes the texts it is given."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.texts = tokenizer, []
+
+    def encode_batch_fast(self, texts, **more):
+        self.texts += texts
+        return self.tokenizer.encode_batch_fast(texts, **more)
+
+
+def test_bpe_gives_new_words_to_the_library_together():
+    c = bpe.Codec(vocabulary())
+    plain_ids = lambda x: c.tokenizer.encode(x, add_special_tokens=False).ids
+    asked = Asked(c.tokenizer)
+    odd = ["\x1cfoo\t bar", "one", "one\n\n two \n", "a\u3000 b\x85", " <|endoftext|> <|endof text|>x", " \n 日本 é\u0301 's'll 12!--", "", "x " * 50]
+    texts = [*(" ".join(f"w{k}x{j}" for j in range(200)) for k in range(20)), *odd]
+    expected = [plain_ids(t) for t in texts]
+    c.tokenizer = asked
+    assert [np.frombuffer(x, c.dtype).tolist() for x in c.encode(texts)] == expected
+    assert len(asked.texts) < 60  # 4,000 words
+
+
+def test_bpe_keeps_words_in_use_when_its_cache_is_full(monkeypatch):
+    monkeypatch.setattr(bpe, "CACHED", 500, raising=False)
+    c = bpe.Codec(vocabulary())
+    c.tokenizer = asked = Asked(c.tokenizer)
+    for k in range(40):
+        c.encode([" often" + "".join(f" v{k}y{j}" for j in range(200))])
+        assert len(c.known) + len(c.before) < 2 * 700
+    assert sum(t.count(" often") for t in asked.texts) == 1
+
+
+def test_bpe_cuts_texts_for_chunks_by_one_job_only(docs):
+    """What follows reads the pieces from a table; one pass is left, over the texts without shared chunks."""
+    plan = bpe.encode(docs, vocabulary())._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("InMemoryRelation") == 1
+
+
+def test_bpe_decimals_and_bytes_of_all_ids():
+    c = bpe.Codec(vocabulary())
+    ids = np.array([*range(len(c.bytes))] * 3, c.dtype)  # more than one slab
+    assert c.decimals(ids.tobytes()) == ",".join(map(str, ids.tolist())).encode() and c.decimals(b"") == b""
+    assert c.decode_bytes(ids.tobytes()) == b"".join(c.bytes) * 3 and c.decode_bytes(b"") == b""
+
+
 def test_lengths(docs, empty):
     c = bpe.codec(vocabulary())
     n = sorted(len(x) // 2 for x in c.encode([t or "" for _, t in rows_of(docs)]))

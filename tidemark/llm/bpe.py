@@ -28,13 +28,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bitmap, in_bitmap, mixed, small_batches, text_key, utf8
+from .common import bitmap, in_bitmap, mixed, small_batches, text_key, utf8, written
 
-AVERAGE, LEAST, WIDTH, SLAB = 1024, 256, 32, 1 << 20
+AVERAGE, LEAST, WIDTH, SLAB = 1024, 256, 32, 1 << 20  # AVERAGE is a power of two
+#: Words of one generation of the cache, of two; some 200 bytes each.
+CACHED = 200_000
 _UNIT = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 _ODD = re.compile(r"[^\S \n]")
-#: Between a printable ASCII character and a space or line feed the pre-tokenizer always cuts.
-_SAFE = re.compile(rb"(?<=[!-~])[ \n]")
 
 
 def _byte_letters() -> dict[str, int]:
@@ -63,9 +63,15 @@ class Codec:
             self.bytes[i] = special[i].content.encode() if i in special else bytes(letters[c] for c in token)
         self.length = np.array([len(b) for b in self.bytes], np.int64)
         self.dtype = np.dtype("<u2" if len(self.bytes) <= 1 << 16 else "<u4")
-        self.numbers = [str(i) for i in range(len(self.bytes))]
+        self._flat = np.frombuffer(b"".join(self.bytes), np.uint8)
+        self._start = np.cumsum(self.length) - self.length
+        self._decimal = np.array([f"{i}," for i in range(len(self.bytes))], "S")
+        #: Between a printable ASCII character and a space or line feed the pre-tokenizer always cuts.
+        self._ends_printable = np.array([b"!" <= b[-1:] <= b"~" for b in self.bytes])
+        self._starts_blank = np.array([b[:1] in (b" ", b"\n") for b in self.bytes])
         self.by_word = not any(re.search(r"\s", t.content) or t.lstrip or t.rstrip for t in special.values())
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
 
     def units(self, text: str) -> list[str]:
         """Pieces that are encoded independently: white space with the word that follows it."""
@@ -84,47 +90,73 @@ class Codec:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The packed ids of each text."""
-        out, known = [], self.known
+        out = []
         for at in range(0, len(texts), 64):
             split = [self.units(t) for t in texts[at : at + 64]]
-            if len(known) > 300_000:
-                known.clear()
-            new = list({u for units in split for u in units if u not in known})
-            for k in range(0, len(new), 4096):
-                part = new[k : k + 4096]
-                for u, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                    known[u] = np.array(e.ids, self.dtype).tobytes()
-            out += [b"".join([known[u] for u in units]) for units in split]
+            if len(self.known) > CACHED:  # words still in use come back from the generation before
+                self.known, self.before = {}, self.known
+            known = self.known
+            self._learn(set().union(*split).difference(known))
+            out += [b"".join(map(known.__getitem__, units)) for units in split]
         return out
 
+    def _learn(self, new: set[str]) -> None:
+        """Units between two of which the pre-tokenizer surely cuts are given to the library as one text."""
+        known, before, one, together = self.known, self.before, [], []
+        for u in new:
+            if u in before:
+                known[u] = before[u]
+            elif self.by_word and u[0] in " \n" and not u[-1].isspace():
+                together.append(u)
+            else:
+                one.append(u)
+        for k in range(0, len(together), 4096):
+            part = together[k : k + 4096]
+            ids = self._ids(["".join(part)])[0]
+            ends = np.cumsum(self.length[ids])
+            places = np.cumsum([len(u) if u.isascii() else len(u.encode()) for u in part])
+            stops = np.searchsorted(ends, places) + 1
+            if stops[-1] != len(ids) or (ends[stops - 1] != places).any():  # a token reaches over two units
+                one += part
+                continue
+            packed, size, last = ids.tobytes(), self.dtype.itemsize, 0
+            for u, stop in zip(part, (stops * size).tolist(), strict=True):
+                known[u] = packed[last:stop]
+                last = stop
+        for k in range(0, len(one), 4096):
+            part = one[k : k + 4096]
+            known.update(zip(part, [ids.tobytes() for ids in self._ids(part)], strict=True))
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, self.dtype) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
     def decode_bytes(self, ids: bytes) -> bytes:
-        table = self.bytes
-        return b"".join([table[i] for i in np.frombuffer(ids, self.dtype).tolist()])
+        every, out = np.frombuffer(ids, self.dtype), []
+        for at in range(0, len(every), SLAB >> 4):
+            part = every[at : at + (SLAB >> 4)]
+            n = self.length[part]
+            ends = np.cumsum(n)
+            out.append(self._flat[np.repeat(self._start[part] - ends + n, n) + np.arange(ends[-1])].tobytes())
+        return b"".join(out)
+
+    def decimals(self, ids: bytes) -> bytes:
+        """The ids in decimal, joined by commas."""
+        return self._decimal[np.frombuffer(ids, self.dtype)].tobytes().translate(None, b"\0")[:-1]
 
     def repair(self, parts: list[bytes]) -> bytes:
         """The ids of the whole text from those of its chunks."""
         if len(parts) < 2:
             return b"".join(parts)
         ids = np.frombuffer(b"".join(parts), self.dtype)
-        ends = np.cumsum(self.length[ids])  # byte place behind each token
-        text = self.decode_bytes(ids.tobytes())
-        joins = ends[np.cumsum([len(p) // self.dtype.itemsize for p in parts[:-1]]) - 1].tolist()
-        safe = [0, *[m.start() for m in _SAFE.finditer(text)], len(text)]
-        safe_at = np.array(safe)
-        edges = np.concatenate(([0], ends))
+        joins = np.cumsum([len(p) // self.dtype.itemsize for p in parts[:-1]])
+        # Places that are ends of tokens too; stretches between them are equal or apart
+        safe = np.concatenate(([0], np.flatnonzero(self._ends_printable[ids[:-1]] & self._starts_blank[ids[1:]]) + 1, [len(ids)]))
+        lo, hi = safe[np.searchsorted(safe, joins, "right") - 1].tolist(), safe[np.searchsorted(safe, joins, "left")].tolist()
+        stretches = sorted({(a, b) for a, b in zip(lo, hi, strict=True) if a < b})
+        again = self.encode([self.decode_bytes(ids[a:b].tobytes()).decode() for a, b in stretches])
         out, done = [], 0
-        for join in joins:
-            lo, hi = int(np.searchsorted(safe_at, join, "right")) - 1, int(np.searchsorted(safe_at, join, "left"))
-            while True:  # both ends must be ends of tokens too
-                a, b = (int(np.searchsorted(edges, safe_at[x])) for x in (lo, hi))
-                if edges[a] == safe_at[lo] and edges[b] == safe_at[hi]:
-                    break
-                lo, hi = max(lo - (edges[a] != safe_at[lo]), 0), min(hi + (edges[b] != safe_at[hi]), len(safe) - 1)
-            if lo == hi or b <= done:
-                continue
-            a = max(a, done)
-            out.append(ids[done:a].tobytes())
-            out.append(self.encode([text[edges[a] : edges[b]].decode()])[0])
+        for (a, b), new in zip(stretches, again, strict=True):
+            out += [ids[done:a].tobytes(), new]
             done = b
         return b"".join([*out, ids[done:].tobytes()])
 
@@ -160,7 +192,7 @@ def chunks(text: bytes) -> list[bytes]:
         np.cumsum(part * down[: len(part)], out=sums[1:])
         n = len(part) - WIDTH + 1
         h = (sums[WIDTH:] - sums[:n]) * up[:n]
-        places.append(np.flatnonzero((h >> np.uint64(40)) % np.uint64(AVERAGE) == 0) + at + WIDTH)
+        places.append(np.flatnonzero(h & np.uint64((AVERAGE - 1) << 40) == 0) + at + WIDTH)
     out, last = [], 0
     for p in np.concatenate(places).tolist():
         while p < len(text) and text[p] & 0xC0 == 0x80:  # not inside a character
@@ -200,19 +232,21 @@ def _alone(path: str, shared):
         for batch in batches:
             texts = utf8(batch.column("text"))
             keep = [k for k, t in enumerate(texts) if not any(_shared_in(t, shared.value)[2])]
-            rows = batch.take(pa.array(keep, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*[rows.column(n) for n in ("id", "ka", "kb")], pa.array(c.encode([texts[k].decode() for k in keep]), pa.binary())], ["id", "ka", "kb", "ids"])
+            rows = batch.select(["id", "ka", "kb"]).take(pa.array(keep, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(c.encode([texts[k].decode() for k in keep]), pa.binary())], ["id", "ka", "kb", "ids"])
 
     return run
 
 
 def _pieces(path: str, shared):
-    """The chunks of the other texts: a key for a shared one, the ids of what lies between."""
+    """The chunks of the other texts: a key for a shared one, with its text where the task meets it first, and the
+    ids of what lies between."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
+        seen: set[bytes] = set()
         for batch in batches:
-            row, seq, key, own = [], [], [], []
+            row, seq, key, own, chunk = [], [], [], [], []
             for k, text in enumerate(utf8(batch.column("text"))):
                 pieces, keys, hits = _shared_in(text, shared.value)
                 if not any(hits):
@@ -225,32 +259,21 @@ def _pieces(path: str, shared):
                     seq.append(s)
                     key.append(name if hit else None)
                     own.append(None if hit else piece)
+                    chunk.append(piece.decode() if hit and name not in seen else None)
+                    if hit:
+                        seen.add(name)
+            if len(seen) > 500_000:
+                seen.clear()
             literal = iter(c.encode([x.decode() for x in own if x is not None]))
-            rows = batch.take(pa.array(row, pa.int64()))
+            rows = batch.select(["id", "ka", "kb"]).take(pa.array(row, pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [*[rows.column(n) for n in ("id", "ka", "kb")], pa.array(seq, pa.int32()), pa.array(key, pa.binary()), pa.array([None if x is None else next(literal) for x in own], pa.binary())],
-                ["id", "ka", "kb", "seq", "key", "own"],
+                [*rows.columns, pa.array(seq, pa.int32()), pa.array(key, pa.binary()), pa.array([None if x is None else next(literal) for x in own], pa.binary()), pa.array(chunk, pa.string())],
+                ["id", "ka", "kb", "seq", "key", "own", "chunk"],
             )
 
     return run
 
 
-def _shared_texts(shared):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[bytes] = set()
-        for batch in batches:
-            found = {}
-            for text in utf8(batch.column("text")):
-                pieces, keys, hits = _shared_in(text, shared.value)
-                found |= {k: p for k, p, hit in zip(keys, pieces, hits, strict=True) if hit and k not in seen}
-            seen |= found.keys()
-            if len(seen) > 500_000:
-                seen.clear()
-            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array([x.decode() for x in found.values()], pa.string())], ["key", "chunk"])
-
-    return run
-
-
 def _encoded(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -310,10 +333,10 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     shared = bitmap(counts.filter("n > 1"), "h")
     base = f"id {kind}, ka bigint, kb bigint"
     alone = rows.mapInArrow(_alone(path, shared), f"{base}, ids binary")
-    once = rows.select("text").mapInArrow(_shared_texts(shared), "key binary, chunk string").groupBy("key").agg(F.first("chunk").alias("chunk"))
-    once = once.mapInArrow(_encoded(path), "key binary, ids binary")
-    pieces = rows.mapInArrow(_pieces(path, shared), f"{base}, seq int, key binary, own binary")
-    full = pieces.join(once, "key", "left").select("id", "ka", "kb", "seq", F.coalesce("own", "ids").alias("ids"))
+    pieces = written(rows.mapInArrow(_pieces(path, shared), f"{base}, seq int, key binary, own binary, chunk string"), "pieces", "zstd")
+    between = pieces.filter("key is null").select("id", "ka", "kb", "seq", F.col("own").alias("ids"))
+    once = pieces.filter("chunk is not null").groupBy("key").agg(F.first("chunk").alias("chunk")).mapInArrow(_encoded(path), "key binary, ids binary")
+    full = between.unionByName(pieces.filter("key is not null").select("id", "ka", "kb", "seq", "key").join(once, "key").drop("key"))
     put = full.repartition("id", "ka", "kb").sortWithinPartitions("id", "ka", "kb", "seq").mapInArrow(_joined(path), f"{base}, ids binary")
     return alone.unionByName(put)
 
@@ -340,9 +363,8 @@ def _digests(path: str):
         for batch in batches:
             n, of_ids, of_text = [], [], []
             for packed in batch.column("ids").to_pylist():
-                ids = np.frombuffer(packed, c.dtype).tolist()
-                n.append(len(ids))
-                of_ids.append(hashlib.sha256(",".join([c.numbers[i] for i in ids]).encode()).hexdigest())
+                n.append(len(packed) // c.dtype.itemsize)
+                of_ids.append(hashlib.sha256(c.decimals(packed)).hexdigest())
                 of_text.append(hashlib.sha256(c.decode_bytes(packed).decode("utf-8", "replace").encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
