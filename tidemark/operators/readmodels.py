@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .portfolio import DIMENSIONS, attribution
 
@@ -20,8 +21,34 @@ def cents(c: Column) -> Column:
 
 
 def pct(part: Column, whole: Column, places: int = 4) -> Column:
-    """A share in percent, 0 where there is nothing to share."""
-    return F.coalesce(F.round(F.try_divide(part.cast("double") * 100, whole.cast("double")), places), F.lit(0.0))
+    """A share in percent, 0 where there is nothing to share.  Rounded as doubles are in SQL: scaled, to a whole number,
+    scaled back; what rounds to zero keeps its sign."""
+    share = F.try_divide(part.cast("double") * 100, whole.cast("double"))
+    whole_number = F.round(share * 10.0**places, 0)
+    return F.coalesce(F.when(whole_number == 0, share * 0.0).otherwise(whole_number / 10.0**places), F.lit(0.0))
+
+
+def _plain(c: Column, kind: T.DataType, names: set[str], name: str = "") -> Column:
+    """The same value with its doubles (of at most four decimal places) as text without an exponent; their names are noted."""
+    if isinstance(kind, T.StructType):
+        return F.when(c.isNotNull(), F.struct(*[_plain(c[f.name], f.dataType, names, f.name).alias(f.name) for f in kind]))
+    if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StructType):
+        return F.transform(c, lambda e: _plain(e, kind.elementType, names))
+    if not isinstance(kind, T.DoubleType):
+        return c
+    names.add(name)
+    digits = F.regexp_replace(c.try_cast("decimal(38,4)").cast("string"), "0{1,3}$", "")
+    return F.when(c == 0, c.cast("string")).otherwise(F.coalesce(digits, c.cast("string")))
+
+
+def payload(rows: DataFrame, columns: list[str] | None = None) -> Column:
+    """The columns as JSON with plain numbers: to_json writes 3.0E-4 where SQL has 0.0003.
+
+    Such numbers go in as text and lose their quotes again.  Quotes inside of strings are escaped, so a name that stands
+    in quotes behind a brace or comma is a field's."""
+    names: set[str] = set()
+    c = F.struct(*[_plain(F.col(f.name), f.dataType, names, f.name).alias(f.name) for f in rows.schema if columns is None or f.name in columns])
+    return F.regexp_replace(F.to_json(c), f'([{{,]"(?:{"|".join(sorted(names))})":)"(-?[0-9][0-9.E]*)"', "$1$2") if names else F.to_json(c)
 
 
 def _listed(rows: DataFrame, by: list[str], fields: list[Column], order: list[Column], name: str) -> DataFrame:

@@ -179,7 +179,8 @@ top as (select * from ob order by ead desc, obligor limit 5), fl as (select 'sec
 select to_json({{'total_ead': {_C('(select w from whole)')}, 'base_el': {_C('(select sum(ead * pd * lgd) from exposures)')}, 'exposure_count': (select count(*) from exposures), 'obligor_count': (select count(*) from ob),
  {", ".join(f"'{d}_distribution': {_ONE_SLICE(d)}" for d in P.DIMENSIONS)}, 'top_obligors': (select list({{'obligor': obligor, 'ead': {_C('ead')}, 'pct': {_PCT('ead', 'w')}}} order by ead desc, obligor) from top, whole), 'flags': coalesce((select list(f order by f) from fl), [])}})::varchar as payload""")
 def portfolio_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.portfolio_overview(exposures(spark, sf_dir)).select(F.to_json(F.struct("*")).alias("payload"))
+    one = M.portfolio_overview(exposures(spark, sf_dir))
+    return one.select(M.payload(one).alias("payload"))
 
 
 _OVERVIEW_SQL = f"""whole as (select sum(ead) w from exposures), ag as (select event_id, count(*) n, sum(ead) ead, sum(base_el) base, sum(base_el + incremental_el) stress, sum(mtm_impact) mtm from stress group by event_id),
