@@ -199,7 +199,8 @@ def _overviews(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(STRESS_SQL + f", {_OVERVIEW_SQL} select event_id, to_json({{{_OV('ov')}, 'top_exposures': top}})::varchar payload from ov")
 def event_overviews(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _overviews(spark, sf_dir).select("event_id", F.to_json(F.struct("*")).alias("payload"))
+    rows = _overviews(spark, sf_dir)
+    return rows.select("event_id", M.payload(rows).alias("payload"))
 
 
 @query(STRESS_SQL + f""", {_OVERVIEW_SQL}, pr(place, event_a, event_b) as (values {_PAIRS}),
