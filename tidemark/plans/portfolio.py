@@ -211,4 +211,4 @@ select place, to_json({{'scenario_a': {{{_OV('a')}}}, 'scenario_b': {{{_OV('b')}
 def scenario_comparisons(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = spark.createDataFrame([(k, *p) for k, p in enumerate(PAIRS)], "place int, event_a string, event_b string")
     out = M.scenario_comparisons(_overviews(spark, sf_dir), _dims(spark, sf_dir), pairs)
-    return out.select("place", F.to_json(F.struct("scenario_a", "scenario_b", "deltas", "attribution_differences")).alias("payload"))
+    return out.select("place", M.payload(out, ["scenario_a", "scenario_b", "deltas", "attribution_differences"]).alias("payload"))
