@@ -59,8 +59,32 @@ def timestamp(text: Column) -> Column:
     return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in formats])
 
 
+def _fixed(x: Column, places: int) -> Column:
+    """A double >= 0 with commas and so many decimal places, rounded by its exact binary value, half to even, as C does.
+
+    format_string rounds the shortest decimal that stands for the double, half up: 318.325 becomes 318.33 though the
+    double lies below it.  Here the fraction is counted in units of 2^-62, which is exact from 2^-10 on, and less than that
+    rounds to 0; from 2^53 on there is no fraction."""
+    scale, whole_number = 10**places, lambda c: c.cast("decimal(19,0)")
+    small = F.when(x < 2.0**53, x).otherwise(0.0)
+    whole = F.floor(small)
+    part = small - whole
+    k = F.floor(part * scale)  # at most one too large, and then the part lies below its middle
+    twice = whole_number((part * 2.0**62).cast("long")) * F.lit(2 * scale).cast("decimal(4,0)")
+    middle = whole_number(2 * k + 1) * whole_number(F.lit(2**62))
+    digits = k + ((twice > middle) | ((twice == middle) & (k % 2 == 1))).cast("long")
+    full = digits == scale
+    text = F.format_string(f"%,d.%0{places}d", whole + full.cast("long"), F.when(full, 0).otherwise(digits))
+    large = F.when(x.between(2.0**53, 1e37), x).otherwise(0.0)
+    high = F.floor(large / 2.0**62)
+    exact = whole_number(high) * whole_number(F.lit(2**62)) + whole_number((large - high * 2.0**62).cast("long"))
+    beyond = F.when(F.isnan(x), "nan").when(x == float("inf"), "inf").otherwise(F.format_string(f"%,.{places}f", x))
+    return F.when(x < 2.0**53, text).when(x <= 1e37, F.concat(F.format_number(exact, 0), F.lit("." + "0" * places))).when(x.isNotNull(), beyond)
+
+
 def money(x: Column) -> Column:
     """$2.295M and the like; the sign stands first."""
     size = F.abs(x).cast("double")
-    form = F.when(size >= 1e9, F.format_string("$%,.3fB", size / 1e9)).when(size >= 1e6, F.format_string("$%,.3fM", size / 1e6)).when(size >= 1e3, F.format_string("$%,.3fK", size / 1e3)).otherwise(F.format_string("$%,.2f", size))
+    short = lambda c, places, unit: F.concat(F.lit("$"), _fixed(c, places), F.lit(unit))
+    form = F.when(size >= 1e9, short(size / 1e9, 3, "B")).when(size >= 1e6, short(size / 1e6, 3, "M")).when(size >= 1e3, short(size / 1e3, 3, "K")).otherwise(short(size, 2, ""))
     return F.concat(F.when(x < 0, "-").otherwise(""), form)
