@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,8 +14,11 @@ from tidemark.sources.scratch import stored
 
 
 def any_substring(text: Column, words: list[str]) -> Column:
-    """Substring hits, as the filter means it: "sec" also hits "second"."""
-    return text.rlike("|".join(f"\\Q{w}\\E" for w in words))
+    """Substring hits, as the filter means it: "sec" also hits "second".
+
+    A search for each word costs a third of an alternation, which is tried at every place; ``exists`` binds the text, so
+    that what it is made from is computed once and not for each word."""
+    return F.exists(F.array(text), lambda t: reduce(or_, [F.contains(t, F.lit(w)) for w in words], F.lit(False)))
 
 
 def domain_signal(domain: Column, publisher: Column | None = None, trusted: list[str] = DOMAINS) -> Column:
@@ -51,9 +57,10 @@ def candidate_filter(docs: DataFrame, signals: dict[str, Column], score: Column
 
     With a ``score``, rows without a reason are kept as SEMANTIC from the threshold on; others are not asked for it."""
     reasons = F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(name)) for name, c in signals.items()]))
+    rows = docs.withColumn("reasons", reasons)  # by name from here on: the signals are evaluated once
     if score is not None:
-        reasons = F.when((F.size(reasons) == 0) & (score >= threshold), F.array(F.lit("SEMANTIC"))).otherwise(reasons)
-    return docs.withColumn("reasons", reasons).withColumn("kept", F.size("reasons") > 0)
+        rows = rows.withColumn("reasons", F.when((F.size("reasons") == 0) & (score >= threshold), F.array(F.lit("SEMANTIC"))).otherwise(F.col("reasons")))
+    return rows.withColumn("kept", F.size("reasons") > 0)
 
 
 def first_seen(docs: DataFrame, keys: list[Column], seq: str) -> DataFrame:
@@ -113,6 +120,12 @@ def alias_scan(docs: DataFrame, id_col: str, text: Column, aliases: DataFrame, l
     return hits.groupBy(id_col).agg(F.array_join(F.array_sort(F.collect_set("entity_id")), ",").alias("entities"))
 
 
+def names_any(text: Column, aliases: list[str]) -> Column:
+    """Whether one of a few aliases is contained in the text as whole words: what ``alias_scan`` finds, without its
+    n-grams, which take a row for every word and more memory than the text."""
+    return any_substring(F.concat(F.lit(" "), text, F.lit(" ")), [f" {a} " for a in aliases])
+
+
 def row_identity(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """One row: ids missing on the right, extra there, and duplicate ids on either side."""
     a, b = left.groupBy(key).agg(F.count("*").alias("na")), right.groupBy(key).agg(F.count("*").alias("nb"))

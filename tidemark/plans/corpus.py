@@ -128,11 +128,8 @@ def funnel_with_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entities contained in the text, source and keywords; the score decides only about rows without any of them."""
     d = table(spark, sf_dir, "documents")
     text = F.lower(F.coalesce(F.col("text"), F.lit("")))
-    aliases = spark.createDataFrame(list(KNOWN.items()), "alias string, entity_id string")
-    found = ingest.alias_scan(d, "doc_id", text, F.broadcast(aliases), longest=3)
-    rows = d.join(found, "doc_id", "left")
-    signals = {"ENTITY": F.col("entities").isNotNull(), "DOMAIN": F.col("source").isin("src0", "src1"), "KEYWORD": ingest.any_substring(text, [*X.KEYWORDS, *OWN])}
-    kept = ingest.candidate_filter(rows, signals, (F.col("doc_id") % 100).cast("double") / 100.0)
+    signals = {"ENTITY": ingest.names_any(text, list(KNOWN)), "DOMAIN": F.col("source").isin("src0", "src1"), "KEYWORD": ingest.any_substring(text, [*X.KEYWORDS, *OWN])}
+    kept = ingest.candidate_filter(d, signals, (F.col("doc_id") % 100).cast("double") / 100.0)
     return kept.select("doc_id", F.array_join("reasons", " + ").alias("reasons"), "kept")
 
 
