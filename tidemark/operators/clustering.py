@@ -55,24 +55,34 @@ def canonical_records(rows: DataFrame, keys: list[str], seq: str, columns: dict[
     )
 
 
-def compatible(a: str, b: str) -> bool:
-    return a == b or b in COMPATIBLE.get(a, ()) or a in COMPATIBLE.get(b, ())
+def compatible(a: str | None, b: str | None) -> bool:
+    """Rows without a type go with none."""
+    return a is not None and (a == b or b in COMPATIBLE.get(a, ()) or a in COMPATIBLE.get(b, ()))
+
+
+def _sum(a: np.ndarray) -> np.ndarray:
+    """The sum of each row, from left to right."""
+    return np.add.accumulate(a, axis=1)[:, -1] if a.shape[1] else np.zeros(len(a))
 
 
 class OpenClusters:
-    """The clusters of one entity that a later row can still join, oldest first. Times are microseconds."""
+    """The clusters of one entity that a later row can still join, oldest first. Times are microseconds.
+
+    ``unit``: the vectors have length one as they come and are not scaled again, since that moves last digits, which decide
+    between clusters that are equally near.  Products are summed one after another for the same reason."""
 
-    def __init__(self, least: float, hours: float, rows: list[dict] | None = None):
-        self.least, self.span, self.rows, self._touched = least, int(hours * 3_600_000_000), rows or [], {}
+    def __init__(self, least: float, hours: float, rows: list[dict] | None = None, unit: bool = False):
+        self.least, self.span, self.rows, self.unit, self._touched = least, int(hours * 3_600_000_000), rows or [], unit, {}
 
     def add(self, seq: int, us: int, kind: str, vector: np.ndarray) -> tuple[int, float]:
         """(cluster_id, novelty) of the next row to come. Its time may lie before that of rows that came earlier."""
-        v = vector / (np.linalg.norm(vector) or 1.0)
+        v = vector if self.unit else vector / (np.linalg.norm(vector) or 1.0)
         fit = [c for c in self.rows if abs(us - c["latest"]) <= self.span and len(c["sum"]) == len(v) and compatible(c["kind"], kind)]
         if fit:
             sums = np.stack([c["sum"] for c in fit])
-            length = np.linalg.norm(sums, axis=1)
-            cosine = sums @ v / np.where(length > 0, length, 1.0)
+            length = np.sqrt(_sum(sums * sums))
+            cosine = _sum(sums * v) / np.where(length > 0, length, 1.0)
+            cosine[np.isnan(cosine)] = -np.inf  # a vector with a missing number is near to none
             k = int(np.argmax(cosine))  # the oldest of equals
             if cosine[k] >= self.least:
                 c = fit[k]
@@ -91,7 +101,7 @@ class OpenClusters:
         return list(self._touched.values())
 
 
-def _assign(least: float, hours: float):
+def _assign(least: float, hours: float, unit: bool):
     """Sorted rows of many groups pass by; only the open clusters of the present one are held."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -100,7 +110,7 @@ def _assign(least: float, hours: float):
             out = []
             for entity, part, seq, ts, kind, vector in zip(frame["entity"], frame["part"], frame["seq"], frame["ts"].to_numpy("datetime64[us]").astype(np.int64).tolist(), frame["event_type"], frame["vector"], strict=True):
                 if state is None or (entity, part) != present:
-                    present, state = (entity, part), OpenClusters(least, hours)
+                    present, state = (entity, part), OpenClusters(least, hours, unit=unit)
                 state.forget(ts)  # rows come by time
                 out.append(state.add(seq, ts, kind, np.asarray(vector, float)))
             yield pd.DataFrame({"entity": frame["entity"], "seq": frame["seq"], "cluster_id": [c for c, _ in out], "novelty": [n for _, n in out]})
@@ -108,15 +118,16 @@ def _assign(least: float, hours: float):
     return run
 
 
-def assign(rows: DataFrame, least: float = 0.85, hours: float = HOURS) -> DataFrame:
+def assign(rows: DataFrame, least: float = 0.85, hours: float = HOURS, unit: bool = False) -> DataFrame:
     """rows: entity, seq, ts, event_type, vector.  Each row joins the most similar open cluster of its entity, or opens one.
 
     Rows come in the order of ts, then seq (null entities are one entity; ts is never null).  No cluster outlives a gap
     above ``hours``, so an entity is cut at its gaps and the pieces run apart; a task streams its sorted rows and holds
-    the clusters of one window.  cluster_id is the seq of the cluster's first row."""
+    the clusters of one window.  cluster_id is the seq of the cluster's first row.
+    ``unit``: the vectors have length one and are taken as they are."""
     cut = sessions(rows.select("entity", "seq", "ts", "event_type", "vector"), ["entity"], "ts", "seq", hours).withColumnRenamed("cluster", "part")
     ordered = cut.repartition("entity", "part").sortWithinPartitions("entity", "part", "ts", "seq").select("entity", "part", "seq", "ts", "event_type", "vector")
-    return ordered.mapInPandas(_assign(least, hours), "entity string, seq long, cluster_id long, novelty double")
+    return ordered.mapInPandas(_assign(least, hours, unit), "entity string, seq long, cluster_id long, novelty double")
 
 
 def nearest(rows: DataFrame, hours: float = HOURS) -> DataFrame:

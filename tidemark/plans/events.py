@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -145,6 +146,10 @@ def nearest_neighbour(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select(F.col("id").alias("vec_id"), "near_id", F.round("cosine", 6).alias("cosine"), (F.col("cosine") >= 0.85).alias("similar"))
 
 
+def _circle(angles: pd.Series) -> pd.Series:
+    return pd.Series([[math.cos(a), math.sin(a)] if math.isfinite(a) else [math.nan, math.nan] for a in angles])
+
+
 _FITS = ", ".join(f"('{a}', '{b}')" for a, many in COMPATIBLE.items() for b in many)
 
 
@@ -160,9 +165,12 @@ r(user_id, k, cl, cluster_id, novelty) as (
 select ev.event_id, r.cluster_id, r.novelty from r join ev using (user_id, k)""")
 def ordered_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events of an entity by time, each in the most similar open cluster: two values are similar where their angles on a
-    circle of 100 are near, so clusters form."""
+    circle of 100 are near, so clusters form.
+
+    A value may lie in the middle between two clusters, and then the last digits of the sines decide: they are taken from
+    the C library, as SQL takes them; those of Java differ at times."""
     e = table(spark, sf_dir, "events")
     kind = F.create_map(*[F.lit(x) for a, b in TYPES.items() for x in (a, b[0])])[F.col("event_type")]
-    turn = F.col("value") * math.pi / 50
-    rows = e.select(F.col("user_id").cast("string").alias("entity"), F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("ts"), kind.alias("event_type"), F.array(F.cos(turn), F.sin(turn)).alias("vector"))
-    return clustering.assign(rows).select(F.col("seq").alias("event_id"), "cluster_id", "novelty")
+    turn = F.pandas_udf(_circle, "array<double>")(F.col("value") * math.pi / 50)
+    rows = e.select(F.col("user_id").cast("string").alias("entity"), F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("ts"), kind.alias("event_type"), turn.alias("vector"))
+    return clustering.assign(rows, unit=True).select(F.col("seq").alias("event_id"), "cluster_id", "novelty")
